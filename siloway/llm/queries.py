@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siloway.llm import exact_dedup, mixing, sharding
+from siloway.llm import bpe, exact_dedup, mixing, sharding
 
-MODULES = (mixing, sharding, exact_dedup)
+MODULES = (mixing, bpe, sharding, exact_dedup)
 
 QUERIES = {name: getattr(module, name) for module in MODULES for name in dir(module) if name.startswith("op") and name[2].isdigit()}
 

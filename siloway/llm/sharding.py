@@ -6,11 +6,13 @@ cutting it into equal stretches gives shards that each match the mixture; their
 
 No source is ranked in one task. A digest is a uniform number, so its high bits cut a source into even buckets; a bucket
 is ranked on its own and the rows of the buckets before it are added. The global position is found the same way, over
-buckets of the fractional rank. The number of buckets follows the number of rows.
+buckets of the fractional rank. There are about as many buckets as rows in a bucket: both grow as the root of the rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,6 @@ from siloway.llm.common import hex_of, table, unit_of, written
 
 SHARDS, SEED = 8, 7
 
-#: Rows that a bucket holds about; a bucket is sorted by one task.
-BUCKET_ROWS = 20_000
-
 
 def _starts(counts: DataFrame, by: list[str], bucket: str) -> DataFrame:
     """counts: (by, bucket, n). Adds ``start``, the rows in the buckets before. A line per bucket, not per row."""
@@ -29,7 +28,7 @@ def _starts(counts: DataFrame, by: list[str], bucket: str) -> DataFrame:
 
 
 def interleave(
-    df: DataFrame, id_col: str = "doc_id", source_col: str = "source", shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, id_col: str = "doc_id", source_col: str = "source", shards: int = SHARDS, seed: int = SEED
 ) -> DataFrame:
     """``df`` with ``shard`` (0 .. shards - 1), ``slot`` (gapless from 0 in its shard) and ``fractional_rank``.
 
@@ -39,7 +38,7 @@ def interleave(
     table gives an empty result.
     """
     total = df.count()
-    buckets = max(1, -(-total // bucket_rows))
+    buckets = math.isqrt(total) + 1
     src, h = F.col("_il_src"), F.col("_il_hex")
     rows = df.drop("shard", "slot", "fractional_rank").withColumns(
         {
