@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siloway.llm import bpe, exact_dedup, html_text, mixing, quality, sharding, warc
+from siloway.llm import bpe, exact_dedup, html_text, mixing, quality, sharding, toxicity, warc
 
-MODULES = (mixing, html_text, bpe, warc, sharding, quality, exact_dedup)
+MODULES = (mixing, html_text, bpe, warc, sharding, quality, exact_dedup, toxicity)
 
 QUERIES = {name: getattr(module, name) for module in MODULES for name in dir(module) if name.startswith("op") and name[2].isdigit()}
 
