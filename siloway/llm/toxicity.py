@@ -30,7 +30,7 @@ from siloway.llm.quality import held_out, labelled_sample
 SAMPLE_ROWS, MAX_TERMS, MAX_EXEMPT = 20_000, 4_000, 100_000
 
 #: What a term needs: texts it is in, its log odds of being in a toxic text, and for a stem the words it begins.
-MIN_TEXTS, MIN_WEIGHT, MIN_STEM_WORDS = 3, 2.5, 3
+MIN_TEXTS, MIN_WEIGHT, MIN_STEM_WORDS = 3, 2.5, 5
 STEM_SIZES = (4, 5, 6)
 
 #: Words on each side that make a hit's context, and what a quoted and an addressed hit count for.
@@ -110,7 +110,7 @@ class Lexicon:
             for (node, owed), spent in reached.items():
                 if not owed and node.word and spent <= edits_for(node.size):
                     if spent:
-                        near = max(near, node.word * (0.8 if spent == 1 else 0.6))
+                        near = max(near, node.word * (0.6 if spent == 1 else 0.4))
                     else:
                         exact = max(exact, node.word)
             self.accepts.append((exact, near))
@@ -195,10 +195,10 @@ class Lexicon:
 
 
 #: The weights that a fit is drawn to when labels say little: features, then the constant.
-PRIOR = np.array([1.0, 0.3, 0.4, 0.3, -3.0])
+PRIOR = np.array([1.5, 0.3, 0.5, 0.3, -3.5])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, pull: float = 1.0) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, pull: float = 2.0) -> np.ndarray:
     """Weights by Newton's method on the summed logistic loss plus the squared distance from the prior."""
     x = np.c_[np.asarray(x, float).reshape(-1, len(prior) - 1), np.ones(len(y))]
     w = prior.copy()
