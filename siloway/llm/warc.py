@@ -14,6 +14,7 @@ size at a time.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,11 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def unpacked(content: bytes) -> bytes:
+    """An archive's bytes, gzipped or not."""
+    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+
+
 def safe_url(url: str | None) -> str:
     """A URL without white space or control characters, as a header line needs it; '-' if there is none."""
     return quote(url, safe="%/:?#[]@!$&'()*+,;=~-._", errors="replace") if url else "-"
@@ -139,7 +145,7 @@ def _archives(rows: DataFrame, make) -> DataFrame:
 def _write(archives: DataFrame, what: str, end: str) -> str:
     """One file per row; ``end`` is the line end that readers of the format skip between records."""
     path = new_path(archives.sparkSession, what)
-    archives.write.option("maxRecordsPerFile", 1).option("lineSep", end).option("compression", "none").text(path)
+    archives.write.option("maxRecordsPerFile", 1).option("lineSep", end).option("compression", "gzip").text(path)
     return path
 
 
@@ -164,7 +170,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
                 rows = []
-                for i, (fields, document) in enumerate(arc_records(content)):
+                for i, (fields, document) in enumerate(arc_records(unpacked(content))):
                     head, _, payload = document.partition(b"\r\n\r\n")
                     own = head_field(head.decode("utf-8", "replace"), ID_HEADER)
                     rows.append((None if own is None else int(own), fields["URL"], fields["Content-type"], fields["Archive-date"], f"{file.rpartition('/')[2]}:{i}", payload))
@@ -267,7 +273,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 rows = []
-                for fields, block in warc_records(content):
+                for fields, block in warc_records(unpacked(content)):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     head, kind = head.decode("utf-8", "replace"), head_field(fields, "WARC-Type")
                     digest = (head_field(fields, "WARC-Payload-Digest") or "").partition(":")[2]
