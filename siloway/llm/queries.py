@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siloway.llm import bpe, exact_dedup, html_text, mixing, quality, sharding, topk, toxicity, warc
+from siloway.llm import bpe, exact_dedup, html_text, minhash, mixing, quality, sharding, topk, toxicity, warc
 
-MODULES = (mixing, html_text, topk, bpe, warc, sharding, quality, exact_dedup, toxicity)
+MODULES = (mixing, html_text, minhash, topk, bpe, warc, sharding, quality, exact_dedup, toxicity)
 
 QUERIES = {name: getattr(module, name) for module in MODULES for name in dir(module) if name.startswith("op") and name[2].isdigit()}
 
