@@ -88,11 +88,14 @@ def drop_exact_duplicates(
 ) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns, extra ones included.
 
-    Rows that repeat a retained id with an equal text are the same row to this operator and all stay with it.
+    A row goes only if its own id and text were dropped, so an id that also has another text keeps that. Rows that
+    repeat a retained id with an equal text are the same row to this operator and all stay with it.
     """
-    mark = free_name(df, "dropped_id")
-    dropped = duplicate_classes(df, id_col, text_col, keep, runs, fan_in).filter("not kept").select(F.col("id").alias(mark)).distinct()
-    return df.join(dropped, df[id_col] == dropped[mark], "left_anti")
+    mark, digest = free_name(df, "dropped_id"), free_name(df, "dropped_digest")
+    dropped = duplicate_classes(df, id_col, text_col, keep, runs, fan_in).filter("not kept")
+    dropped = dropped.select(F.col("id").alias(mark), F.col("text_sha256").alias(digest)).distinct()
+    same = df[id_col].eqNullSafe(dropped[mark]) & (F.sha2(ascii_lower(df[text_col]), 256) == dropped[digest])
+    return df.join(dropped, same, "left_anti")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
