@@ -18,6 +18,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from siloway.llm.common import free_name, table
 
 #: Chunks (in each of two generations) and words remembered, words in a trie, and token pairs whose check is remembered.
-MEMO_CHUNKS, TRIE_WORDS, MEMO_PAIRS = 250_000, 50_000, 1_000_000
+MEMO_CHUNKS, MEMO_WORDS, TRIE_WORDS, MEMO_PAIRS = 200_000, 150_000, 50_000, 300_000
 
 #: Rows of one Arrow batch, which bounds what a Python worker holds of very long texts.
 BATCH_ROWS = 500
@@ -67,11 +68,16 @@ class Encoder:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.byte_chars = byte_chars()
         self.size = {t: len(t.removesuffix(self.suffix)) for t in self.vocab}
-        self.longest = max(self.size.values())
+        inner = {t.removesuffix(self.suffix) for t in self.vocab}
+        self.starts = {t[:n] for t in inner for n in range(1, len(t) + 1)}
+        self.moves: dict[str, str] = {}
+        self.inner: dict[str, list] = {}
+        self.ends: dict[str, list] = {}
         self.young: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
         self.memo: dict[str, tuple[int, str, str]] = {}
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.follows: dict[str, dict[str, bool]] = {}
+        self.checked = 0
 
     def symbols(self, token: str) -> list[str]:
         """The symbols that a token was merged from; the last may carry the end-of-word mark."""
@@ -89,37 +95,42 @@ class Encoder:
             symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
         return symbols
 
-    def may_follow(self, before: str, token: str) -> bool:
+    def check(self, before: str, token: str, after: dict[str, bool]) -> bool:
         """Whether ``before`` and then ``token`` is the encoding of their text (``before`` empty: of the token's own)."""
-        known = self.follows.get((before, token))
-        if known is None:
-            if len(self.follows) >= MEMO_PAIRS:
-                self.follows.clear()
-            parts = [before, token] if before else [token]
-            known = self.follows[before, token] = self.merged([s for p in parts for s in self.symbols(p)]) == parts
-        return known
-
-    def last_token(self, prefix: str, last: list[str], end: str) -> str:
-        """The last token of the encoding of a prefix, given those of all shorter prefixes; ``end`` marks a whole word."""
-        depth, text, vocab, follows = len(prefix), prefix + end, self.vocab, self.follows
-        for start in range(max(0, depth - self.longest), depth):
-            token = text[start:]
-            if token in vocab:
-                before = last[start]
-                known = follows.get((before, token))
-                if known or known is None and self.may_follow(before, token):
-                    return token
-        raise ValueError(f"no token ends {text!r}")
+        if self.checked >= MEMO_PAIRS:
+            for known in self.follows.values():
+                known.clear()
+            self.checked = 0
+        parts = [before, token] if before else [token]
+        self.checked += 1
+        after[before] = ok = self.merged([s for p in parts for s in self.symbols(p)]) == parts
+        return ok
+
+    def move(self, state: str, char: str) -> str:
+        """The longest end of state + char that some token begins with."""
+        longer = tail = state + char
+        while tail and tail not in self.starts:
+            tail = tail[1:]
+        self.moves[longer] = tail
+        return tail
+
+    def ending(self, state: str, suffix: str) -> list[tuple[int, str, dict[str, bool]]]:
+        """(length, token, what is known of its predecessors) of the tokens that a state ends with, the longest first."""
+        tokens = [state[i:] + suffix for i in range(len(state)) if state[i:] + suffix in self.vocab]
+        found = [(self.size[t], t, self.follows.setdefault(t, {})) for t in tokens]
+        (self.ends if suffix else self.inner)[state] = found
+        return found
 
     def walk(self, words: set[str]) -> dict[str, tuple[int, str, str]]:
         """(number of tokens, ids joined by a space, decoded text) of each word in byte characters.
 
         The trie is held as its words in order: neighbours share their path from the root up to the first character that
-        differs, so taking them one by one walks the trie depth first, and ``last`` holds the states of the path. States
-        below a word's parent are left to the words that go through them.
+        differs, so taking them one by one walks the trie depth first, and ``last`` holds the last tokens of the path's
+        prefixes. States below a word's parent are left to the words that go through them.
         """
         found: dict[str, tuple[int, str, str]] = {}
-        last, before, suffix, vocab, size, last_token = [""], "", self.suffix, self.vocab, self.size, self.last_token
+        last, states, before = [""], [""], ""
+        moves, inner, ends, vocab, size, suffix = self.moves, self.inner, self.ends, self.vocab, self.size, self.suffix
         for word in sorted(words):
             depth = len(word)
             shared = 0
@@ -127,18 +138,35 @@ class Encoder:
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :]
-            for d in range(len(last), depth):
-                last.append(last_token(word[:d], last, ""))
-            token, at, tokens = last_token(word, last, suffix), depth, []
+            del last[shared + 1 :], states[shared + 1 :]
+            at = len(last)
+            state = states[-1]
+            for char in word[at - 1 :]:
+                to = moves.get(state + char)
+                state = self.move(state, char) if to is None else to
+                if at == depth:
+                    options = ends.get(state) or self.ending(state, suffix)
+                else:
+                    options = inner.get(state) or self.ending(state, "")
+                for n, token, after in options:
+                    ok = after.get(last[at - n])
+                    if ok or ok is None and self.check(last[at - n], token, after):
+                        break
+                else:
+                    raise ValueError(f"no token ends {word[:at]!r}")
+                if at < depth:
+                    last.append(token)
+                    states.append(state)
+                at += 1
+            at, ids = depth, []
             while True:
-                tokens.append(vocab[token])
+                ids.append(vocab[token])
                 at -= size[token]
                 if not at:
                     break
                 token = last[at]
-            tokens.reverse()
-            found[word], before = self.entry(tokens), word
+            ids.reverse()
+            found[word], before = self.entry(ids), word
         return found
 
     def learn(self, chunks: set[str]) -> dict[str, tuple[int, str, str]]:
@@ -149,7 +177,7 @@ class Encoder:
         chars, memo = self.byte_chars, self.memo
 
         def flush() -> None:
-            if len(memo) + len(words) > MEMO_CHUNKS:
+            if len(memo) + len(words) > MEMO_WORDS:
                 memo.clear()
                 words.update(w for parts in cut.values() for w in parts)
             memo.update(self.walk(words))
@@ -234,18 +262,19 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text", ids: bool
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = encoder(path)
         for batch in batches:
-            rows = []
-            texts = batch.tolist()
-            for start in range(0, len(texts), BATCH_ROWS):
-                for n, id_text, decoded in own.encode(texts[start : start + BATCH_ROWS]):
+            if not len(batch):
+                yield pd.DataFrame([], columns=[*added])
+            for start in range(0, len(batch), BATCH_ROWS):
+                rows = []
+                for n, id_text, decoded in own.encode(batch.iloc[start : start + BATCH_ROWS].tolist()):
                     row: list = [n]
                     if ids:
-                        row.append([*map(int, id_text.split())])
+                        row.append(np.array([*map(int, id_text.split())], np.int32))
                     if digests:
                         row.append(hashlib.sha256(id_text.encode()).hexdigest())
                         row.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
                     rows.append(row)
-            yield pd.DataFrame(rows, columns=[*added])
+                yield pd.DataFrame(rows, columns=[*added])
 
     return df.select(*kept, encode(text_col).alias(out)).select(*kept, f"{out}.*")
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Hexadecimal digits of an MD5 that become one number: 13 x 4 bits fit a double without rounding.
 UNIT_DIGITS = 13
 
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` under ``sf_dir``, read by Spark alone (any file system)."""
@@ -41,7 +43,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_BYTES)
+    spark.conf.set(ARROW_BYTES, BATCH_BYTES)  # Python workers hold a few copies of a batch of texts
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

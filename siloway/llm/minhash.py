@@ -31,7 +31,7 @@ from siloway.llm.common import free_name, table, written
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 
 #: Words that a task works off at once, and words whose hashes it remembers.
-CHUNK_WORDS, MEMO_WORDS = 400_000, 500_000
+CHUNK_WORDS, MEMO_WORDS = 250_000, 300_000
 
 WORD = re.compile(r"\w+")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -150,16 +150,16 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> fl
     return float((1 / (above / xs + below / ys)).sum())
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Stretches of texts of about CHUNK_WORDS words; a longer text is a stretch of its own."""
+def _chunks(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of these lengths that hold about CHUNK_WORDS words; a longer text ends its stretch."""
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "") // 6 + 1
+    for i, n in enumerate(lengths):
+        size += n // 6 + 1
         if size >= CHUNK_WORDS:
             yield start, i + 1
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 def sketch_documents(df: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS, size: int = WORDS) -> DataFrame:
@@ -168,7 +168,7 @@ def sketch_documents(df: DataFrame, id_col: str, text_col: str, bands: int = BAN
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
-            for start, end in _chunks(texts):
+            for start, end in _chunks([len(t or "") for t in texts]):
                 owner, ids, counts = shingles(texts[start:end], size)
                 n = end - start
                 keys = []
@@ -191,8 +191,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = WORDS) -> DataFrame
     @F.pandas_udf("double")
     def compare(a: pd.Series, b: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
         out = np.zeros(len(a))
-        rows = [(i, j, s, t) for i, j, s, t in zip(a, b, left, right, strict=True)]
-        for start, end in _chunks([(s or "") + (t or "") for _, _, s, t in rows]):
+        rows = [*zip(a, b, left, right, strict=True)]
+        for start, end in _chunks([len(s or "") + len(t or "") for _, _, s, t in rows]):
             unique = {i: s for i, _, s, _ in rows[start:end]} | {j: t for _, j, _, t in rows[start:end]}
             number = {i: k for k, i in enumerate(unique)}
             owner, ids, counts = shingles([*unique.values()], size)
