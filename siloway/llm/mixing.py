@@ -55,7 +55,7 @@ def repetition_rates(
     else:
         if not all(0 <= w < float("inf") for w in weights.values()):
             raise ValueError("weights must be finite and not negative")
-        given = df.sparkSession.createDataFrame(list(weights.items()) or [("", 0.0)], "wanted string, raw double")
+        given = df.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()] or [("", 0.0)], "wanted string, raw double")
         sizes = sizes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("wanted")), "left").drop("wanted").fillna(0.0, ["raw"])
     # decimals add up to the same sum in any order
     total = sizes.agg(F.sum("n_rows").alias("n"), F.sum(F.col("raw").cast("decimal(30,12)")).cast("double").alias("raw")).first()

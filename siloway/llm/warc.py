@@ -96,6 +96,8 @@ def arc_record(version: int, name: str, source_id: int | None, url: str | None,
 
 def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, network document) of the records of one ARC file, its version block left out."""
+    if not data.strip():  # a part that no row was written to
+        return
     end = data.index(b"\n")
     declared = int(data[:end].split(b" ")[-1])
     block = data[end + 1 : end + 1 + declared].decode("utf-8", "replace").split("\n")
