@@ -48,7 +48,8 @@ def add(name: str, ctes: list[str], body: str) -> None:
 
 
 def r(x: str) -> str:
-    return f"round({x}, 6)"
+    """Six places; the first rounding takes away what the order of a sum leaves, so that halves are halves in any engine."""
+    return f"round(round({x}, 9), 6)"
 
 
 # --- statistics ----------------------------------------------------------------------------------------------------
