@@ -11,8 +11,8 @@ In each bucket of a band the member that a hash ranks first is the pivot, and ev
 exactly, on whole texts. That finds stars, whose links are joined to components. Buckets whose members are by then all
 in one component are done, whatever their size; in the others, each member outside the bucket's largest component is
 compared with the members of other components, but for pairs that the triangle inequality rules out (1 - similarity is a
-metric, and both distances to the pivot are known). So no link between candidates can join two components unseen, and no
-group is paired with itself.
+metric, and both distances to the pivot are known) or whose registers put them far below the limit. So no link between
+candidates can join two components unseen, and no group is paired with itself.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ from siloway.llm.common import free_name, table, written
 #: Words of a shingle, least similarity of a link, bands and registers in each.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 
+#: A pair whose share of equal registers is further below the limit is not tried in open buckets. At similarity 0.8 and
+#: 120 registers this is five and a half standard deviations, so it passes over one such pair in ten million.
+SLACK = 0.2
+
 #: Words that a task works off at once, and words whose hashes it remembers.
 CHUNK_WORDS, MEMO_WORDS = 250_000, 300_000
 
@@ -163,7 +167,7 @@ def _chunks(lengths: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def sketch_documents(df: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS, size: int = WORDS) -> DataFrame:
-    """(id, key_a, key_b, bands): two 64-bit hashes of the weighted shingles, and the band hashes of every row's text."""
+    """(id, key_a, key_b, bands, marks): two 64-bit hashes of a row's weighted shingles, its band hashes, 16 bits of each register."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -176,13 +180,18 @@ def sketch_documents(df: DataFrame, id_col: str, text_col: str, bands: int = BAN
                     total = np.zeros(n, np.uint64)
                     np.add.at(total, owner, mixed(ids, salt) * counts.astype(np.uint64))
                     keys.append(total.view(np.int64))
-                sketch = banded(signatures(owner, ids, counts, n, bands * rows), bands, rows).view(np.int64)
+                sketch = signatures(owner, ids, counts, n, bands * rows)
+                marks = mixed(sketch, 4).astype(np.uint16).view(np.int16)
+                sketch = banded(sketch, bands, rows).view(np.int64)
                 some = np.bincount(owner, minlength=n) > 0
                 yield pd.DataFrame(
-                    {"id": batch["id"].iloc[start:end].array, "key_a": keys[0], "key_b": keys[1], "bands": [s if k else s[:0] for s, k in zip(sketch, some, strict=True)]}
-                )
+                    {
+                        "id": batch["id"].iloc[start:end].array, "key_a": keys[0], "key_b": keys[1],
+                        "bands": [s if k else s[:0] for s, k in zip(sketch, some, strict=True)], "marks": [*marks],
+                    }
+                )
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, key_a long, key_b long, bands array<long>")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, key_a long, key_b long, bands array<long>, marks array<smallint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int = WORDS) -> DataFrame:
@@ -239,7 +248,7 @@ def near_duplicates(
     spark = df.sparkSession
     docs = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = written(sketch_documents(docs, "id", "text", bands, rows, size), "sketches")
-    copies = sketched.groupBy("key_a", "key_b").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
+    copies = sketched.groupBy("key_a", "key_b").agg(F.min("id").alias("rep"), F.min_by(F.struct("bands", "marks"), "id").alias("s")).select("key_a", "key_b", "rep", "s.bands", "s.marks")
     reps = written(copies, "representatives")
 
     member = written(reps.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "value")), "band-rows")
@@ -273,18 +282,20 @@ def near_duplicates(
     sizes = placed.groupBy(*bucket, "component").agg(F.count(F.lit(1)).alias("n"))
     major = sizes.groupBy(*bucket).agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     open_rows = written(placed.join(major.drop("parts"), bucket), "open-buckets")
-    signature = reps.select(F.col("rep").alias("id"), "bands")
+    signature = reps.select(F.col("rep").alias("id"), "bands", "marks")
     minor = open_rows.filter("component <> major and id <> pivot").join(signature, "id")
-    minor = minor.select(*bucket, F.col("id").alias("a"), F.col("component").alias("a_part"), F.col("distance").alias("a_far"), F.col("bands").alias("a_bands"))
+    minor = minor.select(*bucket, F.col("id").alias("a"), F.col("component").alias("a_part"), F.col("distance").alias("a_far"), F.col("bands").alias("a_bands"), F.col("marks").alias("a_marks"))
     # a member that is further than twice the limit from the pivot cannot be linked to one within it; the rest is tried
     other = open_rows.filter("id <> pivot").join(signature, "id")
-    other = other.select(*bucket, F.col("id").alias("b"), F.col("component").alias("b_part"), "major", F.col("distance").alias("b_far"), F.col("bands").alias("b_bands"))
+    other = other.select(*bucket, F.col("id").alias("b"), F.col("component").alias("b_part"), "major", F.col("distance").alias("b_far"), F.col("bands").alias("b_bands"), F.col("marks").alias("b_marks"))
     hidden = minor.join(other, bucket).filter(
         (F.col("a_part") != F.col("b_part"))
         & (F.abs(F.col("a_far") - F.col("b_far")) <= most)
         & ((F.col("b_part") == F.col("major")) | (F.col("a") < F.col("b")))
         # a pair is tried in the first bucket that it shares
         & ~F.expr("exists(sequence(0, band), k -> k < band and a_bands[k] = b_bands[k])")
+        # and only if the registers do not rule the similarity out
+        & F.expr(f"aggregate(zip_with(a_marks, b_marks, (x, y) -> int(x = y)), 0, (n, e) -> n + e) >= {int((least - SLACK) * bands * rows)}")
     )
     hidden = written(hidden.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "hidden-pairs")
     if hidden.limit(1).count():
