@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siloway.functions.scalar import DAY_US, HOUR_US, WEEKDAYS, decimal_hour, hour_of, shift_of
@@ -139,3 +139,15 @@ def flow_by_bucket(trips: DataFrame, start_us: int, end_us: int, step_us: int =
 
     flow = _spined(counted("in_us", "arrivals"), counted("out_us", "departures"), trips.select("site_id").distinct(), n)
     return flow.withColumn("cumulative", F.sum("net").over(Window.partitionBy("site_id").orderBy("slot")))
+
+
+def time_buckets(spark: SparkSession, start_us: int, end_us: int, step_us: int) -> DataFrame:
+    """The half-open buckets of a range, the last one clipped: number, bounds, weekday, label, and whether it gets a tick (every six hours)."""
+    rows = spark.range(-(-(end_us - start_us) // step_us)).select(F.col("id").alias("bucket"), (F.lit(start_us) + F.col("id") * step_us).alias("start_us"))
+    names = F.array(*[F.lit(w) for w in WEEKDAYS])
+    hour = hour_of(F.col("start_us"))
+    return rows.select(
+        "bucket", "start_us", F.least(F.lit(end_us), F.col("start_us") + step_us).alias("end_us"),
+        F.element_at(names, (F.pmod(F.floor(F.col("start_us") / F.lit(DAY_US)) + 4, F.lit(7)) + 1).cast("int")).alias("weekday"),
+        F.format_string("%02d:%02d", hour, (F.pmod(F.col("start_us"), F.lit(HOUR_US)) / F.lit(60_000_000)).cast("int")).alias("label"), (hour % 6 == 0).alias("tick"),
+    )

@@ -233,6 +233,18 @@ add(
     "SELECT site_id, slot, arrivals, departures, arrivals - departures AS net, sum(arrivals - departures) OVER (PARTITION BY site_id ORDER BY slot)::BIGINT AS cumulative FROM f WHERE site_id IN (SELECT site_id FROM trips)",
 )
 
+_END = NOW_US - 20 * 60_000_000
+add(
+    "time_buckets",
+    [f"b AS (SELECT b AS bucket, {WEEK_US} + b * {HOUR_US // 2} AS start_us FROM range({-(-(_END - WEEK_US) // (HOUR_US // 2))}) AS t(b))"],
+    f"SELECT bucket, start_us, least({_END}, start_us + {HOUR_US // 2}) AS end_us, {q(WEEKDAYS)}[dayofweek(make_timestamp(start_us)) + 1] AS weekday, strftime(make_timestamp(start_us), '%H:%M') AS label, hour(make_timestamp(start_us)) % 6 = 0 AS tick FROM b",
+)
+add(
+    "deterministic_deviates",
+    [TRIPS],
+    f"SELECT trip_id, {r('sin(event_id * 9999) * 10000 - floor(sin(event_id * 9999) * 10000)')} AS uniform, {r('sqrt(-2 * ln((event_id % 97 + 1) / 98)) * cos(6.283185307179586::DOUBLE * ((event_id % 89) / 89))')} AS normal FROM trips",
+)
+
 # --- density and saturation ----------------------------------------------------------------------------------------
 
 INTERVALS = [
@@ -437,6 +449,7 @@ add("visit_scatter", [*VISITS, SCATTER], "SELECT * FROM sc")
 add("visit_scatter_stats", [*VISITS, SCATTER], f"SELECT {r('quantile_cont(stay_minutes, 0.5)')} AS p50, {r('quantile_cont(stay_minutes, 0.95)')} AS p95, count(*) AS n FROM sc")
 add("visit_pie", VISITS, "SELECT b AS bucket, (SELECT count(*) FROM vb WHERE bucket = b AND exit_us IS NOT NULL) AS visits FROM (SELECT unnest(['PERFECT', 'VALID', 'INVALID']) AS b)")
 add("visit_paths_bar", VISITS, "SELECT path AS path_key, count(*) AS visits FROM vb WHERE status <> 'INVALID' GROUP BY 1")
+add("visits_by_bucket", VISITS, "SELECT visit_key, status FROM vb WHERE bucket = 'PERFECT'")
 add(
     "sim_nodes",
     [*GATE, keyed(2), "nn AS (SELECT visit_key, letter, at_us, lag(letter) OVER (PARTITION BY visit_key ORDER BY at_us) AS p FROM ky)"],

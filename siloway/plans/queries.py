@@ -175,6 +175,17 @@ def bucket_flow_series(spark, d):
     return flow.flow_by_bucket(adapters.trips(spark, d), WEEK_US, NOW_US)
 
 
+@query
+def time_buckets(spark, d):
+    return flow.time_buckets(spark, WEEK_US, NOW_US - 20 * 60_000_000, HOUR_US // 2)
+
+
+@query
+def deterministic_deviates(spark, d):
+    n = F.col("event_id")
+    return adapters.trips(spark, d).select("trip_id", scalar.seeded_random(n).alias("uniform"), scalar.normal_deviate((n % 97 + 1) / 98, (n % 89) / 89).alias("normal"))
+
+
 # --- density and saturation ----------------------------------------------------------------------------------------
 
 
@@ -372,6 +383,11 @@ def visit_paths_bar(spark, d):
     return visits.path_bars(_trips_of(spark, d))
 
 
+@query
+def visits_by_bucket(spark, d):
+    return visits.of_bucket(_trips_of(spark, d), "PERFECT").select("visit_key", "status")
+
+
 @query
 def sim_nodes(spark, d):
     return visits.sim_nodes(visits.visits(adapters.gate_events(spark, d)))
