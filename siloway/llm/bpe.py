@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siloway.llm.common import free_name, table
+from siloway.llm.common import free_name, small_batches, table
 
 #: Chunks (in each of two generations) and words remembered, words in a trie, and token pairs whose check is remembered.
 MEMO_CHUNKS, MEMO_WORDS, TRIE_WORDS, MEMO_PAIRS = 200_000, 150_000, 50_000, 300_000
@@ -254,6 +254,7 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text", ids: bool
     replaced. Texts are encoded whole at any length, an empty text to no tokens; repeated rows are encoded alike and an
     empty table gives an empty result.
     """
+    small_batches(df.sparkSession)
     added = {"n_tokens": "long"} | ({"token_ids": "array<int>"} if ids else {}) | ({"ids_sha256": "string", "decoded_sha256": "string"} if digests else {})
     kept = [c for c in df.columns if c not in added]
     out = free_name(df, "encoded")

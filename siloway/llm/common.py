@@ -36,6 +36,11 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python workers batches of BATCH_BYTES at most: they hold a few copies of a batch of texts."""
+    spark.conf.set(ARROW_BYTES, BATCH_BYTES)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
