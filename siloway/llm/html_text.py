@@ -2,10 +2,14 @@
 
 A page is parsed to a tree. Every paragraph passes points - one, one per comma, up to three for its length - to its
 ancestors: all to the parent, half to the grandparent, a third over the level to those above. A container's points are
-discounted by its link density, the best one is kept together with the siblings that score alike or read as prose, and
-it is widened to the article or main element around it. Menus, page headers, footers, sidebars, notices, adverts, forms
-and reader comments are left out by element, role, or the words of their class and id; so are stretches that are mostly
-links. Text is never cut.
+discounted by its link density, the best one is kept together with the siblings that score alike or read as prose and
+the headings and lists next to it, and it is widened to the article or main element around it.
+
+Menus, page headers, footers, sidebars, adverts, notices, forms and reader comments are left out: by element or role, or
+where a whole name in the class or id of a block container says so. Names that are topics as well (legal, discussion,
+search) only count for containers with little text of their own, and a form only if most of the page's text lies outside
+it. Headings, paragraphs and inline elements are never left out by a name. Blocks that are mostly links are left out
+outside of article and main only. Text is never cut.
 """
 
 from __future__ import annotations
@@ -44,56 +48,98 @@ SCOPE = frozenset("table td th button caption html object".split())
 
 #: Elements and roles that hold no main text.
 OUT = frozenset(
-    "script style noscript template head title nav footer aside form button select option textarea input iframe object embed applet svg canvas math "
+    "script style noscript template head title nav footer aside button select option textarea input iframe object embed applet svg canvas math "
     "audio video map dialog menu noembed noframes xmp datalist".split()
 )
-OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist form".split())
+OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist".split())
 
-#: Words of class or id that mark what is not the article; the second set marks it even inside content.
+#: Words of class or id that name reader comments; those that name what is never an article; those that are topics too.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
 OUT_WORDS = frozenset(
-    "nav navbar navigation menu menubar sidebar sidenav side aside rail footer foot header masthead topbar banner ad ads adv advert adverts advertisement "
-    "advertising adslot adsense sponsor sponsored promo promotion promoted outbrain taboola cookie cookies consent gdpr notice notices notification alert "
-    "popup modal overlay lightbox dialog newsletter subscribe subscription signup signin login register paywall share sharing social related recommended "
-    "recommendations breadcrumb breadcrumbs pagination pager toolbar widget widgets skip skiplink copyright legal disclaimer search form hidden".split()
+    "nav navbar navigation menubar sidebar sidenav masthead topbar ad ads adv advert adverts advertisement advertising adslot adsense sponsored "
+    "outbrain taboola cookie cookies gdpr consent popup lightbox newsletter signup signin paywall breadcrumb breadcrumbs pagination pager toolbar skiplink".split()
+)
+TOPIC_WORDS = frozenset(
+    "menu side aside rail footer foot header banner sponsor promo promotion promoted notice notices notification alert modal overlay dialog subscribe "
+    "subscription login register share sharing social related recommended recommendations widget widgets skip copyright legal disclaimer search form "
+    "hidden reply replies respond responses discussion reactions".split()
 )
-OUT_ALWAYS = frozenset("comment comments commentlist reply replies respond disqus responses discussion reactions ad ads advert advertisement cookie consent".split())
 CONTENT_WORDS = frozenset("article content main body post entry story text page".split())
+#: Words that say nothing about what a container holds; a name counts only if the rest of it are such words.
+PLAIN_WORDS = CONTENT_WORDS | frozenset(
+    "site global top bottom left right primary secondary wrapper wrap container inner outer box bar area section block list item items link links button "
+    "buttons btn icon icons row col column panel group module component region zone slot unit holder wp td js mobile desktop sticky fixed thread new to the".split()
+)
+#: How surely a container is left out: reader comments, other parts that are no article, forms, names that are topics too.
+COMMENTS, SURE, FORM, TOPIC = 4, 3, 2, 1
+#: Paragraph points from which a container with a topic's name is text, and the share of the page left that undoes SURE.
+TEXT_POINTS, LEAST_LEFT = 5.0, 0.1
+CONTROLS = frozenset("input textarea select button form".split())
 WORD = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
 
 CONTAINER_POINTS = {"article": 10, "main": 8, "div": 5, "section": 3, "pre": 3, "td": 3, "blockquote": 3, "form": -3, "ul": -3, "ol": -3, "li": -3, "th": -5} | dict.fromkeys(HEADINGS, -5)
 LEVELS = 5
 
+#: Blocks that are judged by their links as one, not by each of their items.
+LINK_BLOCKS = frozenset("ul ol menu dir dl table div section details fieldset center address figure".split())
+LISTS = frozenset("ul ol dl table pre blockquote figure".split())
+
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "out", "length", "linked", "commas", "points", "blocks", "drop")
+    __slots__ = ("tag", "parent", "kids", "out", "length", "linked", "commas", "points", "blocks", "total", "mark", "names", "holds")
 
     def __init__(self, tag: str, parent: Node | None, out: bool = False) -> None:
         self.tag, self.parent, self.kids, self.out = tag, parent, [], out
         self.length = self.linked = self.commas = self.blocks = 0
-        self.points, self.drop = 0.0, False
+        self.points = self.total = 0.0
+        self.mark, self.names, self.holds = 0, (), 0
 
 
 def is_out(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element, by itself, is not part of a main text."""
+    """Whether an element, by its tag, role or hiding, is not part of a main text."""
     if tag in OUT or tag == "header" and not inside_article:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     lower = attributes.lower()
-    if not any(k in lower for k in ("class", "id", "role", "hidden", "style", "itemprop")):
+    if not any(k in lower for k in ("role", "hidden", "style")):
         return False
-    words: set[str] = set()
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name == "role" and value.lower() in OUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id"):
-            words.update(w.lower() for w in WORD.findall(value))
-    if words & OUT_ALWAYS:
-        return True
-    return bool(words & OUT_WORDS) and not words & CONTENT_WORDS
+    return False
+
+
+def marked(tag: str, attributes: str) -> tuple[int, tuple[str, ...]]:
+    """What the names of a block container (or of a skip link) say it is, 0 for nothing, and its id's words."""
+    mark, own = FORM if tag == "form" else 0, ()
+    if tag not in BLOCK and tag != "a" or tag in HEADINGS or tag in ("p", "body", "article", "main") or not attributes:
+        return mark, own
+    lower = attributes.lower()
+    if "class" not in lower and "id" not in lower:
+        return mark, own
+    for name, value in ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name not in ("class", "id"):
+            continue
+        for token in html.unescape(value.strip("\"'")).split():
+            words = tuple(w.lower() for w in WORD.findall(token))
+            if name == "id":
+                own = words
+            if tag == "a" and not {"skip", "skiplink"} & set(words):
+                continue
+            if not all(w in PLAIN_WORDS or w in TOPIC_WORDS or w in OUT_WORDS or w in COMMENT_WORDS or len(w) == 1 for w in words):
+                continue
+            if COMMENT_WORDS.intersection(words):
+                mark = max(mark, COMMENTS)
+            elif OUT_WORDS.intersection(words):
+                mark = max(mark, SURE)
+            elif TOPIC_WORDS.intersection(words) and not CONTENT_WORDS.intersection(words):
+                mark = max(mark, TOPIC)
+    return mark, own
 
 
 def parse(page: str) -> list[Node]:
@@ -136,6 +182,7 @@ def parse(page: str) -> list[Node]:
                 if stack[i].tag in until:
                     break
         node = Node(tag, stack[-1], stack[-1].out or is_out(tag, m[3], articles > 0))
+        node.mark, node.names = marked(tag, m[3])
         stack[-1].kids.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -150,8 +197,10 @@ def parse(page: str) -> list[Node]:
 
 
 def measure(nodes: list[Node]) -> None:
-    """Text length, length inside links, commas and block children of every element, from the leaves up."""
+    """Text length, length inside links, commas, block children and paragraph points of every element, from the leaves up."""
     for node in reversed(nodes):
+        node.length = node.linked = node.commas = node.blocks = 0
+        node.total = 0.0
         if node.out:
             continue
         for kid in node.kids:
@@ -164,23 +213,104 @@ def measure(nodes: list[Node]) -> None:
                 node.linked += kid.linked
                 node.commas += kid.commas
                 node.blocks += kid.blocks + (kid.tag in BLOCK)
+                node.total += kid.total
         if node.tag == "a":
             node.linked = node.length
+        node.total += paragraph_points(node)
 
 
 def density(node: Node) -> float:
     return node.linked / node.length if node.length else 0.0
 
 
+def is_paragraph(node: Node) -> bool:
+    """Whether it is a block of text without blocks in it."""
+    return node.tag in BLOCK and not node.blocks and node.tag not in HEADINGS
+
+
+def paragraph_points(node: Node) -> float:
+    """The points of a paragraph, one for loose text of 25 characters among blocks, else none."""
+    if node.out or not node.length:
+        return 0.0
+    if is_paragraph(node):
+        return (1 + node.commas + min(node.length / 100, 3)) * (1 - density(node))
+    return float(node.blocks > 0 and any(isinstance(k, str) and len(k.strip()) >= 25 for k in node.kids))
+
+
+def inside(node: Node) -> Iterator[Node]:
+    """The elements under one."""
+    stack = [k for k in node.kids if isinstance(k, Node)]
+    while stack:
+        kid = stack.pop()
+        yield kid
+        stack += [k for k in kid.kids if isinstance(k, Node)]
+
+
+def words_of(node: Node) -> tuple[str, ...]:
+    text = "".join(k for n in (node, *inside(node)) for k in n.kids if isinstance(k, str))
+    return tuple(w.lower() for w in WORD.findall(html.unescape(text)))
+
+
+def named_by_heading(node: Node) -> bool:
+    """Whether the first heading reads as the id, as generated anchors of an article's sections do."""
+    first = next((k for k in node.kids if isinstance(k, Node)), None)
+    return first is not None and first.tag in HEADINGS and bool(node.names) and words_of(first) == node.names
+
+
+def note_held(nodes: list[Node]) -> None:
+    """Whether elements hold an article or main (1), and controls or comments (2), left out ones included."""
+    for node in reversed(nodes):
+        own = (node.tag in ("article", "main")) + 2 * (node.tag in CONTROLS or node.mark == COMMENTS)
+        if node.parent is not None:
+            node.parent.holds |= node.holds | own
+
+
+def is_text(node: Node, page: float) -> bool:
+    """Whether a form, or a container with a topic's name, holds text of the page, whose paragraph points are given."""
+    if node.total > page / 2 or node.mark == FORM:
+        return node.total > page / 2 or bool(node.holds & 1)
+    if density(node) > 0.25 or node.holds & 2:
+        return False
+    headed = any(isinstance(k, Node) and k.tag in HEADINGS for k in node.kids)
+    return node.total >= TEXT_POINTS or node.total > 0 and headed
+
+
+def leave_out(nodes: list[Node]) -> None:
+    """Leave out marked containers: first what surely is no article, then forms and topics by their share of the rest."""
+
+    def apply(drop: frozenset[int]) -> list[Node]:
+        gone = []
+        for node in nodes:
+            if node.out:
+                continue
+            if node.parent is not None and node.parent.out or id(node) in drop:
+                node.out = True
+                gone.append(node)
+        if gone:
+            measure(nodes)
+        return gone
+
+    note_held(nodes)
+    measure(nodes)
+    for mark, least in ((COMMENTS, 0.0), (SURE, LEAST_LEFT)):
+        before = nodes[0].total
+        gone = apply(frozenset(id(n) for n in nodes if n.mark == mark and not (mark == SURE and named_by_heading(n))))
+        if gone and before >= TEXT_POINTS and nodes[0].total <= least * before:
+            for node in gone:
+                node.out = False
+            measure(nodes)
+    page = nodes[0].total
+    apply(frozenset(id(n) for n in nodes if n.mark in (FORM, TOPIC) and not n.out and not named_by_heading(n) and not is_text(n, page)))
+
+
 def score(nodes: list[Node]) -> dict[int, Node]:
     """Pass the paragraphs' points up; returns the containers that got any."""
     containers: dict[int, Node] = {}
     for node in nodes:
-        own = node.tag in BLOCK and not node.blocks and node.tag not in HEADINGS  # a block of text without blocks in it
-        loose = node.blocks and any(isinstance(k, str) and len(k.strip()) >= 25 for k in node.kids)
-        if node.out or not node.length or not (own or loose):
+        points = paragraph_points(node)
+        own = is_paragraph(node)
+        if node.out or not node.length or not (own or points):
             continue
-        points = (1 + node.commas + min(node.length / 100, 3)) * (1 - density(node)) if own else 1.0
         up, level = (node.parent if own else node), 0
         while up is not None and level < LEVELS:
             if id(up) not in containers:
@@ -206,15 +336,22 @@ def choose(nodes: list[Node]) -> list[Node]:
     if best.parent is None or best.tag in ("body", "html"):
         return [best]
     least = max(10.0, 0.2 * value.get(id(best), 0.0))
-    kept = []
+    kept: list[Node] = []
+    ahead: list[Node] = []  # headings, kept if what they head is
     for kid in best.parent.kids:
         if kid is best:
-            kept.append(kid)
+            kept += [*ahead, kid]
+            ahead = []
+        elif isinstance(kid, Node) and not kid.out and kid.length and kid.tag in HEADINGS:
+            ahead.append(kid)
         elif isinstance(kid, Node) and not kid.out and kid.tag in BLOCK:
             prose = kid.tag == "p" and (kid.length > 80 and density(kid) < 0.25 or 0 < kid.length <= 80 and not kid.linked and best.tag not in ("article", "main"))
             alike = value.get(id(kid), 0.0) >= least and density(kid) < 0.5 and (kid.tag == best.tag or best.tag not in ("article", "main"))
-            if prose or alike:
-                kept.append(kid)
+            listed = kid.tag in LISTS and kid.length and density(kid) < 0.25
+            if prose or alike or listed:
+                kept += [*ahead, kid]
+            if kid.length:
+                ahead = []
     return kept
 
 
@@ -222,6 +359,10 @@ def blocks(top: Node) -> list[str]:
     """The blocks of text under an element, in page order, without parts that are out or mostly links."""
     found: list[str] = []
     held: list[str] = []
+    up = top
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    whole = up is not None
 
     def close() -> None:
         text = " ".join(html.unescape("".join(held)).split())
@@ -238,7 +379,7 @@ def blocks(top: Node) -> list[str]:
             held.append(kid)
         elif not kid.out:
             block = kid.tag in BLOCK
-            if kid is not top and block and kid.tag not in HEADINGS and kid.tag != "p" and kid.linked and density(kid) > 0.5:
+            if kid is not top and not whole and kid.tag in LINK_BLOCKS and kid.linked and density(kid) > 0.5:
                 continue
             if block:
                 close()
@@ -255,7 +396,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     nodes = parse(page)
-    measure(nodes)
+    leave_out(nodes)
     return "\n\n".join(b for top in choose(nodes) for b in blocks(top))
 
 

@@ -77,6 +77,50 @@ def test_pages_without_an_article():
     assert html_text.main_text('<p class="a>b">quoted > mark</p><!-- <p>no</p>') == "quoted > mark"
 
 
+PROSE = "A sentence of the article, long enough to score, with words that go on, and on, to the end of it."
+
+
+def in_article(inner):
+    return f"<body><nav><a href=/>Home</a></nav><article><h1>Title</h1>{f'<p>{PROSE}</p>' * 5}{inner}</article><footer>us</footer></body>"
+
+
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ('<h2 id="search-results">Found</h2><p id="social-effects">Effects.</p>', ["Found", "Effects."]),
+        ('<h2 id="legal-form">Legal form</h2><p class="notice">Note.</p>', ["Legal form", "Note."]),
+        ('<section id="discussion"><h2>Discussion</h2><p>Short.</p></section>', ["Discussion", "Short."]),
+        (f'<section id="reactions"><p>{PROSE}</p><p>{PROSE}</p></section>', [PROSE, PROSE]),
+        ('<section id="cookies"><h2>Cookies</h2><p>They are baked.</p></section>', ["Cookies", "They are baked."]),
+        ('<div class="search-results">Found it</div>', ["Found it"]),
+        ("<ol><li><a href=1>A linked long title</a> 2001</ol><table><tr><td><a href=2>linked</a> x</table>", ["A linked long title 2001", "linked x"]),
+        ('<blockquote><a href=1>All of it linked</a></blockquote><section><a href=2>See there</a> now</section>', ["All of it linked", "See there now"]),
+        ('<p>See <span class="social">social</span> ends</p>', ["See social ends"]),
+        ('<div class="share-buttons">Share</div><div class="ad">Buy, now</div><form><p>Sign up</p></form>', []),
+        ('<div id="discussion"><div class="comment"><p>So nice, so very nice, I say.</p></div><textarea></textarea></div>', []),
+        ('<div class="related"><ul><li><a href=1>Other</a></ul></div><div class="social">Follow us</div>', []),
+    ],
+)
+def test_article_text_is_whole(inner, text):
+    assert html_text.main_text(in_article(inner)) == "\n\n".join(["Title", *[PROSE] * 5, *text])
+
+
+def test_page_in_one_form():
+    page = f'<body><form id="aspnetForm" action="x"><input type=hidden><div id="content"><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></div></form></body>'
+    assert html_text.main_text(page) == "\n\n".join(["Title", PROSE, PROSE])
+
+
+def test_headings_and_lists_next_to_the_best_container():
+    page = f"<body><div><a href=/>Home</a></div><div><h2>Title</h2><div>{f'<p>{PROSE}</p>' * 6}</div><h3>Points</h3><ul><li>one<li>two</ul><h3>More</h3><ul><li><a href=1>Other page</a></ul></div></body>"
+    assert html_text.main_text(page) == "\n\n".join(["Title", *[PROSE] * 6, "Points", "one", "two"])
+
+
+def test_comments_and_notices_of_any_length_stay_out():
+    long = f"<p>{PROSE}</p>" * 30
+    page = f'<body><div class="cookie-consent">{long}</div><div id="content"><p>{PROSE}</p>{f"<p>{PROSE}</p>" * 9}</div><div id="comments">{long}</div></body>'
+    assert html_text.main_text(page) == "\n\n".join([PROSE] * 10)
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, "old"), (2, None, None, "old")], "page_id long, url string, html string, TEXT string")
     rows = html_text.extract_main_text(df.drop("TEXT")).orderBy("page_id").collect()
