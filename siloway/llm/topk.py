@@ -40,14 +40,25 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
-def block_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int = K) -> pd.DataFrame:
-    """The k best candidates of each query in one block: rows (query_id, vec_id, score). A query is not its own candidate."""
+def block_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int = K, own: np.ndarray | None = None) -> pd.DataFrame:
+    """The k best candidates of each query in one block: rows (query_id, vec_id, score).
+
+    A query is not its own candidate: ``own`` is the place of its own row among the candidates, -1 for none; without it
+    candidates of the query's id are left out.
+    """
     empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
     if not len(ids) or not len(query_ids):
         return empty
     lengths = np.sqrt((vectors.astype(float) ** 2).sum(1))
     order = np.lexsort((ids, -lengths))
     ids, vectors, lengths = ids[order], vectors[order].astype(float), lengths[order]
+    places = np.arange(len(ids))
+    if own is None:
+        own_place = None
+    else:
+        place_of = np.empty(len(ids), np.int64)
+        place_of[order] = places
+        own_place = np.where(own >= 0, place_of[own], -1)
     queries = queries.astype(float)
     q_length = np.sqrt((queries**2).sum(1))
     strongest = np.argsort(-np.abs(queries), axis=1)[:, :COORDINATES]
@@ -56,7 +67,7 @@ def block_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vec
     threshold = np.full(n, -np.inf)  # the k-th best score so far
     slack = 1e-9
     for start in range(0, len(ids), BUCKET_ROWS):
-        b_ids, b, b_len = (a[start : start + BUCKET_ROWS] for a in (ids, vectors, lengths))
+        b_places, b, b_len = (a[start : start + BUCKET_ROWS] for a in (places, vectors, lengths))
         reach = q_length * b_len[0]
         live = np.flatnonzero((reach * (1 + slack) >= threshold) | (threshold <= 0))
         if not len(live):
@@ -74,13 +85,13 @@ def block_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vec
             for row, q in enumerate(by_length):
                 found = np.flatnonzero(scores[row] >= threshold[q])
                 if len(found):
-                    hits.append((q, b_ids[found], scores[row][found]))
+                    hits.append((q, b_places[found], scores[row][found]))
         if len(by_coordinates):
             unit = b / np.maximum(b_len, 1e-300)[:, None]
             for q in by_coordinates:
                 own = queries[q] / q_length[q]
                 t = min(1.0, threshold[q] / (q_length[q] * b_len[0]))
-                cap, keep = np.arccos(t), np.ones(len(b_ids), bool)
+                cap, keep = np.arccos(t), np.ones(len(b_places), bool)
                 for f in strongest[q]:
                     angle = np.arccos(np.clip(own[f], -1, 1))  # a vector within the cap is so far from the axis
                     keep &= (unit[:, f] >= np.cos(min(np.pi, angle + cap)) - 1e-9) & (unit[:, f] <= np.cos(max(0.0, angle - cap)) + 1e-9)
@@ -88,9 +99,10 @@ def block_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vec
                 scores = b[found] @ queries[q]
                 enough = scores >= threshold[q]
                 if enough.any():
-                    hits.append((q, b_ids[found[enough]], scores[enough]))
-        for q, new_ids, new_scores in hits:
-            other = new_ids != query_ids[q]
+                    hits.append((q, b_places[found[enough]], scores[enough]))
+        for q, new, new_scores in hits:
+            new_ids = ids[new]
+            other = new_ids != query_ids[q] if own_place is None else new != own_place[q]
             all_ids = np.concatenate([best_id[q], new_ids[other]])
             all_scores = np.concatenate([best_score[q], new_scores[other]])
             top = np.lexsort((all_ids, -all_scores))[:k]
@@ -104,11 +116,13 @@ def block_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vec
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, candidate_rows: int = CANDIDATE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): every query's k highest integer products, ties to the smaller vec_id.
+    """(query_id, query_row, rank, vec_id, score): every query's k highest integer products, ties to the smaller vec_id.
 
     Both inputs are (vec_id, vector array<long>). A query is not a candidate of itself; fewer candidates than k give all
-    of them. Vectors of another size than the query's are compared over the shorter's components being present in both,
-    the missing ones counting as 0. Repeated ids are rows of their own. Empty inputs give an empty result.
+    of them. Rows equal in id and vector are one row. Rows of one id with different vectors are rows of their own: each
+    is a candidate, also of the others, and each is a query with its own k results; ``query_row`` numbers them from 1 in
+    the order of their vectors, and is 1 throughout where ids are distinct. Vectors of another size than the query's are compared over the shorter's components being present in both,
+    the missing ones counting as 0. Empty inputs give an empty result.
     """
     n_candidates, n_queries = candidates.count(), queries.count()
     across, down = max(1, -(-n_candidates // candidate_rows)), max(1, -(-n_queries // query_rows))
@@ -117,11 +131,18 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, candidate_rows:
         return F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int")
 
     cell = F.col("q_block") * across + F.col("c_block")
-    q = queries.withColumn("q_block", salted(queries, down)).withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    numbered = queries.select("vec_id", "vector", F.dense_rank().over(Window.partitionBy("vec_id").orderBy("vector")).alias("query_row"))
+    q = numbered.withColumn("q_block", salted(queries, down)).withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
     c = candidates.withColumn("c_block", salted(candidates, across)).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    q, c = (x.select(cell.alias("cell"), "vec_id", "vector") for x in (q, c))
+    q, c = q.select(cell.alias("cell"), "vec_id", "query_row", "vector"), c.select(cell.alias("cell"), "vec_id", "vector")
+
+    def key(vector: np.ndarray) -> bytes:
+        return np.asarray(vector, np.int64).tobytes()
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.drop_duplicates(["vec_id", "query_row"])
+        if right["vec_id"].duplicated().any():  # equal rows hash to the same block
+            right = right[~pd.Series([*zip(right["vec_id"], map(key, right["vector"]))], index=right.index, dtype=object).duplicated()]
         size = max([0, *map(len, left["vector"]), *map(len, right["vector"])])
 
         def matrix(rows: pd.DataFrame) -> np.ndarray:
@@ -130,18 +151,24 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, candidate_rows:
                 out[i, : len(v)] = v
             return out
 
-        return block_top_k(left["vec_id"].to_numpy(np.int64), matrix(left), right["vec_id"].to_numpy(np.int64), matrix(right), k)
+        query_ids, query_rows, ids = left["vec_id"].to_numpy(np.int64), left["query_row"].to_numpy(np.int32), right["vec_id"].to_numpy(np.int64)
+        asked = np.flatnonzero(np.isin(ids, query_ids))
+        place = {(ids[i], key(v)): i for i, v in zip(asked, right["vector"].iloc[asked], strict=True)}
+        own = np.array([place.get((i, key(v)), -1) for i, v in zip(query_ids, left["vector"], strict=True)], np.int64)
+        found = block_top_k(np.arange(len(left)), matrix(left), ids, matrix(right), k, own)
+        at = found["query_id"].to_numpy(np.int64)
+        return found.assign(query_id=query_ids[at], query_row=query_rows[at])
 
-    found = q.groupBy("cell").cogroup(c.groupBy("cell")).applyInPandas(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = q.groupBy("cell").cogroup(c.groupBy("cell")).applyInPandas(search, "query_id long, query_row int, vec_id long, score long")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "query_row", "rank", "vec_id", "score")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest-scoring vectors of every query vector (vec_id divisible by 20) among all other vectors."""
     rows = table(spark, sf_dir, "embeddings").filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     vectors = written(rows.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("vector")), "vectors")
-    return top_k(vectors.filter(F.col("vec_id") % QUERY_EVERY == 0), vectors)
+    return top_k(vectors.filter(F.col("vec_id") % QUERY_EVERY == 0), vectors).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = {

@@ -204,6 +204,23 @@ def test_top_k_equals_brute_force(spark, spread):
     assert mine == want
 
 
+def test_top_k_of_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [int(x) for x in rng.integers(-50, 50, 8)]) for i in range(60)]
+    rows += [rows[20], (20, [1, 2, 3, 4, 5, 6, 7, 8]), rows[3], (3, [40] * 8), rows[40]]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    got = topk.top_k(df.filter("vec_id % 20 = 0"), df, k=20, candidate_rows=15, query_rows=2)
+    mine = sorted((r.query_id, r.query_row, r.rank, r.vec_id, r.score) for r in got.collect())
+    distinct = sorted({(i, tuple(v)) for i, v in rows})
+    want, seen = [], collections.Counter()
+    for i, v in distinct:
+        if i % 20 == 0:
+            seen[i] += 1
+            best = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for j, w in distinct if (j, w) != (i, v))[:20]
+            want += [(i, seen[i], n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    assert seen == {0: 1, 20: 2, 40: 1} and mine == sorted(want)
+
+
 def test_top_k_edges(spark):
     rows = [(0, [1.0, 2.0]), (20, [0.5, None]), (40, None), (60, [float("nan"), 1.0]), (80, [float("inf"), 1.0]), (1, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").filter(topk.usable(F.col("embedding")))
