@@ -11,8 +11,10 @@ In each bucket of a band the member that a hash ranks first is the pivot, and ev
 exactly, on whole texts. That finds stars, whose links are joined to components. Buckets whose members are by then all
 in one component are done, whatever their size; in the others, each member outside the bucket's largest component is
 compared with the members of other components, but for pairs that the triangle inequality rules out (1 - similarity is a
-metric, and both distances to the pivot are known) or whose registers put them far below the limit. So no link between
-candidates can join two components unseen, and no group is paired with itself.
+metric, and both distances to the pivot are known) or whose registers put them far below the limit. So a link between
+candidates joins two components unseen only if the registers are wrong, which has a probability bound: DEVIATIONS. In an
+open bucket the registers of all pairs of minor with other members are looked at, which is the square of its size where
+most members are components of their own; pairs within a component are never compared.
 """
 
 from __future__ import annotations
@@ -30,9 +32,9 @@ from siloway.llm.common import free_name, table, written
 #: Words of a shingle, least similarity of a link, bands and registers in each.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 
-#: A pair in an open bucket is not tried if so much more of its registers differ than at the limit. At similarity 0.8 and
-#: 120 registers this is five and a half standard deviations, so it passes over one such pair in ten million.
-SLACK = 0.2
+#: A pair in an open bucket is not tried if so many standard deviations more of its registers differ than at the limit of
+#: similarity. A pair at the limit is passed over by chance: less than once in a million for the bands and rows tested.
+DEVIATIONS = 5.5
 
 #: Words that a task works off at once, and words whose hashes it remembers.
 CHUNK_WORDS, MEMO_WORDS = 250_000, 300_000
@@ -149,6 +151,12 @@ def unequal_registers(registers: int) -> str:
     return " + ".join(parts)
 
 
+def register_limit(registers: int, least: float) -> int:
+    """The most registers whose four bits may differ in a pair that could be as similar as ``least``."""
+    differ = (1 - least) * 15 / 16  # of unequal registers one in sixteen has equal bits
+    return min(registers, int(registers * differ + DEVIATIONS * (registers * differ * (1 - differ)) ** 0.5))
+
+
 def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
     """Probability Jaccard of two weighted sets: sorted ids and their weights. Two empty sets are equal, one is unlike any."""
     if not len(a) or not len(b):
@@ -311,7 +319,7 @@ def near_duplicates(
         & (F.abs(F.col("a_far") - F.col("b_far")) <= most)
         & ((F.col("b_part") == F.col("major")) | (F.col("a") < F.col("b")))
         # and only if the registers do not rule the similarity out
-        & (F.expr(unequal_registers(bands * rows)) <= int(bands * rows * ((1 - least) * 15 / 16 + SLACK)))
+        & (F.expr(unequal_registers(bands * rows)) <= register_limit(bands * rows, least))
     )
     hidden = written(hidden.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "hidden-pairs")
     if hidden.limit(1).count():

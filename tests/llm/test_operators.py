@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -185,6 +186,13 @@ def test_signature_estimates_probability_jaccard():
         assert abs((sketch[i] == sketch[j]).mean() - minhash.similarity(*part[i], *part[j])) < 0.04
 
 
+@pytest.mark.parametrize("bands, rows", [(24, 5), (10, 4), (5, 4), (4, 2), (40, 10), (3, 1)])
+def test_registers_pass_over_less_than_one_link_in_a_million(bands, rows):
+    limit, free, p = minhash.register_limit(bands * rows, 0.8), (bands - 1) * rows, 0.2 * 15 / 16  # one band is shared
+    assert sum(math.comb(free, k) * p**k * (1 - p) ** (free - k) for k in range(limit + 1, free + 1)) < 1e-6
+    assert minhash.register_limit(120, 0.8) == 46
+
+
 # --- 4 top-k -------------------------------------------------------------------------------------------------------
 
 
