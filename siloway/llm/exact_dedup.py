@@ -1,13 +1,14 @@
-"""Exact de-duplication by a tree merge of sorted digest runs. DataFrame functions only.
+"""Exact de-duplication by a tree merge of digest runs. DataFrame functions only.
 
 Every row is hashed to one of ``runs`` runs. Within a run, equal digests are reduced to one entry that keeps the id to
 retain and the number of rows. Runs are then merged ``fan_in`` at a time: in each round, run ``r`` joins run
 ``r // fan_in``, entries with equal digests meet, and each level keeps one entry. After the last round one run is left,
 whose entries are the classes of equal texts. A class holding a third of all rows is one entry per run after the first
-level, so no later task sees its rows.
+level, so no later task sees its rows. Spark's hash aggregation by (run, digest) takes the place of sorting runs and of
+merging them in order or by binomial exchange.
 
 Entries are equal when SHA-256, length in bytes and a second, unrelated 64-bit hash all agree; a differing length or
-second hash would keep two texts apart even if their SHA-256 collided.
+second hash would keep two texts apart even if their SHA-256 collided. The texts themselves are not compared.
 
 The way back uses the same tree: class -> entry of each run -> rows of that run, so the join that reaches the rows is
 keyed by (run, digest) and a hot class is spread over all runs.
