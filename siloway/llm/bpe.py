@@ -18,18 +18,17 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siloway.llm.common import free_name, small_batches, table
+from siloway.llm.common import apart, free_name, table, together
 
 #: Chunks (in each of two generations) and words remembered, words in a trie, and token pairs whose check is remembered.
-MEMO_CHUNKS, MEMO_WORDS, TRIE_WORDS, MEMO_PAIRS = 200_000, 150_000, 50_000, 300_000
+MEMO_CHUNKS, MEMO_WORDS, TRIE_WORDS, MEMO_PAIRS = 120_000, 80_000, 40_000, 150_000
 
-#: Rows of one Arrow batch, which bounds what a Python worker holds of very long texts.
+#: Rows that are encoded at once; only they leave Arrow's memory.
 BATCH_ROWS = 500
 
 #: The Unicode White_Space characters; str.split() also cuts at the four controls in NOT_SPACE.
@@ -232,6 +231,12 @@ class Encoder:
         for own in parts:
             yield joined([young[c] for c in own])
 
+    def forget(self) -> None:
+        """Drop what is remembered of texts; the vocabulary stays."""
+        for known in (self.young, self.old, self.memo, self.moves, self.inner, self.ends, self.follows):
+            known.clear()
+        self.checked = 0
+
     def decode(self, ids: list[int]) -> str:
         """The tokens' own strings joined by one space: the file names no decoder."""
         return " ".join([self.tokens[i] for i in ids])
@@ -254,42 +259,56 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text", ids: bool
     replaced. Texts are encoded whole at any length, an empty text to no tokens; repeated rows are encoded alike and an
     empty table gives an empty result.
     """
-    small_batches(df.sparkSession)
-    added = {"n_tokens": "long"} | ({"token_ids": "array<int>"} if ids else {}) | ({"ids_sha256": "string", "decoded_sha256": "string"} if digests else {})
-    kept = [c for c in df.columns if c not in added]
+    kinds = {"n_tokens": pa.int64()} | ({"token_ids": pa.list_(pa.int32())} if ids else {})
+    kinds |= {"ids_sha256": pa.string(), "decoded_sha256": pa.string()} if digests else {}
+    ddl = {"n_tokens": "long", "token_ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
+    df, back = apart(df, text_col, *kinds)
+    kept = [c for c in df.columns if c not in kinds]
     out = free_name(df, "encoded")
 
-    @F.pandas_udf(", ".join(f"{name} {kind}" for name, kind in added.items()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(", ".join(f"{name} {ddl[name]}" for name in kinds))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(path)
         for batch in batches:
-            if not len(batch):
-                yield pd.DataFrame([], columns=[*added])
+            made: dict[str, list] = {name: [] for name in kinds}
             for start in range(0, len(batch), BATCH_ROWS):
-                rows = []
-                for n, id_text, decoded in own.encode(batch.iloc[start : start + BATCH_ROWS].tolist()):
-                    row: list = [n]
+                for n, id_text, decoded in own.encode(batch.slice(start, BATCH_ROWS).to_pylist()):
+                    made["n_tokens"].append(n)
                     if ids:
-                        row.append(np.array([*map(int, id_text.split())], np.int32))
+                        made["token_ids"].append(pa.array([*map(int, id_text.split())], pa.int32()))
                     if digests:
-                        row.append(hashlib.sha256(id_text.encode()).hexdigest())
-                        row.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-                    rows.append(row)
-                yield pd.DataFrame(rows, columns=[*added])
+                        made["ids_sha256"].append(hashlib.sha256(id_text.encode()).hexdigest())
+                        made["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
+            arrays = [listed(made[name]) if pa.types.is_list(kind) else pa.array(made[name], kind) for name, kind in kinds.items()]
+            yield pa.StructArray.from_arrays(arrays, [*kinds])
+        own.forget()  # workers live on; what they remember would stay with them
+
+    return together(df.select(*kept, encode(text_col).alias(out)).select(*kept, f"{out}.*"), back)
 
-    return df.select(*kept, encode(text_col).alias(out)).select(*kept, f"{out}.*")
+
+def listed(arrays: list[pa.Array]) -> pa.Array:
+    """The arrays of numbers as one array of lists."""
+    ends = [0]
+    for a in arrays:
+        ends.append(ends[-1] + len(a))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays([pa.array([], pa.int32()), *arrays]))
 
 
 def decode_documents(df: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
-    """``df`` with ``decoded_text``, the decoding of ``ids_col`` (null: empty), added or replaced."""
+    """``df`` with ``decoded_text``, the decoding of ``ids_col`` (null or empty: the empty text), added or replaced.
+
+    Every other column stays; repeated rows are decoded alike and an empty table gives an empty result. An id that the
+    vocabulary lacks fails the job.
+    """
+    df, back = apart(df, ids_col, "decoded_text")
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(path)
         for batch in batches:
-            yield pd.Series([own.decode([] if ids is None else list(ids)) for ids in batch], dtype=object)
+            yield pa.array([own.decode(ids or []) for ids in batch.to_pylist()], pa.string())
 
-    return df.withColumn("decoded_text", decode(ids_col))
+    return together(df.withColumn("decoded_text", decode(ids_col)), back)
 
 
 def default_tokenizer() -> str:

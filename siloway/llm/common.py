@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: Hexadecimal digits of an MD5 that become one number: 13 x 4 bits fit a double without rounding.
 UNIT_DIGITS = 13
 
+#: What a batch for Python workers may hold while ``written`` writes: they hold a few copies of a batch of texts.
 ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
@@ -20,13 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session leaves it unset (tests on one machine) a temporary folder is made and kept in the session.
-    """
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where the session leaves that unset, a
+    folder of the warehouse, which is shared too. A session in one process (tests) gets a temporary folder instead."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("siloway.shared.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+        if spark.sparkContext.master.startswith("local"):
+            folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+        else:
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_siloway"
         spark.conf.set("siloway.shared.dir", folder)
     return folder.rstrip("/")
 
@@ -36,11 +38,6 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """From now on the session hands Python workers batches of BATCH_BYTES at most: they hold a few copies of a batch of texts."""
-    spark.conf.set(ARROW_BYTES, BATCH_BYTES)
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
@@ -74,3 +71,18 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def apart(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with those columns renamed that only letter case tells from ``names`` or from other columns, which Spark would
+    call ambiguous; and the way back, new name to old, for ``together``."""
+    lower = [c.lower() for c in df.columns]
+    clash = {n.lower() for n in names} | {c for c in lower if lower.count(c) > 1}
+    shown = [c if c in names or c.lower() not in clash else f"_apart_{i}" for i, c in enumerate(df.columns)]
+    back = {new: old for new, old in zip(shown, df.columns, strict=True) if new != old}
+    return (df.toDF(*shown) if back else df), back
+
+
+def together(df: DataFrame, back: dict[str, str]) -> DataFrame:
+    """``df`` with the columns that ``apart`` renamed under their own names."""
+    return df.toDF(*[back.get(c, c) for c in df.columns]) if back else df
