@@ -186,11 +186,45 @@ def test_signature_estimates_probability_jaccard():
         assert abs((sketch[i] == sketch[j]).mean() - minhash.similarity(*part[i], *part[j])) < 0.04
 
 
-@pytest.mark.parametrize("bands, rows", [(24, 5), (10, 4), (5, 4), (4, 2), (40, 10), (3, 1)])
-def test_registers_pass_over_less_than_one_link_in_a_million(bands, rows):
-    limit, free, p = minhash.register_limit(bands * rows, 0.8), (bands - 1) * rows, 0.2 * 15 / 16  # one band is shared
-    assert sum(math.comb(free, k) * p**k * (1 - p) ** (free - k) for k in range(limit + 1, free + 1)) < 1e-6
-    assert minhash.register_limit(120, 0.8) == 46
+@pytest.mark.parametrize("seed", range(3))
+def test_open_stars_lose_no_link(spark, seed):
+    """Copies of one text around the limit, some with repeated shingles or shared edits, and texts with one passage."""
+    rng = random.Random(seed)
+    base, passage = words(seed, 60) + words(seed, 60)[:30 * (seed == 1)], words(100 + seed, 50)
+    edits = [[f"edit{k}{j}" for j in range(2)] for k in range(6)]
+    texts = []
+    for _ in range(90):
+        copy = base[:]
+        for at in rng.sample(range(0, len(base), 3), rng.choice([0, 1, 2, 2, 3, 4])):
+            copy[at : at + 1] = rng.choice(edits) if rng.random() < 0.6 else [f"own{rng.randrange(10**6)}"]
+        texts.append(" ".join(copy[rng.choice([0, 0, 7]) :]))
+    texts += [" ".join(words(1000 + 100 * seed + k, 30) + passage) for k in range(40)]
+    got = {r.id: r.class_id for r in minhash.near_duplicates(docs(spark, texts), bands=40, rows=3).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_budget_bounds_the_shingles_of_one_text():
+    rng = np.random.default_rng(2)
+    for _ in range(3000):
+        n = rng.integers(4, 40)
+        x, y = rng.integers(1, rng.choice([2, 3, 6]), n), rng.integers(1, rng.choice([2, 3, 6]), n)
+        x[rng.random(n) < 0.1] = 0
+        y = np.where(rng.random(n) < 0.8, x, y)
+        y[rng.random(n) < 0.1] = 0
+        a, b = np.flatnonzero(x), np.flatnonzero(y)
+        if len(a) and len(b):
+            s = minhash.similarity(a, x[a], b, y[b])
+            apart = len(np.setxor1d(a, b))
+            assert apart <= minhash.budget(len(a), x.sum(), s) + minhash.budget(len(b), y.sum(), s) + 1e-9
+
+
+def test_repeated_and_null_ids_and_counts(spark):
+    long, other = " ".join(words(1, 50)), " ".join(words(2, 50))
+    rows = [(1, long), (1, long), (2, long + " end"), (None, long), (3, other), (4, other), (4, other), (5, None), (6, ""), (6, "")]
+    got = collections.Counter((r.id, r.class_id, r.class_size) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, 1, 3): 2, (2, 1, 3): 1, (3, 3, 3): 1, (4, 3, 3): 2, (5, 5, 3): 1, (6, 5, 3): 2}
+    two = minhash.near_duplicates(spark.createDataFrame([(1, long), (1, other), (2, long), (3, other)], "doc_id long, text string")).collect()
+    assert len(two) == 4 and len({r.class_id for r in two if r.id == 1}) == 1 and max(r.class_size for r in two) == 3
 
 
 # --- 4 top-k -------------------------------------------------------------------------------------------------------
