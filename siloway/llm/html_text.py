@@ -22,9 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siloway.llm.common import free_name, table
+from siloway.llm.common import apart, free_name, table, together
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+QUOTE_OR_END = re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,7 +49,7 @@ SCOPE = frozenset("table td th button caption html object".split())
 
 #: Elements and roles that hold no main text.
 OUT = frozenset(
-    "script style noscript template head title nav footer aside button select option textarea input iframe object embed applet svg canvas math "
+    "script style noscript template head title nav footer aside button select option textarea input iframe object embed applet svg canvas "
     "audio video map dialog menu noembed noframes xmp datalist".split()
 )
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist".split())
@@ -57,14 +58,16 @@ OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
 OUT_WORDS = frozenset(
     "nav navbar navigation menubar sidebar sidenav masthead topbar ad ads adv advert adverts advertisement advertising adslot adsense sponsored "
-    "outbrain taboola cookie cookies gdpr consent popup lightbox newsletter signup signin paywall breadcrumb breadcrumbs pagination pager toolbar skiplink".split()
+    "outbrain taboola cookie cookies gdpr consent popup lightbox newsletter signup signin paywall breadcrumb breadcrumbs pagination pager toolbar skiplink footer".split()
 )
 TOPIC_WORDS = frozenset(
-    "menu side aside rail footer foot header banner sponsor promo promotion promoted notice notices notification alert modal overlay dialog subscribe "
+    "menu side aside rail foot header banner sponsor promo promotion promoted notice notices notification alert modal overlay dialog subscribe "
     "subscription login register share sharing social related recommended recommendations widget widgets skip copyright legal disclaimer search form "
     "hidden reply replies respond responses discussion reactions".split()
 )
 CONTENT_WORDS = frozenset("article content main body post entry story text page".split())
+#: With these words a header is the title of the text.
+TITLED_WORDS = frozenset("article post entry story".split())
 #: Words that say nothing about what a container holds; a name counts only if the rest of it are such words.
 PLAIN_WORDS = CONTENT_WORDS | frozenset(
     "site global top bottom left right primary secondary wrapper wrap container inner outer box bar area section block list item items link links button "
@@ -137,62 +140,104 @@ def marked(tag: str, attributes: str) -> tuple[int, tuple[str, ...]]:
                 mark = max(mark, COMMENTS)
             elif OUT_WORDS.intersection(words):
                 mark = max(mark, SURE)
-            elif TOPIC_WORDS.intersection(words) and not CONTENT_WORDS.intersection(words):
+            elif TOPIC_WORDS.intersection(words) - ({"header"} if TITLED_WORDS.intersection(words) else set()):
                 mark = max(mark, TOPIC)
     return mark, own
 
 
+class Stack:
+    """The open elements, with the places of each tag, of blocks and of scopes, so that nothing is looked for step by step."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.places, self.blocks = [root], {}, []
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of the tags, 0 for none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, place: int) -> None:
+        """End the element at a place and all inside it."""
+        for node in self.nodes[place:]:
+            self.places[node.tag].pop()
+        del self.nodes[place:]
+        while self.blocks and self.blocks[-1] >= place:
+            self.blocks.pop()
+
+
 def parse(page: str) -> list[Node]:
-    """The elements of a page in document order, the first being a root that the page lies in."""
+    """The elements of a page in document order, the first being a root that the page lies in.
+
+    Every part of the page is passed over once or twice, however deep its elements nest and whatever is left unclosed.
+    """
     root = Node("#root", None)
-    nodes, stack = [root], [root]
-    at, articles = 0, 0
+    nodes, stack = [root], Stack(root)
+    at = 0
+    spent: set[str] = set()  # quotation marks that do not occur any more
+    quoted = True
+
+    def tag_end(at: int) -> int:
+        """Where the tag ends whose attributes begin here; after a tag that quotes swallow, quotes count for nothing."""
+        nonlocal quoted
+        start = at
+        while quoted:
+            m = QUOTE_OR_END.search(page, at)
+            if m is None:
+                quoted = False
+            elif m[0] == ">":
+                return m.end()
+            else:
+                close = -1 if m[0] in spent else page.find(m[0], m.end())
+                if close < 0:
+                    spent.add(m[0])
+                at = m.end() if close < 0 else close + 1
+        return page.find(">", start) + 1
+
     while True:
         m = TOKEN.search(page, at)
         if m is None:
             break
+        end = tag_end(m.end()) if m[2] else m.end()
+        if not end:  # no tag ends any more: the rest is text
+            break
         if m.start() > at:
-            stack[-1].kids.append(page[at : m.start()])
-        at = m.end()
+            stack.nodes[-1].kids.append(page[at : m.start()])
+        at = end
         if not m[2]:
             continue
-        tag = m[2].lower()
+        tag, attributes = m[2].lower(), page[m.end() : end - 1]
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    articles -= sum(n.tag in ("article", "main") for n in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK and tag not in BLOCK:  # an inline end tag does not reach out of its block
-                    break
+            place = stack.last((tag,))
+            # an inline end tag does not reach out of its block
+            if place and (tag in BLOCK or not stack.blocks or stack.blocks[-1] < place):
+                stack.close(place)
             continue
         if tag in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE:
-                    break
+            place = stack.last(("p",))
+            if place > stack.last(SCOPE):
+                stack.close(place)
         if tag in CLOSES:
             ends, until = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-                if stack[i].tag in until:
-                    break
-        node = Node(tag, stack[-1], stack[-1].out or is_out(tag, m[3], articles > 0))
-        node.mark, node.names = marked(tag, m[3])
-        stack[-1].kids.append(node)
+            place = stack.last(ends)
+            if place > stack.last(until):
+                stack.close(place)
+        up = stack.nodes[-1]
+        node = Node(tag, up, up.out or is_out(tag, attributes, stack.last(("article", "main")) > 0))
+        node.mark, node.names = marked(tag, attributes)
+        up.kids.append(node)
         nodes.append(node)
         if tag in RAW:
             close = re.compile(f"</{tag}[^>]*>?", re.I).search(page, at)
             at = close.end() if close else len(page)
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-            articles += tag in ("article", "main")
+        elif tag not in VOID and not attributes.endswith("/"):
+            stack.push(node)
     if at < len(page):
-        stack[-1].kids.append(page[at:])
+        stack.nodes[-1].kids.append(page[at:])
     return nodes
 
 
@@ -365,7 +410,7 @@ def blocks(top: Node) -> list[str]:
     whole = up is not None
 
     def close() -> None:
-        text = " ".join(html.unescape("".join(held)).split())
+        text = " ".join("".join(held).split())
         held.clear()
         if text:
             found.append(text)
@@ -376,7 +421,7 @@ def blocks(top: Node) -> list[str]:
         if kid is None:
             close()
         elif isinstance(kid, str):
-            held.append(kid)
+            held.append(html.unescape(kid))
         elif not kid.out:
             block = kid.tag in BLOCK
             if kid is not top and not whole and kid.tag in LINK_BLOCKS and kid.linked and density(kid) > 0.5:
@@ -404,8 +449,9 @@ def extract_main_text(df: DataFrame, html_col: str = "html") -> DataFrame:
     """``df`` with ``text`` and ``n_chars`` (its code points) added or replaced; every other column stays.
 
     Null, empty and text-less pages give an empty text and 0. Pages are read whole at any length; repeated rows give
-    repeated results and an empty table an empty one.
+    repeated results and an empty table an empty one. Columns are matched by their exact names.
     """
+    df, back = apart(df, html_col, "text", "n_chars")
     text = free_name(df, "main_text")
 
     @F.pandas_udf("string")
@@ -415,7 +461,7 @@ def extract_main_text(df: DataFrame, html_col: str = "html") -> DataFrame:
 
     kept = [c for c in df.columns if c not in ("text", "n_chars")]
     found = df.select("*", extract(html_col).alias(text))
-    return found.select(*[F.col(c) for c in kept], F.col(text).alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+    return together(found.select(*[F.col(c) for c in kept], F.col(text).alias("text"), F.char_length(text).cast("long").alias("n_chars")), back)
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
