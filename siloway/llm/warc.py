@@ -29,6 +29,9 @@ from siloway.llm.common import new_path, table, written
 #: Characters after which an archive is closed; a single larger record still fills one archive.
 ARCHIVE_CHARS = 8_000_000
 
+#: Parts that the records of one payload are dealt to.
+RUNS = 256
+
 #: The date that records get where the input has none, and the address of an unknown host.
 DATE, ADDRESS = "20200101000000", "0.0.0.0"
 
@@ -43,7 +46,9 @@ ID_HEADER = "X-Source-Id"
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
-RECORD = "source_id long, url string, mime string, date string, place string, payload binary"
+#: ``head`` is the HTTP head of the document as it stood, empty for documents of other protocols, which are all payload.
+RECORD = "source_id long, url string, address string, mime string, date string, place string, head string, payload binary"
+COLUMNS = [field.split(" ")[0] for field in RECORD.split(", ")]
 
 
 def sha1_base32(data: bytes) -> str:
@@ -173,10 +178,12 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
             for file, content in zip(batch["path"], batch["content"], strict=True):
                 rows = []
                 for i, (fields, document) in enumerate(arc_records(unpacked(content))):
-                    head, _, payload = document.partition(b"\r\n\r\n")
-                    own = head_field(head.decode("utf-8", "replace"), ID_HEADER)
-                    rows.append((None if own is None else int(own), fields["URL"], fields["Content-type"], fields["Archive-date"], f"{file.rpartition('/')[2]}:{i}", payload))
-                yield _frame(rows, ["source_id", "url", "mime", "date", "place", "payload"])
+                    head, blank, payload = document.partition(b"\r\n\r\n") if document.startswith(b"HTTP/") else (b"", b"", document)
+                    head = (head + blank).decode("latin-1")
+                    own = head_field(head, ID_HEADER)
+                    place = f"{file.rpartition('/')[2]}:{i}"
+                    rows.append((None if own is None else int(own), fields["URL"], fields["IP-address"], fields["Content-type"], fields["Archive-date"], place, head, payload))
+                yield _frame(rows, COLUMNS)
 
     return _files(spark, path).mapInPandas(parse, RECORD)
 
@@ -202,25 +209,34 @@ def warc_date(date14: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
+def warc_info(name: str) -> str:
+    """The record that a WARC file starts with."""
+    body = "software: siloway\r\nformat: WARC File Format 1.1\r\n"
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", warc_id(name)), ("WARC-Date", warc_date(DATE)), ("WARC-Filename", name), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(body)))]
+    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n" + body + "\r\n\r\n"
+
+
 def warc_record(row) -> str:
-    """A WARC/1.1 record. A revisit holds the HTTP head only; its declared digest and length are the full payload's."""
-    payload = row.payload
-    head = http_head(None if pd.isna(row.source_id) else int(row.source_id), row.mime, len(payload))
+    """A WARC/1.1 record: a response, or a resource where the document had no HTTP head. A revisit holds the head only; its
+    declared digest is the full payload's. Heads are kept as they were; payloads have to be UTF-8, as the text writer's are."""
+    payload, head = row.payload, row.head.encode("latin-1")
     revisit = row.refers_to is not None
-    block = head.encode() + (b"" if revisit else payload)
+    block = head + (b"" if revisit else payload)
     fields = [
-        ("WARC-Type", "revisit" if revisit else "response"),
+        ("WARC-Type", "revisit" if revisit else "response" if head else "resource"),
         ("WARC-Record-ID", warc_id(row.place)),
         ("WARC-Date", warc_date(row.date)),
         ("WARC-Target-URI", row.url),
         ("WARC-Payload-Digest", f"sha1:{sha1_base32(payload)}"),
         ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"),
-        ("Content-Type", "application/http; msgtype=response"),
+        ("Content-Type", "application/http; msgtype=response" if head else row.mime),
         ("Content-Length", str(len(block))),
     ]
+    if row.address not in ("-", ADDRESS):
+        fields.append(("WARC-IP-Address", row.address))
     if revisit:
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", warc_id(row.refers_to))]
-    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n" + block.decode("utf-8", "surrogateescape") + "\r\n\r\n"
+    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n" + block.decode("utf-8") + "\r\n\r\n"
 
 
 def warc_records(data: bytes) -> Iterator[tuple[str, bytes]]:
@@ -247,21 +263,25 @@ def convert(records: DataFrame, min_bytes: int = 0) -> str:
     """Convert records read from legacy archives to WARC files; returns their folder.
 
     Records whose payloads of at least ``min_bytes`` are equal (length, SHA-1 and SHA-256) are one class; the smallest
-    (source id, place) of it is a response and the others revisit it. Smaller payloads are all responses. Only the
+    (source id, place) of it is a response and the others revisit it. Smaller payloads are all responses, and documents
+    without an HTTP head are all resources. Only the
     places travel with the digests; payloads are shuffled by place, which no content makes hot.
     """
+    run = F.pmod(F.xxhash64("place"), F.lit(RUNS)).cast("int").alias("run")
     small = written(
         records.select(
-            "source_id", "place", F.octet_length("payload").alias("n"), F.sha1("payload").alias("d1"), F.sha2("payload", 256).alias("d2")
-        ).filter(F.col("n") >= min_bytes),
+            "source_id", "place", "head", F.octet_length("payload").alias("n"), F.sha1("payload").alias("d1"), F.sha2("payload", 256).alias("d2"), run
+        ).filter((F.col("n") >= min_bytes) & (F.col("head") != "")),
         "payload-digests",
     )
+    # a payload of any number of copies is one entry per run, so no join gathers its records
     key = ["n", "d1", "d2"]
-    first = small.groupBy(*key).agg(F.min(F.struct(F.col("source_id").isNull(), "source_id", "place")).alias("first"), F.count(F.lit(1)).alias("rows"))
-    first = first.filter("rows > 1").select(*key, F.col("first.place").alias("refers_to"))
-    again = small.join(first, key).filter("place <> refers_to").select("place", "refers_to")
+    leaves = small.groupBy("run", *key).agg(F.min(F.struct(F.col("source_id").isNull(), "source_id", "place")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    first = leaves.groupBy(*key).agg(F.min("first").alias("first"), F.sum("rows").alias("rows")).filter("rows > 1")
+    down = leaves.select("run", *key).join(first.select(*key, F.col("first.place").alias("refers_to")), key)
+    again = small.join(down, ["run", *key]).filter("place <> refers_to").select("place", "refers_to")
     rows = records.join(again, "place", "left")
-    return _write(_archives(rows, lambda name: ("", warc_record)), "warc", "\r\n")
+    return _write(_archives(rows, lambda name: (warc_info(name), warc_record)), "warc", "\r\n")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -276,8 +296,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for content in batch["content"]:
                 rows = []
                 for fields, block in warc_records(unpacked(content)):
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    head, kind = head.decode("utf-8", "replace"), head_field(fields, "WARC-Type")
+                    kind = head_field(fields, "WARC-Type")
+                    if kind == "warcinfo":
+                        continue
+                    head, _, payload = block.partition(b"\r\n\r\n") if kind != "resource" else (b"", b"", block)
+                    head = head.decode("latin-1")
                     digest = (head_field(fields, "WARC-Payload-Digest") or "").partition(":")[2]
                     length = len(payload)
                     if kind == "revisit":
@@ -304,7 +327,10 @@ def archive_index(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     records = read_arc(spark, write_arc(df, id_col, url_col, html_col, version))
     found = written(read_warc(spark, convert(records, min_bytes)), "warc-index")
     target = found.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("source_id").alias("refers_to"))
-    revisits = found.filter("record_type = 'revisit'").join(target, "refers_to_record", "left")
+    run = F.pmod(F.xxhash64("record_id"), F.lit(RUNS)).cast("int")
+    revisits = found.filter("record_type = 'revisit'").withColumn("run", run)
+    resolved = revisits.select("run", "refers_to_record").distinct().join(target, "refers_to_record")
+    revisits = revisits.join(resolved, ["run", "refers_to_record"], "left").drop("run")
     rest = found.filter("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long"))
     return rest.unionByName(revisits).select("source_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
