@@ -1,11 +1,12 @@
 """Exact de-duplication by a tree merge of digest runs. DataFrame functions only.
 
-Every row is hashed to one of ``runs`` runs. Within a run, equal digests are reduced to one entry that keeps the id to
-retain and the number of rows. Runs are then merged ``fan_in`` at a time: in each round, run ``r`` joins run
-``r // fan_in``, entries with equal digests meet, and each level keeps one entry. After the last round one run is left,
-whose entries are the classes of equal texts. A class holding a third of all rows is one entry per run after the first
-level, so no later task sees its rows. Spark's hash aggregation by (run, digest) takes the place of sorting runs and of
-merging them in order or by binomial exchange.
+Every row is hashed to one of ``runs`` runs. Digests of a run are sorted and equal ones become one entry, which keeps the
+id to retain and the number of rows. Runs are then exchanged in binomial rounds of ``fan_in`` partners: in round k, run r
+takes the runs r + i * fan_in ** k and merges them in the order of their digests, so equal entries meet and one stays at
+every level. After the last round one run is left, whose entries are the classes of equal texts. Runs are cut at the same
+prefixes of digests (``SLICE_BITS``), so that even the last merge is as many tasks as the cluster has. A class holding a
+third of all rows is one entry per run after the first level, so no later task sees its rows. The merges are Spark's sort
+aggregations: an exchange by (slice, run), a sort by digest, one pass over neighbours.
 
 Entries are equal when SHA-256, length in bytes and a second, unrelated 64-bit hash all agree; a differing length or
 second hash would keep two texts apart even if their SHA-256 collided. The texts themselves are not compared.
@@ -21,10 +22,10 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siloway.llm.common import free_name, table, written
+from siloway.llm.common import apart, free_name, table, together, written
 
-#: Runs at the leaves of the tree, and how many runs one merge takes.
-RUNS, FAN_IN = 256, 16
+#: Runs at the leaves of the tree, how many runs one merge takes, and bits of the digest by which runs are cut in slices.
+RUNS, FAN_IN, SLICE_BITS = 256, 4, 16
 
 KEY = ["digest", "n_bytes", "check_hash"]
 
@@ -36,6 +37,7 @@ def ascii_lower(text: Column) -> Column:
 
 def digest_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = RUNS) -> DataFrame:
     """(id, run, digest, n_bytes, check_hash) of every row."""
+    df, _ = apart(df, id_col, text_col)
     norm = ascii_lower(F.col(text_col))
     return df.select(F.col(id_col).alias("id"), norm.alias("norm")).select(
         "id",
@@ -46,17 +48,31 @@ def digest_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     )
 
 
-def merge_runs(entries: DataFrame, keep: str = "max", runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
-    """Merge leaf entries (run, digest, n_bytes, check_hash, keep_id, group_size) round by round into one run."""
+def merged(entries: DataFrame, keep: str) -> DataFrame:
+    """Neighbours with equal digests in sorted runs (slice, run, ..., best, group_size) as one entry.
+
+    ``best`` is (whether the id counts for nothing or for more, id), so a null id only stays among null ids. Being a struct
+    it has Spark aggregate by sorting.
+    """
     best = {"max": F.max, "min": F.min}[keep]
-    while runs > 1:
-        runs = -(-runs // fan_in)
-        entries = (
-            entries.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .groupBy("run", *KEY)
-            .agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        )
-    return entries.drop("run")
+    return entries.groupBy("slice", "run", *KEY).agg(best("best").alias("best"), F.sum("group_size").alias("group_size"))
+
+
+def leaf_entries(rows: DataFrame, keep: str = "max") -> DataFrame:
+    """The entries of every run: (slice, run, digest, n_bytes, check_hash, best, group_size) of rows of ``digest_rows``."""
+    first = F.col("id").isNotNull() if keep == "max" else F.col("id").isNull()
+    cut = F.conv(F.substring("digest", 1, SLICE_BITS // 4), 16, 10).cast("int")
+    return merged(rows.select(cut.alias("slice"), "run", *KEY, F.struct(first.alias("rank"), "id").alias("best"), F.lit(1).cast("long").alias("group_size")), keep)
+
+
+def merge_runs(entries: DataFrame, keep: str = "max", runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
+    """Merge leaf entries round by round into one run: (digest, n_bytes, check_hash, keep_id, group_size)."""
+    reach = 1
+    while reach < runs:
+        reach *= fan_in
+        partner = F.floor(F.col("run") / reach).cast("int") * reach
+        entries = merged(entries.withColumn("run", partner).repartition("slice", "run"), keep)
+    return entries.select(*KEY, F.col("best.id").alias("keep_id"), "group_size")
 
 
 def duplicate_classes(
@@ -69,9 +85,8 @@ def duplicate_classes(
     of null ids, where ``kept`` is true. Columns of ``df`` besides id and text are not read. An empty table gives an
     empty result.
     """
-    best = {"max": F.max, "min": F.min}[keep]
     rows = written(digest_rows(df, id_col, text_col, runs), "digests")
-    leaves = rows.groupBy("run", *KEY).agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    leaves = leaf_entries(rows, keep)
     classes = merge_runs(leaves, keep, runs, fan_in)
     shared = classes.filter("group_size > 1").select(*KEY, "keep_id", "group_size")
     down = leaves.select("run", *KEY).join(shared, KEY)
@@ -92,11 +107,12 @@ def drop_exact_duplicates(
     A row goes only if its own id and text were dropped, so an id that also has another text keeps that. Rows that
     repeat a retained id with an equal text are the same row to this operator and all stay with it.
     """
+    df, back = apart(df, id_col, text_col)
     mark, digest = free_name(df, "dropped_id"), free_name(df, "dropped_digest")
     dropped = duplicate_classes(df, id_col, text_col, keep, runs, fan_in).filter("not kept")
     dropped = dropped.select(F.col("id").alias(mark), F.col("text_sha256").alias(digest)).distinct()
     same = df[id_col].eqNullSafe(dropped[mark]) & (F.sha2(ascii_lower(df[text_col]), 256) == dropped[digest])
-    return df.join(dropped, same, "left_anti")
+    return together(df.join(dropped, same, "left_anti"), back)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
