@@ -20,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siloway.llm.common import free_name, table
+from siloway.llm.common import apart, free_name, table, together, written
 from siloway.llm.quality import held_out, labelled_sample
 
-#: Labelled rows that the lexicon is learned from at most, terms it may hold, clean look-alikes it may exempt.
-SAMPLE_ROWS, MAX_TERMS, MAX_EXEMPT = 20_000, 4_000, 100_000
+#: Labelled rows that the lexicon is learned from at most. Terms and exempt words are words of these rows and so bounded.
+SAMPLE_ROWS = 20_000
 
 #: What a term needs: texts it is in, its log odds of being in a toxic text, and for a stem the words it begins.
 MIN_TEXTS, MIN_WEIGHT, MIN_STEM_WORDS = 3, 2.5, 5
@@ -230,15 +230,25 @@ def sketch(words: set[str]) -> str:
     return "".join(long) if len(long) == 2 else hashlib.md5(" ".join(sorted(words)).encode()).hexdigest()
 
 
-def term_counts(sample: DataFrame) -> DataFrame:
-    """(term, stem, fold, toxic, clean): texts with each word or stem, near copies counted once.
+def sketched(texts: str) -> Column:
+    @F.pandas_udf("string")
+    def compute(rows: pd.Series) -> pd.Series:
+        return pd.Series([sketch(set(WORD.findall((t or "").lower()))) for t in rows])
 
-    ``sample`` has doc_id, text, label. A task counts its own rows before anything is shuffled.
-    """
+    return compute(texts)
 
-    @F.pandas_udf("string")
-    def sketched(texts: pd.Series) -> pd.Series:
-        return pd.Series([sketch(set(WORD.findall((t or "").lower()))) for t in texts])
+
+def one_of_each(sample: DataFrame) -> DataFrame:
+    """(doc_id, text, label, fold) of ``sample`` (doc_id, text, label): one row per label and sketch, the sketch's half."""
+    rows = sample.withColumn("sketch", sketched("text")).groupBy("sketch", "label").agg(F.min(F.struct("doc_id", "text")).alias("row"))
+    return rows.select("row.*", "label", F.pmod(F.crc32(F.col("sketch").cast("binary")), F.lit(2)).cast("int").alias("fold"))
+
+
+def term_counts(rows: DataFrame) -> DataFrame:
+    """(term, stem, fold, toxic, clean): texts of ``rows`` (text, label, fold) with each word or stem.
+
+    A task counts its own rows before anything is shuffled.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
@@ -250,20 +260,17 @@ def term_counts(sample: DataFrame) -> DataFrame:
         rows = [(t, s, fold, n if toxic else 0, 0 if toxic else n) for (t, s, fold, toxic), n in seen.items()]
         yield pd.DataFrame(rows, columns=["term", "stem", "fold", "toxic", "clean"])
 
-    rows = sample.withColumn("sketch", sketched("text")).groupBy("sketch", "label").agg(F.min(F.struct("doc_id", "text")).alias("row"))
-    rows = rows.select("row.text", "label", F.pmod(F.crc32(F.col("sketch").cast("binary")), F.lit(2)).cast("int").alias("fold"))
-    counted = rows.mapInPandas(count, "term string, stem boolean, fold int, toxic long, clean long")
+    counted = rows.select("text", "label", "fold").mapInPandas(count, "term string, stem boolean, fold int, toxic long, clean long")
     return counted.groupBy("term", "stem", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int, max_terms: int = MAX_TERMS) -> list:
-    """(term, stem, weight) of the terms that mark toxic texts, the heaviest ``max_terms``."""
+def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> list:
+    """(term, stem, weight) of all terms that mark toxic texts."""
     weight = F.log((F.col("toxic") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n_clean + 1.0))
     found = counts.groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).withColumn("weight", weight)
     need = F.when(F.col("stem"), F.lit(2 * MIN_TEXTS)).otherwise(F.lit(MIN_TEXTS))
     found = found.filter((F.col("toxic") >= need) & (F.col("weight") >= MIN_WEIGHT) & (F.col("toxic") >= 4 * F.col("clean")) & (F.length("term") >= 4))
-    strength = F.col("weight") * F.log1p("toxic")
-    return found.orderBy(strength.desc(), "term", "stem").limit(max_terms).select("term", "stem", "weight", "toxic").collect()
+    return found.select("term", "stem", "weight", "toxic").collect()
 
 
 def build(rows: list) -> Lexicon:
@@ -283,24 +290,19 @@ def exempted(lexicon: Lexicon, counts: DataFrame) -> Lexicon:
         return pd.Series([words.weight(t) for t in terms], dtype=float)
 
     clean = counts.filter("not stem and clean > 0").select("term").distinct().withColumn("w", weigh("term")).filter("w > 0")
-    lexicon.exempt = frozenset(r["term"] for r in clean.select("term").orderBy("term").limit(MAX_EXEMPT).collect())
+    lexicon.exempt = frozenset(r["term"] for r in clean.select("term").collect())
     lexicon.memo.clear()
     return lexicon
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fit on the bounded sample. Without labelled rows the lexicon is empty and everything scores as clean."""
-    from siloway.llm.common import written
-
     sample = written(labelled_sample(docs, labels, "toxic", rows), "toxic-sample")
-    counts = written(term_counts(sample), "toxic-terms")
-    size = {r["label"] > 0.5: r["count"] for r in sample.groupBy((F.col("label")).alias("label")).count().collect()}
-    n_toxic, n_clean = size.get(True, 0), size.get(False, 0)
-    half = build(choose_terms(counts.filter("fold = 0"), n_toxic // 2, n_clean // 2))
-
-    @F.pandas_udf("string")
-    def sketched(texts: pd.Series) -> pd.Series:
-        return pd.Series([sketch(set(WORD.findall((t or "").lower()))) for t in texts])
+    kept = written(one_of_each(sample), "toxic-rows")
+    counts = written(term_counts(kept), "toxic-terms")
+    size = {(r["toxic"], r["fold"]): r["count"] for r in kept.groupBy((F.col("label") > 0.5).alias("toxic"), "fold").count().collect()}
+    half = build(choose_terms(counts.filter("fold = 0"), size.get((True, 0), 0), size.get((False, 0), 0)))
+    n_toxic, n_clean = (size.get((toxic, 0), 0) + size.get((toxic, 1), 0) for toxic in (True, False))
 
     @F.pandas_udf("array<double>")
     def measure(texts: pd.Series) -> pd.Series:
@@ -325,7 +327,8 @@ def score_documents(df: DataFrame, model: Model, text_col: str = "text", score_c
         for batch in batches:
             yield pd.Series(own.scores(batch.tolist()), dtype=float)
 
-    return df.withColumn(score_col, compute(text_col))
+    df, back = apart(df, text_col, score_col)
+    return together(df.withColumn(score_col, compute(text_col)), back)
 
 
 def _plain(model: Model) -> tuple[dict[str, float], dict[str, float], frozenset[str], np.ndarray]:
@@ -344,7 +347,11 @@ def _plain(model: Model) -> tuple[dict[str, float], dict[str, float], frozenset[
 
 
 def toxic_hits(df: DataFrame, model: Model, text_col: str = "text", hits_col: str = "toxic_hits") -> DataFrame:
-    """``df`` with the hits of each text: an array of (start, end, word, weight, kind), empty where there are none."""
+    """``df`` with the hits of each text: an array of (start, end, word, weight, kind), empty where there are none.
+
+    Null and empty texts have none; whole texts of any length are read; repeated rows get equal hits, an empty table gives
+    an empty result, and every other column stays.
+    """
     words, stems, exempt, _ = _plain(model)
 
     @F.pandas_udf("array<struct<start:int,end:int,word:string,weight:double,kind:string>>")
@@ -353,11 +360,16 @@ def toxic_hits(df: DataFrame, model: Model, text_col: str = "text", hits_col: st
         for batch in batches:
             yield pd.Series([[dict(zip(("start", "end", "word", "weight", "kind"), h, strict=True)) for h in own.hits(t)] for t in batch.tolist()], dtype=object)
 
-    return df.withColumn(hits_col, compute(text_col))
+    df, back = apart(df, text_col, hits_col)
+    return together(df.withColumn(hits_col, compute(text_col)), back)
 
 
 def drop_toxic(df: DataFrame, model: Model, text_col: str = "text", cut: float = 0.5) -> DataFrame:
-    """The rows of ``df`` that score below ``cut``, with their columns as they were."""
+    """The rows of ``df`` that score below ``cut``, with their columns as they were.
+
+    Null texts count as empty ones, which score as clean ones do; of repeated rows all stay or none; an empty table gives
+    an empty result.
+    """
     mark = free_name(df, "toxicity_score")
     return score_documents(df, model, text_col, mark).filter(F.col(mark) < cut).drop(mark)
 
