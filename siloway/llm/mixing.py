@@ -3,7 +3,7 @@
 A source with target weight w among n of N rows gets the repetition rate ``epochs * w * N / n``. For each document a
 uniform number comes from a hash of the seed and its id; inverting the Poisson distribution of that rate there gives its
 number of copies, whose mean is the rate. Documents are exploded by their counts and the copies shuffled globally by a
-second hash, through range partitions, so no step holds a source or the table in one task.
+second hash, through even ranges of it, so no step holds a source or the table in one task.
 
 The table of distribution functions has one row per source and its arrays are as long as the largest count that a rate
 can give with a probability that a double shows; counts are not capped.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siloway.llm.common import free_name, hex_of, table, unit_of
+from siloway.llm.common import apart, free_name, hex_of, table, together, unit_of
 
 SEED, EPOCHS = 11, 1.0
 
@@ -78,6 +78,7 @@ def mix_sources(
     these names in ``df`` are replaced, all others stay. Rows with the same id and source get the same count. Null ids
     count as the empty text, null and empty texts are repeated like others, an empty table gives an empty result.
     """
+    df, back = apart(df, id_col, source_col, "copy_no", "n_copies", "order_key")
     rates = repetition_rates(df, source_col, weights, epochs, temperature)
     src = free_name(df, "mix_source")
     cdf = free_name(df, "mix_cdf")
@@ -85,16 +86,18 @@ def mix_sources(
     small = rates.select(src).limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     rows = df.drop("copy_no", "n_copies", "order_key")
     u = unit_of(hex_of(seed, id_col, source_col))
-    return (
+    mixed = (
         rows.join(F.broadcast(rates) if small else rates, F.col(source_col).eqNullSafe(F.col(src)))
         .withColumn("n_copies", F.size(F.filter(cdf, lambda p: p <= u)).cast("long"))
         .filter("n_copies > 0")
         .withColumn("copy_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
         .withColumn("order_key", hex_of(f"{seed} order", id_col, source_col, "copy_no"))
         .drop(src, cdf)
-        .repartitionByRange("order_key")
-        .sortWithinPartitions("order_key")
     )
+    # digests are even, so the bounds of the parts are known without a sample of the rows
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mixed = mixed.repartitionById(parts, F.floor(unit_of(F.col("order_key")) * parts).cast("int")).sortWithinPartitions("order_key")
+    return together(mixed, back)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

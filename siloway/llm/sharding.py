@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siloway.llm.common import hex_of, table, unit_of, written
+from siloway.llm.common import apart, hex_of, table, together, unit_of, written
 
 SHARDS, SEED = 8, 7
 
@@ -37,6 +37,7 @@ def interleave(
     three are ordered by the rest of their columns' hash, and rows equal in everything are interchangeable. An empty
     table gives an empty result.
     """
+    df, back = apart(df, id_col, source_col, "shard", "slot", "fractional_rank")
     total = df.count()
     buckets = math.isqrt(total) + 1
     src, h = F.col("_il_src"), F.col("_il_hex")
@@ -65,7 +66,7 @@ def interleave(
     starts = _starts(ranked.groupBy("_il_b").agg(F.count(F.lit(1)).alias("n")), [], "_il_b").select("_il_b", F.col("start").alias("_il_start"))
     across = Window.partitionBy("_il_b").orderBy("fractional_rank", h, src, F.col(id_col), "_il_tie")
     place = F.col("_il_start") + F.col("_il_rank") - 1
-    return (
+    placed = (
         ranked.withColumn("_il_rank", F.row_number().over(across))
         .join(starts, "_il_b")
         .withColumn("_il_place", place.cast("long"))
@@ -73,10 +74,12 @@ def interleave(
         .withColumn("slot", F.expr(f"_il_place - (shard * {max(total, 1)}L + {shards - 1}) div {shards}").cast("long"))
         .drop("_il_src", "_il_hex", "_il_tie", "_il_b", "_il_start", "_il_rank", "_il_place")
     )
+    return together(placed, back)
 
 
 def write_shards(df: DataFrame, path: str) -> None:
-    """Write interleaved rows, one folder per shard and one sorted file in each."""
+    """Write interleaved rows, one folder per shard and one sorted file in each. Rows are written as they are, nulls, long
+    texts and repeated rows included; an empty table gives an empty folder."""
     df.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
