@@ -176,3 +176,64 @@ def seeded_random(seed: Column) -> Column:
 
 def normal_deviate(u1: Column, u2: Column) -> Column:
     return F.sqrt(-2 * F.ln(u1)) * F.cos(F.lit(6.283185307179586) * u2)
+
+
+def first_sector(text: Column) -> Column:
+    return F.get(sectors_in(F.coalesce(text, F.lit(""))), F.lit(0))
+
+
+def truck_sector_code(last_camera: Column, last_sector: Column, current_sector: Column, current_camera: Column) -> Column:
+    """The sector code in the newest of a truck's places that names one; null if none does."""
+    return F.coalesce(*map(first_sector, (last_camera, last_sector, current_sector, current_camera)))
+
+
+def mix_tag(token: Column) -> Column:
+    """The mix tag that belongs to a CIR_ or VUE_ token; null for other tokens."""
+    number = F.regexp_extract(token, "(?i)^(?:CIR|VUE)_([0-9]+_V[0-9]+)$", 1)
+    return F.when(number != "", F.concat(F.lit("MIX_"), number))
+
+
+def tag_matches(tag: Column, code: Column) -> Column:
+    """Whether a tag is a code, or a PTD_ or PTC_ code with something after an underscore."""
+    t, c = F.upper(F.trim(tag)), F.upper(F.trim(code))
+    return (c != "") & ((t == c) | (c.rlike("^PT[DC]_") & t.startswith(F.concat(c, F.lit("_")))))
+
+
+def deterministic_pick(values: list[str], key: Column) -> Column:
+    """One of the values by the sum of the key's character codes."""
+    codes = F.transform(F.filter(F.split(key, ""), lambda c: c != ""), F.ascii)
+    at = F.aggregate(codes, F.lit(0), lambda a, c: a + c) % len(values)
+    return F.element_at(F.array(*[F.lit(v) for v in values]), at + 1)
+
+
+def scatter_x(view: str, hours: Column, days_back: Column) -> Column:
+    """The place of an entry on the axis of a day, week or month: hours, day 1 to 7, or week 1 to 5, with their fractions."""
+    at = round_half_up(hours * 100) / 100
+    if view == "day":
+        return at
+    if view == "week":
+        return F.greatest(F.lit(1), F.least(F.lit(7), 7 - days_back)) + at / 24
+    week = 5 - F.floor(days_back / 7)
+    return F.greatest(F.lit(1), F.least(F.lit(5), week)) + (days_back % 7) / 7 + at / 24 / 7
+
+
+def day_range(last_day: Column | int, period: str) -> tuple[Column, Column]:
+    """[start, end) in microseconds of the day, the seven or the thirty days up to the end of a day (days since 1970)."""
+    end = (F.lit(last_day) + 1).cast("long") * DAY_US
+    return end - {"last_day": 1, "last_week": 7, "last_month": 30}[period] * DAY_US, end
+
+
+def safe_file_name(prefix: Column, stamp: Column, extension: str) -> Column:
+    """A file name of the letters, digits, - and _ of a prefix in lower case, with a time stamp."""
+    return F.concat(F.lower(F.regexp_replace(prefix, "[^a-zA-Z0-9_-]", "_")), F.lit("_"), stamp, F.lit("." + extension))
+
+
+def export_subtitle(plant: Column, period: Column, generated: Column) -> Column:
+    """The parts of a subtitle that are there, with their names."""
+    named = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}: "), c)) for name, c in (("Planta", plant), ("Período", period), ("Generado", generated))]
+    return F.concat_ws(" | ", *named)
+
+
+def cargo_form(raw: Column) -> Column:
+    up = F.upper(raw)
+    return F.when(up.isin("SOLID", "LIQUID"), up).otherwise("UNKNOWN")

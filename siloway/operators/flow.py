@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siloway.functions.scalar import DAY_US, HOUR_US, WEEKDAYS, decimal_hour, hour_of, shift_of
+from siloway.functions.scalar import DAY_US, HOUR_US, SHIFTS, WEEKDAYS, decimal_hour, hour_of, shift_of
 
 SATURATION, ALERT = 220, 180
 
@@ -151,3 +151,28 @@ def time_buckets(spark: SparkSession, start_us: int, end_us: int, step_us: int)
         F.element_at(names, (F.pmod(F.floor(F.col("start_us") / F.lit(DAY_US)) + 4, F.lit(7)) + 1).cast("int")).alias("weekday"),
         F.format_string("%02d:%02d", hour, (F.pmod(F.col("start_us"), F.lit(HOUR_US)) / F.lit(60_000_000)).cast("int")).alias("label"), (hour % 6 == 0).alias("tick"),
     )
+
+
+def flow_points(week: DataFrame | None, day: DataFrame | None) -> DataFrame | None:
+    """One shape for both flows: the week's points if there is a week, else the day's."""
+    if week is not None:
+        return week.select("site_id", "slot", "label", "in_plant", "arrivals", "departures", "net", "hour", "day")
+    if day is None:
+        return None
+    return day.select("site_id", "slot", F.format_string("%02d", "slot").alias("label"), "in_plant", "arrivals", "departures", "net", F.col("slot").alias("hour"), F.lit(None).cast("int").alias("day"))
+
+
+def arrival_peaks(points: DataFrame) -> DataFrame:
+    """All slots of a site that have its greatest number of arrivals, if that is not 0."""
+    most = points.groupBy("site_id").agg(F.max("arrivals").alias("arrivals")).filter("arrivals > 0")
+    return points.join(most, ["site_id", "arrivals"]).select("site_id", "slot", "label", "arrivals")
+
+
+def shifts(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(s,) for s, _, _ in SHIFTS], "shift string")
+
+
+def every_shift(stats: DataFrame) -> DataFrame:
+    """Statistics by shift with a row for each shift, zeros for one without trips."""
+    full = shifts(stats.sparkSession).join(stats, "shift", "left")
+    return full.fillna(0, [c for c in stats.columns if c != "shift"])

@@ -13,11 +13,12 @@ DEVIATIONS = ("FUERA_CIRCUITO", "CONFLICTO_CIRCUITO_CAMARA")
 DELAYS = ("EXCESO_TIEMPO_SECTOR", "SIN_ACTUALIZACION")
 
 
-def days_before(us: Column, ref_day: int) -> Column:
+def days_before(us: Column, ref_day: int | Column) -> Column:
+    """Whole days from an instant to a reference day, which may be a column (each site's own)."""
     return F.lit(ref_day) - day_number(us)
 
 
-def period(trips: DataFrame, kind: str, ref_day: int, drill_day: int | None = None, drill_week: int | None = None) -> DataFrame:
+def period(trips: DataFrame, kind: str, ref_day: int | Column, drill_day: int | None = None, drill_week: int | None = None) -> DataFrame:
     """Trips whose exit lies in the day, the week or the calendar month of a reference day, or in a part drilled into.
 
     In a week, ``drill_day`` counts days back from the reference; in a month, ``drill_week`` 1 to 4 counts weeks up to
@@ -158,7 +159,7 @@ def retained(trips: DataFrame, cap: int) -> DataFrame:
     days = trips.groupBy("site_id", "trip_date").agg(F.count(F.lit(1)).alias("n"))
     newer = F.coalesce(F.sum("n").over(Window.partitionBy("site_id").orderBy(F.desc("trip_date")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     days = days.withColumn("newer", newer).filter(F.col("newer") < cap)
-    rows = trips.join(F.broadcast(days), ["site_id", "trip_date"])
+    rows = trips.join(days, ["site_id", "trip_date"])
     whole = rows.filter(F.col("newer") + F.col("n") <= cap)
     rank = F.row_number().over(Window.partitionBy("site_id").orderBy(F.desc("out_us"), F.desc("trip_id")))
     part = rows.filter(F.col("newer") + F.col("n") > cap).withColumn("_r", rank).filter(F.col("_r") <= cap - F.col("newer")).drop("_r")

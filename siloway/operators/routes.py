@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siloway.functions.dims import PRODUCT_ORDER
 from siloway.functions.scalar import base_code, camera_sector, normal_code, product_label
 
 OTHERS, UNCLASSIFIED, TONNES_PER_TRUCK = "Otros", "Sin clasificar", 26
@@ -23,7 +24,7 @@ def circuit_lookup(trips: DataFrame, circuits: DataFrame) -> DataFrame:
     wanted = codes.select("site_id", "circuit", F.col("norm").alias("key"), F.lit(False).alias("by_base")).unionByName(codes.select("site_id", "circuit", F.col("base").alias("key"), F.lit(True).alias("by_base")))
     first = wanted.join(F.broadcast(keys), ["site_id", "key", "by_base"]).groupBy("site_id", "circuit").agg(F.min("ordinal").alias("ordinal"))
     found = first.join(F.broadcast(circuits), ["site_id", "ordinal"]).select("site_id", "circuit", F.col("code").alias("circuit_code"), "circuit_name", "kind", "subkind", "operation")
-    return trips.join(F.broadcast(found), ["site_id", "circuit"], "left")
+    return trips.join(found, ["site_id", "circuit"], "left")
 
 
 def matched_length(sequence: Column, catalog: Column) -> Column:
@@ -45,7 +46,7 @@ def classify_by_sequence(trips: DataFrame, circuits: DataFrame, least: float = 0
     pairs = pairs.withColumn("score", score).withColumn("exact", F.col("own") == F.col("catalog")).filter("score > 0")
     rank = F.struct("exact", F.when(F.col("exact"), 0.0).otherwise(F.col("score")).alias("s"), -F.col("ordinal"))
     best = pairs.groupBy("site_id", "own").agg(F.max_by(F.struct("code", "score", "exact"), rank).alias("b")).filter(F.col("b.exact") | (F.col("b.score") >= least))
-    return trips.withColumn("own", own).join(F.broadcast(best), ["site_id", "own"], "left").withColumn("sequence_code", F.col("b.code")).drop("own", "b")
+    return trips.withColumn("own", own).join(best, ["site_id", "own"], "left").withColumn("sequence_code", F.col("b.code")).drop("own", "b")
 
 
 def states(trips: DataFrame, by: list[str]) -> DataFrame:
@@ -113,3 +114,25 @@ def valid_bars(looked_up: DataFrame) -> DataFrame:
     return looked_up.filter("state <> 'ANOMALO' and operation is not null").groupBy("site_id", "operation", F.col("circuit_name").alias("destination")).agg(
         F.count(F.lit(1)).alias("trips"), F.array_join(F.array_sort(F.collect_set("circuit_code")), ",").alias("codes")
     )
+
+
+def enriched(looked_up: DataFrame) -> DataFrame:
+    """Trips with the texts that a table shows for what the catalog lacks."""
+    code, name = F.coalesce("circuit_code", "circuit"), F.coalesce("circuit_name", F.lit("Sin catálogo"))
+    words = {"cir": "N/A", "vue": "N/A", "description": "Sin descripción disponible"}
+    shown = {c: F.coalesce(F.col(c) if c in looked_up.columns else F.lit(None).cast("string"), F.lit(v)) for c, v in words.items()}
+    return looked_up.withColumns({"catalog_code": code, "catalog_name": name, **shown})
+
+
+def product_order(product: Column) -> Column:
+    """The place of a product among anomalous ones; unknown ones come last and go by name."""
+    out = F.lit(50)
+    for i, p in enumerate(PRODUCT_ORDER):
+        out = F.when(F.lower(product) == p.lower(), i).otherwise(out)
+    return out
+
+
+def anomalous_products(looked_up: DataFrame) -> DataFrame:
+    """(site_id, position, product, trips): anomalous trips by product in the fixed order. A site has a few products."""
+    counts = looked_up.filter("state = 'ANOMALO'").groupBy("site_id", "product").agg(F.count(F.lit(1)).alias("trips"))
+    return counts.withColumn("position", F.row_number().over(Window.partitionBy("site_id").orderBy(product_order(F.col("product")), "product")))

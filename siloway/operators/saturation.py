@@ -16,11 +16,12 @@ from siloway.functions.scalar import DAY_US, HOUR_US, MINUTE_US, alert_category,
 CHUNK_US = DAY_US
 
 
-def sector_intervals(trips: DataFrame) -> DataFrame:
+def sector_intervals(trips: DataFrame, by_trip: bool = False) -> DataFrame:
     """(trip_id, site_id, sector, step, start_us, end_us): a trip's stay divided over its sectors.
 
     Weights are the known minutes of the sectors, unknown ones counting as the mean of the known; without any known
-    they are equal. A stay that is not positive is taken as the clamped minutes. Empty segments are left out.
+    they are equal. A stay that is not positive is taken as the clamped minutes. Empty segments are left out. ``by_trip``
+    gives (site_id, stay, sectors) instead, a row per trip with the sectors that it has segments in.
     """
     span = F.when(F.col("out_us") > F.col("in_us"), F.col("out_us") - F.col("in_us")).otherwise((F.col("stay") * MINUTE_US).cast("long"))
     raw = F.transform("sectors", lambda s: F.greatest(F.lit(0.0), F.coalesce(F.element_at("sector_minutes", s), F.lit(0.0))))
@@ -30,12 +31,16 @@ def sector_intervals(trips: DataFrame) -> DataFrame:
     weights = F.when(F.size(known) > 0, F.transform("raw", lambda w: F.when(w > 0, w * F.size(known)).otherwise(total))).otherwise(F.transform("sectors", lambda s: F.lit(1.0)))
     rows = trips.filter(F.size("sectors") > 0).withColumn("span", span).withColumn("raw", raw).withColumn("weights", weights)
     rows = rows.withColumn("whole", F.aggregate("weights", F.lit(0.0), lambda a, w: a + w))
-    rows = rows.select("trip_id", "site_id", "in_us", "span", "weights", "whole", F.posexplode("sectors").alias("step", "sector"))
 
     def edge(count: Column) -> Column:
         upto = F.aggregate(F.slice("weights", F.lit(1), count), F.lit(0.0), lambda a, w: a + w)
         return F.col("in_us") + F.floor(F.col("span") * upto / F.col("whole")).cast("long")
 
+    if by_trip:
+        kept = F.filter(F.transform("sectors", lambda s, i: F.when((edge(i + 1) > edge(i)) & (s != ""), s)), lambda s: s.isNotNull())
+        return rows.select("site_id", "stay", kept.alias("sectors")).filter(F.size("sectors") > 0)
+    rows = rows.select("trip_id", "site_id", "in_us", "span", "weights", "whole", F.posexplode("sectors").alias("step", "sector"))
+
     cut = rows.select("trip_id", "site_id", "sector", "step", edge(F.col("step")).alias("start_us"), edge(F.col("step") + 1).alias("end_us"))
     return cut.filter((F.col("end_us") > F.col("start_us")) & (F.col("sector") != ""))
 
@@ -67,22 +72,22 @@ def peak_concurrent(intervals: DataFrame, by: list[str]) -> DataFrame:
 def episodes(intervals: DataFrame, capacity: DataFrame) -> DataFrame:
     """Maximal spans of a sector with occupancy over its capacity.
 
-    Only steps over capacity and the steps that end them matter; an island is numbered by the starts before it. The
-    window is over the steps at which the state changes, a small part of all.
+    A stretch of steps over capacity is first reduced within its chunk of time: its first step, its last, its greatest
+    occupancy, and whether it goes on in the next chunk. Only these pieces, not the steps, are then chained by sector.
     """
     by = ["site_id", "sector"]
     levels = occupancy(intervals, by).join(F.broadcast(capacity.filter("capacity > 0")), by)
     order = Window.partitionBy(*by, "chunk").orderBy("at_us")
     levels = levels.withColumn("over", F.col("occupied") > F.col("capacity"))
-    first = F.row_number().over(order) == 1
     # the state before the first step of a chunk is its occupancy less the change
-    before = F.when(first, F.col("occupied") - F.col("change") > F.col("capacity")).otherwise(F.lag("over").over(order))
-    levels = levels.withColumn("was", before)
-    turning = levels.filter("over or was")
-    island = F.sum(F.when(F.col("over") & ~F.col("was"), 1).otherwise(0)).over(Window.partitionBy(*by).orderBy("at_us"))
-    spans = turning.withColumn("island", island).groupBy(*by, "capacity", "island").agg(
-        F.min("at_us").alias("start_us"), F.max(F.when(~F.col("over"), F.col("at_us"))).alias("end_us"), F.max(F.when(F.col("over"), F.col("occupied"))).alias("max_occupancy")
-    )
+    was = F.when(F.row_number().over(order) == 1, F.col("occupied") - F.col("change") > F.col("capacity")).otherwise(F.lag("over").over(order))
+    levels = levels.withColumn("was", was).withColumn("piece", F.sum(F.when(F.col("over") & ~F.col("was"), 1).otherwise(0)).over(order))
+    pieces = levels.filter("over or was").groupBy(*by, "capacity", "chunk", "piece").agg(
+        F.min(F.when(F.col("over") & ~F.col("was"), F.col("at_us"))).alias("opened"), F.max(F.when(~F.col("over"), F.col("at_us"))).alias("closed"),
+        F.max(F.when(F.col("over"), F.col("occupied"))).alias("most"), F.min("at_us").alias("at"),
+    )
+    island = F.count("opened").over(Window.partitionBy(*by).orderBy("chunk", "piece"))
+    spans = pieces.withColumn("island", island).groupBy(*by, "capacity", "island").agg(F.min("at").alias("start_us"), F.max("closed").alias("end_us"), F.max("most").alias("max_occupancy"))
     pct = F.col("max_occupancy") / F.col("capacity") * 100
     return spans.filter("end_us is not null").select(
         *by, "start_us", "end_us", ((F.col("end_us") - F.col("start_us")) / MINUTE_US).alias("minutes"), "max_occupancy", "capacity",
@@ -152,12 +157,19 @@ def simultaneous(found: DataFrame, bucket_us: int = HOUR_US) -> DataFrame:
 
 
 def sector_density(intervals: DataFrame, trips: DataFrame, alerts: DataFrame, capacity: DataFrame) -> DataFrame:
-    """Per site and sector: peak occupancy, trips through it, their mean stay, alerts, capacity, and whether the peak reaches it."""
+    """Per site and sector: peak occupancy, trips through it, their mean stay, alerts, capacity, and whether the peak reaches it.
+
+    Trips through a sector come from each trip's own array of sectors, so facts are never joined to facts.
+    """
     by = ["site_id", "sector"]
-    through = intervals.select("trip_id", *by).distinct().join(trips.select("trip_id", "stay"), "trip_id").groupBy(*by).agg(F.count(F.lit(1)).alias("trips"), F.avg("stay").alias("mean_stay"))
+    own = sector_intervals(trips, by_trip=True)
+    through = own.select("site_id", "stay", F.explode(F.array_distinct("sectors")).alias("sector")).groupBy(*by).agg(F.count(F.lit(1)).alias("trips"), F.avg("stay").alias("mean_stay"))
     alerted = alerts.filter("sector is not null").groupBy(*by).agg(F.count(F.lit(1)).alias("alerts"))
-    full = peak_concurrent(intervals, by).join(through, by, "full").join(alerted, by, "full").fillna(0, ["peak", "trips", "mean_stay", "alerts"])
-    full = full.join(F.broadcast(capacity), by, "left")
+    zero = F.lit(0).cast("long")
+    parts = peak_concurrent(intervals, by).select(*by, F.col("peak").cast("long").alias("peak"), zero.alias("trips"), F.lit(0.0).alias("mean_stay"), zero.alias("alerts"))
+    parts = parts.unionByName(through.select(*by, zero.alias("peak"), "trips", "mean_stay", zero.alias("alerts")))
+    parts = parts.unionByName(alerted.select(*by, zero.alias("peak"), zero.alias("trips"), F.lit(0.0).alias("mean_stay"), "alerts"))
+    full = parts.groupBy(*by).agg(*[F.max(c).alias(c) for c in ("peak", "trips", "mean_stay", "alerts")]).join(F.broadcast(capacity), by, "left")
     return full.withColumn("saturated", F.coalesce(F.col("peak") >= F.col("capacity"), F.lit(False)))
 
 
@@ -189,3 +201,21 @@ def narrative(summary: DataFrame, found: DataFrame, overlaps: DataFrame) -> Data
     pair = overlaps.groupBy("site_id").agg(F.max_by(F.struct("sector_a", "sector_b"), F.struct("overlap_count", "sector_a", "sector_b")).alias("p"))
     both = pair.select("site_id", F.lit(3).alias("rule"), F.format_string("Se observa solapamiento temporal de episodios de saturación entre %s y %s.", "p.sector_a", "p.sector_b").alias("sentence"))
     return worst.unionByName(when).unionByName(both)
+
+
+def analysis(trips: DataFrame, capacity: DataFrame, start_us: int, end_us: int, step_us: int = HOUR_US) -> dict[str, DataFrame] | None:
+    """The whole analysis of a range by name: intervals, episodes, heatmap, summaries, executive, simultaneous, flow.
+
+    None for an empty range. A table of capacities without rows gives no episodes and normal cells.
+    """
+    from siloway.operators.flow import flow_by_bucket
+
+    if end_us <= start_us:
+        return None
+    near = trips.filter((F.col("out_us") > start_us) & (F.col("in_us") < end_us))
+    inside = clipped(sector_intervals(near), start_us, end_us)
+    found, cells = episodes(inside, capacity), heatmap(inside, capacity, start_us, end_us, step_us)
+    summary = summaries(found, cells, step_us)
+    return {
+        "intervals": inside, "episodes": found, "heatmap": cells, "summaries": summary, "executive": executive(summary), "simultaneous": simultaneous(found), "flow": flow_by_bucket(near, start_us, end_us, step_us),
+    }

@@ -11,11 +11,24 @@ CRITICAL_SECTOR, SILENT_MINUTES, ACTIVE_HOURS = "S4", 60, 4
 EXIT_SECTORS = ("S3", "S10")
 
 
+def zipped(reads: DataFrame, steps: DataFrame, by: list[str]) -> DataFrame:
+    """Camera reads with the scenario step of the same position: both carry the position's columns; a missing partner fails
+    the job when read."""
+    both = reads.withColumn("_read", F.lit(True)).join(steps.withColumn("_step", F.lit(True)), by, "full")
+    paired = F.when(F.col("_read").isNull() | F.col("_step").isNull(), F.raise_error(F.lit("reads and steps differ in number"))).otherwise(F.lit(True))
+    return both.withColumn("_paired", paired).filter("_paired").drop("_read", "_step", "_paired")
+
+
 def enrich(reads: DataFrame, cameras: DataFrame, trucks: DataFrame) -> DataFrame:
-    """Camera reads with the camera's site and sector and the plate's truck; a read without either fails the job when read."""
-    joined = reads.join(F.broadcast(cameras), "camera_id", "left").join(trucks, "plate", "left")
+    """Camera reads with the camera's site and sector and the plate's truck; a read without either fails the job when read.
+
+    Of trucks that share a plate the one with the greatest id counts, as the last entry of a map does, so reads never multiply.
+    """
+    own = trucks.groupBy("plate").agg(F.max("truck_id").alias("truck_id"))
+    joined = reads.join(F.broadcast(cameras), "camera_id", "left").join(own, "plate", "left")
     missing = F.col("sector").isNull() | F.col("truck_id").isNull()
-    return joined.filter(F.when(missing, F.raise_error(F.concat(F.lit("no camera or truck for "), "camera_id", F.lit(" "), "plate"))).isNull())
+    checked = F.when(missing, F.raise_error(F.concat(F.lit("no camera or truck for "), "camera_id", F.lit(" "), "plate")).cast("long")).otherwise(F.col("truck_id"))
+    return joined.withColumn("truck_id", checked)
 
 
 def truck_trips(reads: DataFrame, expected: DataFrame) -> DataFrame:
@@ -31,7 +44,7 @@ def truck_trips(reads: DataFrame, expected: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(expected), ["site_id", "circuit"], "left")
     rows = rows.withColumn("visited", F.transform("reads", lambda r: r["sector"])).withColumn("expected", F.coalesce("expected", F.expr("cast(array() as array<string>)")))
     last = F.element_at("reads", -1)
-    following = F.zip_with(F.slice("visited", F.lit(1), F.size("visited") - 1), F.slice("visited", 2, 1_000_000), lambda a, b: F.when(a == b, a))
+    following = F.zip_with(F.slice("visited", F.lit(1), F.size("visited") - 1), F.slice("visited", F.lit(2), F.size("visited")), lambda a, b: F.when(a == b, a))
     twice = F.get(F.filter(following, lambda s: s.isNotNull()), F.lit(0))
     rows = rows.withColumns(
         {

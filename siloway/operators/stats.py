@@ -26,6 +26,38 @@ def quantile(x: str, p: float) -> Column:
     return F.coalesce(F.percentile(x, F.lit(p)), F.lit(0.0))
 
 
+#: Ranges of value that a group's distinct values are dealt to when ranks are looked for.
+RANGES = 4096
+
+
+def ranked_quantiles(df: DataFrame, by: list[str], x: str, shares: dict[str, float]) -> DataFrame:
+    """(by, one column per name): exact percentiles with linear interpolation, without a buffer or a window per group.
+
+    Values are counted by group and value, and the counts by group and range of value. The running totals of the ranges,
+    a few thousand a group, tell in which range a rank lies, and only the values of those ranges are ordered.
+    """
+    keys = [F.col(c) for c in by] or [F.lit(0).alias("_all")]
+    names = by or ["_all"]
+    values = df.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    groups = values.groupBy(*names).agg(F.sum("_c").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    place = F.when(F.col("_high") > F.col("_low"), F.least(F.lit(RANGES - 1), F.floor((F.col("_x") - F.col("_low")) / (F.col("_high") - F.col("_low")) * RANGES))).otherwise(0)
+    placed = values.join(groups, names).withColumn("_b", place.cast("int")).select(*names, "_b", "_x", "_c", "_n")
+    ranges = placed.groupBy(*names, "_b").agg(F.sum("_c").alias("_size"), F.max("_n").alias("_n"))
+    ranges = ranges.withColumn("_end", F.sum("_size").over(Window.partitionBy(*names).orderBy("_b"))).withColumn("_start", F.col("_end") - F.col("_size"))
+    wanted = []
+    for name, p in shares.items():
+        at = F.lit(p) * (F.col("_n") - 1)
+        wanted += [F.struct(F.lit(name).alias("name"), F.floor(at).alias("rank"), (1 - (at - F.floor(at))).alias("part")), F.struct(F.lit(name).alias("name"), (F.floor(at) + 1).alias("rank"), (at - F.floor(at)).alias("part"))]
+    sought = ranges.withColumn("_w", F.explode(F.array(*wanted))).filter("_w.part > 0 and _w.rank >= _start and _w.rank < _end")
+    sought = sought.groupBy(*names, "_b", "_start").agg(F.collect_list("_w").alias("_w"))  # two ranks per name at most
+    inside = placed.join(sought, [*names, "_b"])
+    upto = F.sum("_c").over(Window.partitionBy(*names, "_b").orderBy("_x"))
+    ordered = inside.withColumn("_upto", F.col("_start") + upto).withColumn("_from", F.col("_upto") - F.col("_c"))
+    hits = ordered.select(*names, "_x", F.explode(F.filter("_w", lambda w: (w["rank"] >= F.col("_from")) & (w["rank"] < F.col("_upto")))).alias("_w"))
+    found = hits.groupBy(*names).agg(*[F.sum(F.when(F.col("_w.name") == name, F.col("_x") * F.col("_w.part"))).alias(name) for name in shares])
+    return found if by else found.drop("_all")
+
+
 def mode(df: DataFrame, by: list[str], x: str, ordinal: str) -> DataFrame:
     """The most frequent value of each group; of equals, the one seen first by ``ordinal``. Two partial aggregations."""
     counted = df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("n"), F.min(ordinal).alias("first"))
@@ -35,14 +67,16 @@ def mode(df: DataFrame, by: list[str], x: str, ordinal: str) -> DataFrame:
 def stay_time_stats(df: DataFrame, by: list[str], x: str, ordinal: str, multiplier: float = OUT_OF_RANGE_STD) -> DataFrame:
     """The eighteen figures of a stay-time distribution, by group.
 
-    One pass gives moments and percentiles, a second counts values over mean + multiplier * std.
+    One pass gives moments, a second counts values over mean + multiplier * std, and percentiles come from ranks.
     """
     base = df.groupBy(*by).agg(
         F.count(x).alias("n"), mean(x).alias("mean"), std(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-        *[quantile(x, p).alias(name) for name, p in (("p5", 0.05), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("p90", 0.9), ("p95", 0.95))],
     )
+    shares = {"p5": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.9, "p95": 0.95}
+    ranks = ranked_quantiles(df, by, x, shares)
+    base = (base.join(ranks, by, "left") if by else base.join(ranks, F.lit(True), "left")).fillna(0.0, [*shares])
     base = base.withColumn("threshold", F.col("mean") + multiplier * F.col("std"))
-    limits = F.broadcast(base.select(*by, "threshold")) if by else F.broadcast(base.select("threshold"))
+    limits = base.select(*by, "threshold")
     joined = df.join(limits, by) if by else df.crossJoin(limits)
     over = joined.groupBy(*by).agg(F.count_if(F.col(x) > F.col("threshold")).alias("over_count"))
     modes = mode(df, by, x, ordinal)
@@ -63,7 +97,7 @@ def z_scored(df: DataFrame, by: list[str], x: str) -> DataFrame:
     Groups are aggregated first and the moments joined back, so a large group is not gathered in one window.
     """
     m = df.groupBy(*by).agg(F.avg(x).alias("_m"), std(x).alias("_s"), F.count(x).alias("_n"))
-    joined = df.join(F.broadcast(m), by) if by else df.crossJoin(F.broadcast(m))
+    joined = df.join(m, by) if by else df.crossJoin(F.broadcast(m))
     return joined.withColumn("z", F.when(F.col("_s") > 0, (F.col(x) - F.col("_m")) / F.col("_s")).otherwise(0.0)).drop("_m", "_s")
 
 
@@ -84,8 +118,9 @@ def outliers_z(df: DataFrame, by: list[str], x: str, limit: float = 3.0) -> Data
 
 def outliers_iqr(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """Rows beyond one and a half interquartile ranges from the quartiles; groups under four rows have none."""
-    q = df.groupBy(*by).agg(F.percentile(x, F.lit(0.25)).alias("_q1"), F.percentile(x, F.lit(0.75)).alias("_q3"), F.count(x).alias("_n")).filter("_n >= 4")
-    joined = df.join(F.broadcast(q), by) if by else df.crossJoin(F.broadcast(q))
+    ranks, counts = ranked_quantiles(df, by, x, {"_q1": 0.25, "_q3": 0.75}), df.groupBy(*by).agg(F.count(x).alias("_n")).filter("_n >= 4")
+    q = ranks.join(counts, by) if by else ranks.crossJoin(counts)
+    joined = df.join(q, by) if by else df.crossJoin(F.broadcast(q))
     spread = 1.5 * (F.col("_q3") - F.col("_q1"))
     return joined.filter((F.col(x) < F.col("_q1") - spread) | (F.col(x) > F.col("_q3") + spread)).drop("_q1", "_q3", "_n")
 
@@ -148,12 +183,26 @@ def binned_mode(df: DataFrame, by: list[str], x: str, size: float) -> DataFrame:
     return best.select(*by, (F.col("start") + size / 2).alias("binned_mode"), "count")
 
 
-def shape_indicators(df: DataFrame, by: list[str], x: str, size: float = 1.0, central: str = "media_std", tail: str = "media_std") -> DataFrame:
-    """Rows within the central range, rows beyond the tail limit, and the fullest bin's share."""
-    base = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("m"), std(x).alias("s"), *[quantile(x, p).alias(k) for k, p in (("q1", 0.25), ("q3", 0.75), ("p90", 0.9))])
-    low, high = (F.greatest(F.lit(0.0), F.col("m") - F.col("s")), F.col("m") + F.col("s")) if central == "media_std" else (F.col("q1"), F.col("q3"))
-    base = base.select(*by, "n", low.alias("central_min"), high.alias("central_max"), (F.col("p90") if tail == "p90" else F.col("m") + F.col("s")).alias("tail_limit"))
-    counted = df.join(F.broadcast(base), by).groupBy(*by, "n", "central_min", "central_max", "tail_limit").agg(
+def shape_indicators(
+    df: DataFrame, by: list[str], x: str, size: float = 1.0, central: str = "media_std", tail: str = "media_std", limit: float | None = None
+) -> DataFrame:
+    """Rows within the central range, rows beyond the tail limit, and the fullest bin's share.
+
+    The range is mean -+ deviation (not below 0) or the quartiles (``central`` "iqr"); the limit is mean + deviation, the 90th
+    percentile (``tail`` "p90") or the one given ("manual").
+    """
+    base = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("m"), std(x).alias("s"))
+    low, high, beyond = F.greatest(F.lit(0.0), F.col("m") - F.col("s")), F.col("m") + F.col("s"), F.col("m") + F.col("s")
+    if central != "media_std" or tail == "p90":
+        base = base.join(ranked_quantiles(df, by, x, {"q1": 0.25, "q3": 0.75, "p90": 0.9}), by)
+    if central != "media_std":
+        low, high = F.col("q1"), F.col("q3")
+    if tail == "p90":
+        beyond = F.col("p90")
+    elif tail == "manual" and limit is not None:
+        beyond = F.lit(float(limit))
+    base = base.select(*by, "n", low.alias("central_min"), high.alias("central_max"), beyond.alias("tail_limit"))
+    counted = df.join(base, by).groupBy(*by, "n", "central_min", "central_max", "tail_limit").agg(
         F.count_if(F.col(x).between(F.col("central_min"), F.col("central_max"))).alias("central_count"), F.count_if(F.col(x) > F.col("tail_limit")).alias("tail_count")
     )
     peak = histogram_sparse(df, by, x, size).groupBy(*by).agg(F.max("count").alias("peak"))
@@ -184,3 +233,15 @@ def radar(df: DataFrame, by: list[str], shape: bool = False) -> DataFrame:
 
 def radar_total(scores: DataFrame, by: list[str]) -> DataFrame:
     return scores.groupBy(*by).agg(F.avg("score").alias("final_score"), F.count(F.lit(1)).alias("metrics"))
+
+
+def histogram_overlay(df: DataFrame, by: list[str], x: str, size: float) -> DataFrame:
+    """Bins with the normal curve of the group's moments at their start, scaled to the fullest bin, and the class of the bar:
+    central, cola (beyond the tail limit) or resto."""
+    bins, shape = histogram_sparse(df, by, x, size), shape_indicators(df, by, x, size)
+    moments = df.groupBy(*by).agg(F.avg(x).alias("m"), std(x).alias("s"))
+    at = bins.join(shape.select(*by, "peak", "central_min", "central_max", "tail_limit"), by).join(moments, by)
+    start = F.col("bin_start")
+    z = (start - F.col("m")) / F.col("s")
+    kind = F.when(start.between(F.col("central_min"), F.col("central_max")), "central").when(start > F.col("tail_limit"), "cola").otherwise("resto")
+    return at.select(*by, "bin_start", "count", F.when(F.col("s") > 0, F.col("peak") * F.exp(-0.5 * z * z)).otherwise(0.0).alias("normal"), kind.alias("kind"))

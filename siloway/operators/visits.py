@@ -5,11 +5,11 @@ One shuffle by visit key gathers a visit's few events into a sorted array; every
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siloway.functions.dims import PATHS_WITH_DISCHARGE, PATHS_WITHOUT_DISCHARGE
-from siloway.functions.scalar import DAY_US, HOUR_US, MINUTE_US, bucket_status, path_key, round_half_up
+from siloway.functions.dims import PATHS_WITH_DISCHARGE, PATHS_WITHOUT_DISCHARGE, STEP_ORDER
+from siloway.functions.scalar import DAY_US, HOUR_US, MINUTE_US, bucket_status, cargo_form, path_key, round_half_up
 
 #: Event names other than the domain's own, and the domain's (fixed values).
 ALIASES = {"UNLOAD_START": "DISCHARGE_START", "UNLOAD_END": "DISCHARGE_END", "GATE_CHECKOUT": "EXIT", "SAMPLE_RESULT": "LAB_RESULT_READY", "WAIT": "YARD_WAIT", "QUEUE_WAIT": "YARD_WAIT"}
@@ -58,12 +58,32 @@ def with_visit_key(events: DataFrame, fallback_hours: int = 2) -> DataFrame:
     return events.withColumn("visit_key", F.when(has, own).otherwise(other)).withColumn("key_fallback", ~has)
 
 
-def visits(events: DataFrame, fallback_hours: int = 2) -> DataFrame:
-    """One row per visit: its keys and its events sorted by time and name."""
-    keyed = with_visit_key(events, fallback_hours).withColumn("event", event_name(F.col("event_type"))).withColumn("result", lab_result(F.col("lab_result")))
+def step_order(event: Column) -> Column:
+    """The place of an event in a visit's logical order; 99 for events that have none."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in STEP_ORDER.items() for x in kv]), event), F.lit(99))
+
+
+def normalised(events: DataFrame) -> DataFrame:
+    """Raw gate events with the domain's event name, laboratory result and cargo form (UNKNOWN where none is given)."""
+    form = cargo_form(F.col("cargo_form")) if "cargo_form" in events.columns else F.lit("UNKNOWN")
+    return events.withColumn("event", event_name(F.col("event_type"))).withColumn("result", lab_result(F.col("lab_result"))).withColumn("cargo_form", form)
+
+
+def visits(events: DataFrame, fallback_hours: int = 2, ties: str = "name") -> DataFrame:
+    """One row per visit: its keys and its events sorted by time; events of one instant by name, or by logical ``step``.
+
+    Keys are those of the visit's first input row where the events carry ``row_no``, else the least.
+    """
+    keyed = with_visit_key(normalised(events), fallback_hours)
+    ordinal = (step_order(F.col("event")) if ties == "step" else F.lit(0)).alias("ordinal")
+
+    def first(c: str) -> Column:
+        return (F.min_by(c, "row_no") if "row_no" in events.columns else F.min(c)).alias(c)
+
+    row = F.col("row_no") if "row_no" in events.columns and ties == "step" else F.lit(0)
     return keyed.groupBy("visit_key").agg(
-        F.min("site_id").alias("site_id"), F.min("visit_id").alias("visit_id"), F.min("plate").alias("plate"), F.min("doc_number").alias("doc_number"), F.bool_or("key_fallback").alias("key_fallback"),
-        F.sort_array(F.collect_list(F.struct("at_us", "event", "result"))).alias("events"),
+        first("site_id"), first("visit_id"), first("plate"), first("doc_number"), F.bool_or("key_fallback").alias("key_fallback"),
+        F.sort_array(F.collect_list(F.struct("at_us", ordinal, row.alias("row"), "event", "result", "cargo_form"))).alias("events"),
     )
 
 
@@ -124,9 +144,16 @@ def validated(visit: DataFrame) -> DataFrame:
     return visit.withColumn("flags", flags).withColumn("status", status).withColumn("path_display", display).withColumn("explanation", said)
 
 
+def once(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with the columns held in the one row of an explode, so that a filter on them does not work them out again."""
+    held = df.withColumn("_once", F.explode(F.array(F.struct(*columns)))).drop(*columns)
+    return held.select(*[c for c in held.columns if c != "_once"], "_once.*")
+
+
 def trips_of(events: DataFrame) -> DataFrame:
     """Validated visits; the flag of a fallback key is added after the status is set."""
-    out = validated(with_path(visits(events)))
+    found = once(with_path(visits(events)), ["path", "results", "last_result"])
+    out = once(validated(found), ["flags", "status", "path_display", "explanation"])
     return out.withColumn("flags", F.when(F.col("key_fallback"), F.concat("flags", F.array(F.lit("VISIT_KEY_FALLBACK_USED")))).otherwise(F.col("flags")))
 
 
@@ -194,6 +221,7 @@ def scatter(trips: DataFrame) -> DataFrame:
 
 
 def scatter_stats(points: DataFrame) -> DataFrame:
+    """Median, 95th percentile and number of stays. Stays are whole minutes, so the percentiles' buffer holds few distinct values."""
     return points.agg(F.percentile("stay_minutes", F.lit(0.5)).alias("p50"), F.percentile("stay_minutes", F.lit(0.95)).alias("p95"), F.count(F.lit(1)).alias("n"))
 
 
@@ -217,3 +245,33 @@ def sim_nodes(visit: DataFrame) -> DataFrame:
     letters = F.filter(F.transform("events", lambda e: _map(LETTERS, e["event"])), lambda x: x.isNotNull())
     nodes = F.aggregate(letters, F.expr("cast(array() as array<string>)"), lambda acc, x: F.when(F.try_element_at(acc, F.lit(-1)).eqNullSafe(x), acc).otherwise(F.concat(acc, F.array(x))))
     return visit.select("visit_key", F.posexplode(nodes).alias("ordinal", "node"))
+
+
+def visit_results(trips: DataFrame) -> DataFrame:
+    """Validated visits as reconstructed ones: (visit_id, site_id, plate, visit_status, cargo_form, start_us, end_us, cycle_minutes).
+
+    Invalid visits are REJECTED, all others CLOSED; a visit without an id is named by its key, and a cycle with an exit lasts a
+    minute at least; a single event has none.
+    """
+    first, last = F.get("events", F.lit(0)), F.element_at("events", -1)
+    minutes = minutes_between(first["at_us"], last["at_us"])
+    cycle = F.when(F.exists("events", lambda e: e["event"] == "EXIT"), F.greatest(F.lit(1), minutes)).otherwise(minutes)
+    return trips.select(
+        F.coalesce(F.when(F.trim("visit_id") != "", F.trim("visit_id")), F.col("visit_key")).alias("visit_id"), "visit_key", "site_id", "plate", F.when(F.col("status") == "INVALID", "REJECTED").otherwise("CLOSED").alias("visit_status"),
+        first["cargo_form"].alias("cargo_form"), first["at_us"].alias("start_us"), last["at_us"].alias("end_us"), F.when(F.size("events") >= 2, cycle).alias("cycle_minutes"),
+    )
+
+
+#: Nodes of the route view by event (fixed values); discharge events of any kind are D, waiting outside is A.
+NODES = LETTERS | {"QUEUE_OUTSIDE": "A", "DISCHARGE_ASSIGNED": "D", "DISCHARGE_START": "D"}
+
+
+def sim_nodes_with_results(visit: DataFrame) -> DataFrame:
+    """(visit_key, ordinal, node, event_no, result): nodes without immediate repeats; a laboratory result goes to the latest C."""
+    rows = visit.select("visit_key", F.posexplode("events").alias("event_no", "e")).select("visit_key", "event_no", _map(NODES, F.col("e.event")).alias("node"), F.col("e.event").alias("event"), F.col("e.result").alias("result"))
+    order = Window.partitionBy("visit_key").orderBy("event_no")  # a visit has a handful of events
+    steps = rows.withColumn("before", F.last("node", True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    fresh = steps.withColumn("fresh", F.col("node").isNotNull() & ~F.col("node").eqNullSafe(F.col("before")))
+    numbered = fresh.withColumn("ordinal", F.count_if("fresh").over(order) - 1).withColumn("latest_c", F.max(F.when(F.col("fresh") & (F.col("node") == "C"), F.col("ordinal"))).over(order))
+    lab = numbered.filter("event = 'LAB_RESULT_READY' and result is not null and latest_c is not null").groupBy("visit_key", F.col("latest_c").alias("ordinal")).agg(F.max_by("result", "event_no").alias("result"))
+    return numbered.filter("fresh").select("visit_key", "ordinal", "node", "event_no").join(lab, ["visit_key", "ordinal"], "left")

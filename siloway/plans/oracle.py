@@ -344,7 +344,7 @@ UNION ALL SELECT site_id, 3, 'Se observa solapamiento temporal de episodios de s
 _rows, _seen = [], {}
 for _site, _code, _eq, _n, _kind, _sub, _seq in dims.CIRCUITS:
     _seen[_site] = _seen.get(_site, -1) + 1
-    _rows.append((_site, _seen[_site], _code, _eq, _n, f"{_kind}-{_sub}", _seq))
+    _rows.append((_site, _seen[_site], _code, _eq, _n, f"{_kind}-{_sub}", _seq and _seq.split(" ")))
 CIRCUITS = "circuits AS (SELECT * FROM " + values_sql(_rows, "site_id, ordinal, code, equivalents, circuit_name, operation, sequence") + ")"
 LOOKUP = [
     CIRCUITS,

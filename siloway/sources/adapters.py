@@ -99,10 +99,22 @@ def gate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             (start + F.col("step").cast("long") * 300_000_000).alias("at_us"),
             pick(EVENT_OF, "letter").alias("event_type"),
             F.when((F.col("letter") == "C") & (F.col("step") == last_c), final).when(F.col("letter") == "C", "OBS").alias("lab_result"),
+            (key * 100 + F.col("step")).alias("row_no"),
         )
     )
 
 
+def full_gate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a result of the laboratory a minute after each sample, a start two minutes before each discharge end, and
+    whole hours instead of instants for some visits, so that their events tie."""
+    base = gate_events(spark, sf_dir)
+    lab = base.filter("lab_result is not null").select(*[c for c in base.columns if c not in ("event_type", "at_us", "row_no")], F.lit("LAB_RESULT_READY").alias("event_type"), (F.col("at_us") + 60_000_000).alias("at_us"), (F.col("row_no") + 30).alias("row_no"))
+    start = base.filter("event_type = 'DISCHARGE_END'").select(*[c for c in base.columns if c not in ("event_type", "at_us", "row_no")], F.lit("unload start").alias("event_type"), (F.col("at_us") - 120_000_000).alias("at_us"), (F.col("row_no") + 60).alias("row_no"))
+    rows = base.withColumn("lab_result", F.lit(None).cast("string")).unionByName(lab).unionByName(start)
+    tied = F.expr("row_no div 100 % 5 = 0")
+    return rows.withColumn("at_us", F.when(tied, F.expr("at_us div 3600000000 * 3600000000")).otherwise(F.col("at_us")))
+
+
 def camera_events(trips_df: DataFrame) -> DataFrame:
     """One read per sector of a trip at even times; some trips lose S4, repeat a sector, or stop early."""
     n = F.col("event_id")
@@ -119,3 +131,49 @@ def camera_events(trips_df: DataFrame) -> DataFrame:
         .withColumn("camera_id", F.concat(F.lit("CAM_"), F.col("sector")))
         .drop("n")
     )
+
+
+def _envelopes(rows: DataFrame, payload: str, generated: bool = True) -> DataFrame:
+    """(ordinal, json): one envelope per site and day of rows (site_id, day, record)."""
+    packed = rows.groupBy("site_id", "day").agg(F.collect_list("record").alias(payload))  # a day of a plant is one file
+    at = F.when(F.col("day") % 2 == 0, F.concat(F.lit("at "), F.col("day").cast("string"))).otherwise("") if generated else F.lit("")
+    doc = F.struct(F.lit("1.0").alias("version"), at.alias("generatedAt"), F.col("site_id").alias("planta"), payload)
+    return packed.select(F.concat(F.lpad(F.col("day").cast("string"), 8, "0"), "site_id").alias("ordinal"), F.to_json(doc).alias("json"))
+
+
+def iso(us: str):
+    """An instant as text in UTC, whatever the session's zone."""
+    s = F.floor(F.pmod(F.col(us), F.lit(86_400_000_000)) / 1_000_000).cast("long")
+    clock = F.format_string("T%02d:%02d:%02d.%06dZ", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60, F.pmod(F.col(us), F.lit(1_000_000)))
+    return F.concat(F.date_format(date_of(F.col(us)), "yyyy-MM-dd"), clock)
+
+
+def trip_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips as JSON envelopes of their history files; some lack an id, a code or a class."""
+    n = F.col("event_id")
+    record = F.struct(
+        F.col("trip_id").alias("tripId"), F.concat(F.lit("T"), "truck_id").alias("truckId"), "plate", F.concat(F.lit(" "), F.initcap(F.replace("site_id", F.lit("_"), F.lit(" ")))).alias("plant"),
+        F.when(n % 6 != 0, F.col("circuit")).alias("inferredCircuitCode"), F.when(n % 12 != 0, F.lit("ALT")).alias("circuitCode"), iso("in_us").alias("startedAt"), iso("out_us").alias("endedAt"), F.col("sectors").alias("visitedSectors"),
+        (n % 2 == 0).alias("completed"), F.floor("duration_minutes").alias("durationMinutes"), F.when(n % 3 == 0, F.col("state")).alias("classification"),
+    )
+    return _envelopes(trips(spark, sf_dir).select("site_id", F.floor(F.col("in_us") / 86_400_000_000).alias("day"), record.alias("record")), "data")
+
+
+def alert_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts as JSON envelopes; severities and states of any spelling."""
+    n = F.col("event_id")
+    record = F.struct(
+        F.col("alert_id").alias("alertId"), F.col("alert_type").alias("type"), F.when(n % 8 != 0, F.lower("severity")).otherwise("severe").alias("severity"), F.initcap("status").alias("status"), F.upper("site_id").alias("plant"),
+        iso("at_us").alias("detectedAt"), F.struct(F.when(n % 2 == 0, F.col("sector")).alias("sector"), F.lit("S9").alias("currentSector")).alias("context"),
+    )
+    return _envelopes(alerts(spark, sf_dir).select("site_id", F.floor(F.col("at_us") / 86_400_000_000).alias("day"), record.alias("record")), "data")
+
+
+def read_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Camera reads as JSON envelopes under ``events``."""
+    record = F.struct(
+        F.concat("trip_id", F.lit("/"), "step").alias("eventId"), F.lit("anpr").alias("eventType"), iso("at_us").alias("snapshotTime"), F.when(F.col("step") != 2, F.col("plate")).alias("plateNo"), F.col("site_id").alias("plant"),
+        F.when(F.col("step") != 1, F.col("camera_id")).alias("cameraId"), F.col("sector").alias("sector"), F.col("trip_id").alias("inferredTruckId"), F.col("circuit").alias("inferredCircuitCode"),
+    )
+    reads = camera_events(trips(spark, sf_dir))
+    return _envelopes(reads.select("site_id", F.floor(F.col("at_us") / 86_400_000_000).alias("day"), record.alias("record")), "events")

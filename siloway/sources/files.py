@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siloway.functions.scalar import date_of, micros, severity_of, site_of, status_of
+from siloway.functions.scalar import date_of, severity_of, site_of, status_of
 
 PLANTS = ["ricardone", "san_lorenzo", "avellaneda"]
 
@@ -22,16 +24,33 @@ ALERTS = (
 )
 
 
+def _schema(rows: str) -> str:
+    return f"version string, generatedAt string, scenario string, planta string, events array<struct<{_fields(rows)}>>, data array<struct<{_fields(rows)}>>"
+
+
 def envelope(spark: SparkSession, paths: list[str], rows: str) -> DataFrame:
     """The rows of JSON envelopes, whose payload is ``events`` or ``data``; missing files are skipped, none gives no rows."""
-    schema = f"version string, generatedAt string, scenario string, planta string, events array<struct<{_fields(rows)}>>, data array<struct<{_fields(rows)}>>"
-    reader = spark.read.schema(schema).option("multiLine", True).option("ignoreMissingFiles", True)
+    reader = spark.read.schema(_schema(rows)).option("multiLine", True).option("ignoreMissingFiles", True)
     found = [p for p in paths if _exists(spark, p)]
-    docs = reader.json(found) if found else spark.createDataFrame([], schema)
+    return _payload(reader.json(found) if found else spark.createDataFrame([], _schema(rows)), rows)
+
+
+def unpacked(texts: DataFrame, rows: str) -> DataFrame:
+    """The rows of envelopes that are texts in a column ``json``; a text that is no envelope gives none."""
+    return _payload(texts.select(F.from_json("json", _schema(rows)).alias("d")).select("d.*"), rows)
+
+
+def _payload(docs: DataFrame, rows: str) -> DataFrame:
     payload = F.coalesce("events", "data", F.expr(f"cast(array() as array<struct<{_fields(rows)}>>)"))
     return docs.select("generatedAt", F.col("planta").alias("envelope_plant"), F.posexplode(payload).alias("row_no", "r")).select("generatedAt", "envelope_plant", "row_no", "r.*")
 
 
+def generated_at(texts: DataFrame) -> DataFrame:
+    """(generated_at): when envelopes (ordinal, json) were made, the last in order that says so."""
+    said = texts.select("ordinal", F.get_json_object("json", "$.generatedAt").alias("at")).filter("at <> ''")
+    return said.agg(F.max_by("at", "ordinal").alias("generated_at"))
+
+
 def _fields(ddl: str) -> str:
     return ", ".join(f"{name}:{kind}" for name, kind in (f.strip().split(" ", 1) for f in _split(ddl)))
 
@@ -61,7 +80,7 @@ def by_plant(base: str, scenario: str, name: str) -> list[str]:
 
 
 def _instant(c: str) -> Column:
-    return micros(f"to_timestamp({c})")
+    return F.unix_micros(F.try_to_timestamp(c))
 
 
 def enriched_events(rows: DataFrame, site: str | None = None) -> DataFrame:
@@ -93,8 +112,34 @@ def operational_alerts(rows: DataFrame, now_us: int) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Config:
+    """Where a scenario's files lie; ``replace`` gives another scenario of the same place."""
+
+    base: str = "/mock-data"
+    scenario: str = "march_full"
+
+    def tables(self, spark: SparkSession, now_us: int = 0) -> dict[str, DataFrame]:
+        return load(spark, self.base, self.scenario, now_us)
+
+
+#: Trips under which the ``normal`` scenario takes its history from ``march_full``, if that is larger (fixed value).
+FEW_TRIPS = 500
+
+
 def load(spark: SparkSession, base: str, scenario: str = "march_full", now_us: int = 0) -> dict[str, DataFrame]:
     """All tables of a scenario by name; a missing table is empty."""
+    tables = _load(spark, base, scenario, now_us)
+    if scenario == "normal":
+        own = tables["trips"].limit(FEW_TRIPS).count()
+        if own < FEW_TRIPS:
+            other = _load(spark, base, "march_full", now_us)["trips"]
+            if other.limit(own + 1).count() > own:
+                tables["trips"] = other
+    return tables
+
+
+def _load(spark: SparkSession, base: str, scenario: str, now_us: int) -> dict[str, DataFrame]:
     def read(name: str, rows: str) -> DataFrame:
         return envelope(spark, by_plant(base, scenario, name), rows)
 
@@ -140,5 +185,20 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def safe_name(title: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), "^-|-$", "")
+#: What precedes the rows of an exported table: name of the part and how its line begins (fixed values).
+META = [("title", "# "), ("subtitle", "# "), ("plant", "# Planta: "), ("period", "# Período: "), ("generated", "# Generado: ")]
+
+
+def csv_lines(df: DataFrame, meta: dict[str, str] | None = None) -> DataFrame:
+    """(part, line) of an exported table: lines of the meta data (part 0), the header (1) and the rows (2).
+
+    A value with a comma, a quote or a newline is quoted, quotes doubled; null is empty. Sorted by part, the lines are the file.
+    """
+    lines = [(0, f"{begin}{meta[name]}") for name, begin in META if meta and meta.get(name)]
+    head = df.sparkSession.createDataFrame([*lines, (1, ",".join(df.columns))], "part int, line string")
+
+    def cell(c: str) -> Column:
+        text = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        return F.when(text.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    return head.unionByName(df.select(F.lit(2).alias("part"), F.concat_ws(",", *map(cell, df.columns)).alias("line")))

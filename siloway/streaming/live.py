@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the batch operators: bucketed flow, silent trucks, and the hourly tick of a simulated plant."""
+"""Structured Streaming forms of the batch operators: bucketed flow and silent trucks."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Arrivals an hour and share of them by eight-hour part of the day (fixed values).
-ARRIVALS = {"ricardone": 40, "san_lorenzo": 35, "avellaneda": 15}
 EXITS = ("S3", "S10")
 
 
@@ -53,39 +51,6 @@ def silent_trucks(events: DataFrame, minutes: int = 60, late: str = "10 minutes"
     )
 
 
-def live_tick(ticks: DataFrame, sectors: int = 6, daily_cap: int = 700) -> DataFrame:
-    """One row per site and tick of a simulated plant: admitted, completed and present trucks.
-
-    ``ticks`` is a stream (site_id, tick long), a tick being an hour. State per site is the number of trucks by remaining
-    ticks, the day, and the day's admissions, which a new day sets to 0. Admissions follow the site's hourly rate, a
-    factor by hour, and a fixed variation by tick; a stay is three to five ticks.
-    """
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, day, today = state.get if state.exists else ([0] * 6, -1, 0)
-        waiting, rows = list(waiting), []
-        for tick in sorted(t for batch in batches for t in batch["tick"]):
-            done, waiting = waiting[0], [*waiting[1:], 0]
-            if tick // 24 != day:
-                day, today = tick // 24, 0
-            hour = tick % 24
-            factor = 1.3 if 6 <= hour < 14 else 1.0 if 14 <= hour < 22 else 0.5
-            varied = 0.75 + (tick * 2654435761 % 51) / 100
-            n = min(round(ARRIVALS.get(key[0], 0) * factor * varied), daily_cap - today)
-            today += n
-            for stay, share in ((2, 0.3), (3, 0.4)):
-                part = int(n * share)
-                waiting[stay] += part
-            waiting[4] += n - int(n * 0.3) - int(n * 0.4)
-            rows.append((key[0], tick, n, done, sum(waiting)))
-        state.update((waiting, day, today))
-        yield pd.DataFrame(rows, columns=["site_id", "tick", "admitted", "completed", "present"])
-
-    return ticks.groupBy("site_id").applyInPandasWithState(
-        advance, "site_id string, tick long, admitted long, completed long, present long", "waiting array<long>, day long, today long", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a finite stream to its end into a memory table, for tests and small reports."""
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()

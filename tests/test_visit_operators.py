@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siloway.functions import dims, scalar
 from siloway.functions.scalar import DAY_US, HOUR_US, MINUTE_US
-from siloway.operators import flow, pages, routes, saturation, state, stats, visits
+from siloway.operators import detail, flow, history, pages, routes, saturation, state, stats, visits
 from siloway.sources import files
 from siloway.streaming import live
 
@@ -172,7 +172,76 @@ def test_flow_stream_closes_windows(spark, tmp_path):
     assert [r.reads for r in rows][:2] == [2, 1]
 
 
-def test_live_tick_keeps_balance(spark, tmp_path):
-    stream = _stream(spark, tmp_path, [("ricardone", t) for t in range(30)], "site_id string, tick long")
-    rows = live.drained(live.live_tick(stream), "ticks").orderBy("tick").collect()
-    assert len(rows) == 30 and sum(r.admitted - r.completed for r in rows) == rows[-1].present
+# --- details, history, ranks ---------------------------------------------------------------------------------------
+
+
+def test_ranked_quantiles_equal_percentiles(spark):
+    rows = [("a", float(x)) for x in (5, 1, 1, 1, 9, 2, 2, 7)] + [("b", 3.0)] + [("c", 1e9 if x == 500 else x / 7) for x in range(501)] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = {"p0": 0.0, "q1": 0.25, "m": 0.5, "p90": 0.9, "p100": 1.0}
+    got = {r.g: r.asDict() for r in stats.ranked_quantiles(df, ["g"], "x", shares).collect()}
+    want = {r.g: r.asDict() for r in df.groupBy("g").agg(*[F.percentile("x", F.lit(p)).alias(n) for n, p in shares.items()]).collect()}
+    assert got.keys() == want.keys()
+    for g in want:
+        assert all(got[g][n] == pytest.approx(want[g][n], abs=1e-9) for n in shares)
+    assert stats.ranked_quantiles(df.filter("false"), ["g"], "x", shares).count() == 0
+    assert stats.ranked_quantiles(df, [], "x", {"m": 0.5}).first().m == df.agg(F.percentile("x", F.lit(0.5))).first()[0]
+
+
+def test_events_of_one_instant_go_by_step(spark):
+    rows = [("s", "v", "P", "D", HOUR_US, e, None) for e in ("GATE_CHECKOUT", "SCALE_IN", "GATE_CHECKIN", "UNLOAD_START")]
+    got = visits.visits(spark.createDataFrame(rows, GATE), ties="step").first()
+    assert [e.event for e in got.events] == ["GATE_CHECKIN", "SCALE_IN", "DISCHARGE_START", "EXIT"]
+
+
+def test_visit_keys_are_of_the_first_row(spark):
+    rows = [("s", "v", "P9", "D", 2 * HOUR_US, "EXIT", None, 0), ("s", "v", "P1", "D", HOUR_US, "GATE_CHECKIN", None, 1)]
+    assert visits.visits(spark.createDataFrame(rows, GATE + ", row_no long")).first().plate == "P9"
+
+
+def test_repeated_trucks_do_not_multiply_reads(spark):
+    reads = spark.createDataFrame([("A", "CAM_S1", 1)], "plate string, camera_id string, at_us long")
+    cameras = spark.createDataFrame([("CAM_S1", "S1")], "camera_id string, sector string")
+    trucks = spark.createDataFrame([("A", 1), ("A", 2)], "plate string, truck_id long")
+    assert [r.truck_id for r in state.enrich(reads, cameras, trucks).collect()] == [2]
+    with pytest.raises(Exception, match="no camera or truck"):
+        state.enrich(reads, cameras, trucks.filter("false")).collect()
+
+
+def test_unpaired_steps_fail(spark):
+    reads, steps = spark.createDataFrame([(1, "a"), (2, "b")], "i long, r string"), spark.createDataFrame([(1, "x")], "i long, s string")
+    assert state.zipped(reads.filter("i = 1"), steps, ["i"]).collect()[0].s == "x"
+    with pytest.raises(Exception, match="differ in number"):
+        state.zipped(reads, steps, ["i"]).collect()
+
+
+def test_sites_without_trips_have_the_default_reference(spark):
+    trips = spark.createDataFrame([("ricardone", 5 * DAY_US + 1)], "site_id string, out_us long")
+    got = {r.site_id: r.ref_day for r in detail.reference_days(trips, dims.sites(spark)).collect()}
+    assert got["ricardone"] == 5 and got["avellaneda"] == 20543
+
+
+def test_history_grows_by_a_stream_once(spark, tmp_path):
+    schema = "trip_id string, site_id string"
+    spark.createDataFrame([("t1", "s"), ("t2", "s")], schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        history.append(stream, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+    kept = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.trip_id for r in kept.collect()) == ["t1", "t2"]
+    assert [r.trip_id for r in history.remaining(kept, kept.filter("trip_id = 't1'")).collect()] == ["t2"]
+
+
+def test_normal_scenario_falls_back(spark, tmp_path):
+    def put(folder, n):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "historico_recorridos.json").write_text(json.dumps({"data": [{"tripId": f"{folder}{i}"} for i in range(n)]}))
+
+    put("normal", 2)
+    assert files.Config(str(tmp_path), "normal").tables(spark)["trips"].count() == 2
+    put("march_full/ricardone", 3)
+    assert files.Config(str(tmp_path), "normal").tables(spark)["trips"].count() == 3
+
+
+def test_empty_range_has_no_analysis(spark):
+    assert saturation.analysis(spark.createDataFrame([], "site_id string"), dims.capacity(spark), 5, 5) is None
