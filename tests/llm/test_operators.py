@@ -263,6 +263,43 @@ def test_top_k_of_repeated_ids(spark):
     assert seen == {0: 1, 20: 2, 40: 1} and mine == sorted(want)
 
 
+def test_coordinates_prune_unit_vectors():
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(3000, 64))
+    v[:, :8] *= 3
+    v = np.floor(v / np.sqrt((v**2).sum(1, keepdims=True)) * 64)
+    ids, tally = np.arange(3000), {}
+    floor = np.array([np.sort(np.delete(v @ v[q], q))[-25] for q in range(40)])
+    got = topk.block_top_k(ids[:40], v[:40], ids, v, floor=floor, tally=tally)
+    for q in range(40):
+        best = sorted(((-s, i) for i, s in enumerate(v @ v[q]) if i != q))[:20]
+        mine = got[got.query_id == q]
+        assert [*zip(-mine.score, mine.vec_id, strict=True)] == best
+    assert tally["coordinate_buckets"] > tally["length_buckets"] and tally["by_coordinates"] > 0.5 * 40 * 3000
+
+
+def test_lengths_prune_vectors_of_many_lengths():
+    rng = np.random.default_rng(8)
+    v = np.floor(rng.normal(size=(9000, 16)) * 20 * np.exp(rng.normal(size=(9000, 1)) * 1.5))
+    ids, tally = np.arange(9000), {}
+    got = topk.block_top_k(ids[:30], v[:30], ids, v, tally=tally)
+    for q in range(30):
+        assert sorted(got[got.query_id == q].score)[::-1] == sorted(np.delete(v @ v[q], q))[::-1][:20]
+    assert tally["by_length"] > 0.4 * 30 * 9000
+
+
+@pytest.mark.parametrize("spread", [0.0, 1.5])
+def test_top_k_over_classes_of_lengths(spark, spread):
+    rng = np.random.default_rng(9)
+    v = np.floor(rng.normal(size=(500, 8)) * 30 * np.exp(rng.normal(size=(500, 1)) * spread)).astype(int)
+    df = spark.createDataFrame([*((i, [int(x) for x in row]) for i, row in enumerate(v)), (700, [])], "vec_id long, vector array<long>")
+    got = topk.top_k(df.filter("vec_id % 20 = 0"), df, k=5, candidate_rows=60, query_rows=6).collect()
+    for q in range(0, 500, 20):
+        best = sorted([*((-int(v[q] @ v[i]), i) for i in range(500) if i != q), (0, 700)])[:5]
+        assert sorted((r.rank, -r.score, r.vec_id) for r in got if r.query_id == q) == [(n, *b) for n, b in enumerate(best, 1)]
+    assert len([r for r in got if r.query_id == 700]) == 5
+
+
 def test_top_k_edges(spark):
     rows = [(0, [1.0, 2.0]), (20, [0.5, None]), (40, None), (60, [float("nan"), 1.0]), (80, [float("inf"), 1.0]), (1, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").filter(topk.usable(F.col("embedding")))
