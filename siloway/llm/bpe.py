@@ -232,10 +232,9 @@ class Encoder:
             yield joined([young[c] for c in own])
 
     def forget(self) -> None:
-        """Drop what is remembered of texts; the vocabulary stays."""
-        for known in (self.young, self.old, self.memo, self.moves, self.inner, self.ends, self.follows):
-            known.clear()
-        self.checked = 0
+        """Drop the chunks of texts that are remembered; the vocabulary and what is known of words stay."""
+        self.young.clear()
+        self.old.clear()
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' own strings joined by one space: the file names no decoder."""
@@ -270,8 +269,8 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text", ids: bool
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(path)
         for batch in batches:
-            made: dict[str, list] = {name: [] for name in kinds}
             for start in range(0, len(batch), BATCH_ROWS):
+                made: dict[str, list] = {name: [] for name in kinds}
                 for n, id_text, decoded in own.encode(batch.slice(start, BATCH_ROWS).to_pylist()):
                     made["n_tokens"].append(n)
                     if ids:
@@ -279,8 +278,8 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text", ids: bool
                     if digests:
                         made["ids_sha256"].append(hashlib.sha256(id_text.encode()).hexdigest())
                         made["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-            arrays = [listed(made[name]) if pa.types.is_list(kind) else pa.array(made[name], kind) for name, kind in kinds.items()]
-            yield pa.StructArray.from_arrays(arrays, [*kinds])
+                arrays = [listed(made[name]) if pa.types.is_list(kind) else pa.array(made[name], kind) for name, kind in kinds.items()]
+                yield pa.StructArray.from_arrays(arrays, [*kinds])
         own.forget()  # workers live on; what they remember would stay with them
 
     return together(df.select(*kept, encode(text_col).alias(out)).select(*kept, f"{out}.*"), back)
