@@ -189,7 +189,7 @@ def _searched(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
         left, right = left.drop_duplicates(["vec_id", "query_row"]), right.set_axis(["cell", "vec_id", "vector"], axis=1)
         if right["vec_id"].duplicated().any():  # equal rows hash to the same block
             right = right[~pd.Series([*zip(right["vec_id"], map(key, right["vector"]))], index=right.index, dtype=object).duplicated()]
-        size = max([0, *map(len, left["vector"]), *map(len, right["vector"])])
+        size = max([1, *map(len, left["vector"]), *map(len, right["vector"])])
 
         def matrix(rows: pd.DataFrame) -> np.ndarray:
             out = np.zeros((len(rows), size))

@@ -48,3 +48,21 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_take_nulls_empty_tables_and_more_columns(spark):
+    long, other = " ".join(f"word{i} and" for i in range(60)), " ".join(f"other{i} or" for i in range(60))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, TEXT string, extra int"
+    rows = [(1, long), (2, long.upper()), (3, long + " end"), (4, other), (4, other), (5, None), (6, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, None, None, None, "x", 1) for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (docs, docs.filter("false")):
+            out = stage(spark, df, SF)
+            assert name == "bpe" or out.columns == docs.columns, name
+            assert (out.count() == 0) == (df is not docs), name
+    stage = dict(corpus_pipeline.STAGES)
+    kept = stage["exact dedup"](spark, docs, SF).select("doc_id").collect()
+    assert sorted(r[0] for r in kept if r[0] is not None) == [2, 3, 4, 4, 6]
+    near = stage["near dedup"](spark, docs, SF).select("doc_id").collect()
+    assert sorted(r[0] for r in near if r[0] is not None) == [1, 4, 4, 5] and len(near) == 5
+    assert {r.n_tokens for r in stage["bpe"](spark, docs, SF).filter("doc_id in (5, 6)").select("n_tokens").collect()} == {0}
