@@ -318,6 +318,8 @@ add(
     "SELECT s.site_id, panel, label, (SELECT count(*) FROM fleet f WHERE f.site_id = s.site_id AND operation_type = op) AS trucks, floor((SELECT count(*) FROM fleet f WHERE f.site_id = s.site_id AND operation_type = op) / n * 100 + 0.5::DOUBLE)::BIGINT AS pct FROM (SELECT site_id, count(*) AS n FROM fleet GROUP BY 1) s, panels",
 )
 add("zipped_reads", [TRIPS, *READS], "SELECT trip_id, step, camera_id, at_us, sector AS planned FROM reads")
+add("alert_status_set", [ALERTS], "SELECT site_id, CASE WHEN alert_id = 'alert-9' THEN 'RESOLVED' ELSE status END AS status, count(*) AS alerts, max(alert_id) AS last FROM alerts GROUP BY 1, 2")
+add("plants_union", [TRIPS], "SELECT site_id, trip_id, out_us FROM trips")
 _WEEKLY = "isoyear(trip_date) || '-W' || lpad(weekofyear(trip_date)::VARCHAR, 2, '0')"
 add("history_remaining", [TRIPS], f"SELECT trip_id, site_id, out_us FROM trips WHERE {_WEEKLY} >= '2024-W03'")
 add("history_weeks", [TRIPS], f"SELECT site_id, 'historico_semana_' || {_WEEKLY} AS archive, count(*) AS trips FROM trips WHERE {_WEEKLY} < '2024-W03' GROUP BY ALL")

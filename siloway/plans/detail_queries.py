@@ -366,6 +366,21 @@ def zipped_reads(spark, d):
     return state.zipped(reads, steps, ["trip_id", "step"])
 
 
+@query
+def alert_status_set(spark, d):
+    return state.set_status(adapters.alerts(spark, d), "alert-9", "RESOLVED").groupBy("site_id", "status").agg(F.count(F.lit(1)).alias("alerts"), F.max("alert_id").alias("last"))
+
+
+@query
+def plants_union(spark, d):
+    trips = adapters.trips(spark, d)
+    made = None
+    for site, _ in dims.SITES:
+        one = trips.filter(F.col("site_id") == site).select("site_id", "trip_id", "out_us")
+        made = one if made is None else made.unionByName(one, allowMissingColumns=True)
+    return made
+
+
 @query
 def history_remaining(spark, d):
     trips = adapters.trips(spark, d)
