@@ -269,7 +269,7 @@ def differences(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY, s
     return beside(pairs, texts).select(*kept, differ("a", "b", "left", "right").alias("d")).select(*kept, "d.*")
 
 
-def unproven(stars: DataFrame, least: float = SIMILARITY, size: int = WORDS, texts: DataFrame | None = None) -> DataFrame:
+def unproven(stars: DataFrame, texts: DataFrame, least: float = SIMILARITY, size: int = WORDS) -> DataFrame:
     """(a, b, part) of members of different components in one star that may be linked.
 
     ``stars`` is (a: member, b: pivot, part, component, inner: whether that is the pivot's). A link of members with
@@ -419,7 +419,7 @@ def near_duplicates(
     placed = placed.select("a", "b", "part", F.coalesce("a_part", "a").alias("component"), F.coalesce(F.coalesce("a_part", "a") == F.coalesce("b_part", "b"), F.lit(False)).alias("inner"))
     placed = written(placed, "placed-stars")
     several = placed.groupBy("b").agg(F.count(F.lit(1)).alias("members"), F.min("inner").alias("whole")).filter("members > 1 and not whole").select("b")
-    hidden = written(unproven(placed.join(several, "b", "left_semi"), least, size, texts), "hidden-pairs")
+    hidden = written(unproven(placed.join(several, "b", "left_semi"), texts, least, size), "hidden-pairs")
     if hidden.limit(1).count():
         more = written(verified(hidden, texts, size).filter(F.col("distance") <= 1 - least + 1e-12).select("a", "b"), "hidden-links")
         if more.limit(1).count():

@@ -262,7 +262,7 @@ def warc_records(data: bytes) -> Iterator[tuple[str, bytes]]:
 def convert(records: DataFrame, min_bytes: int = 0) -> str:
     """Convert records read from legacy archives to WARC files; returns their folder.
 
-    Records whose payloads of at least ``min_bytes`` are equal (length, SHA-1 and SHA-256) are one class; the smallest
+    Records whose payloads of at least ``min_bytes`` are equal (length, SHA-256 and a second 64-bit hash) are one class; the smallest
     (source id, place) of it is a response and the others revisit it. Smaller payloads are all responses, and documents
     without an HTTP head are all resources. Only the
     places travel with the digests; payloads are shuffled by place, which no content makes hot.
@@ -270,17 +270,17 @@ def convert(records: DataFrame, min_bytes: int = 0) -> str:
     run = F.pmod(F.xxhash64("place"), F.lit(RUNS)).cast("int").alias("run")
     small = written(
         records.select(
-            "source_id", "place", "head", F.octet_length("payload").alias("n"), F.sha1("payload").alias("d1"), F.sha2("payload", 256).alias("d2"), run
-        ).filter((F.col("n") >= min_bytes) & (F.col("head") != "")),
+            "source_id", "place", "head", F.octet_length("payload").alias("n"), F.unhex(F.sha2("payload", 256)).alias("digest"), F.xxhash64("payload").alias("second"), run
+        ).filter((F.col("n") >= min_bytes) & (F.col("head") != "")).drop("head"),
         "payload-digests",
     )
     # a payload of any number of copies is one entry per run, so no join gathers its records
-    key = ["n", "d1", "d2"]
+    key = ["n", "digest", "second"]
     leaves = small.groupBy("run", *key).agg(F.min(F.struct(F.col("source_id").isNull(), "source_id", "place")).alias("first"), F.count(F.lit(1)).alias("rows"))
     first = leaves.groupBy(*key).agg(F.min("first").alias("first"), F.sum("rows").alias("rows")).filter("rows > 1")
     down = leaves.select("run", *key).join(first.select(*key, F.col("first.place").alias("refers_to")), key)
     again = small.join(down, ["run", *key]).filter("place <> refers_to").select("place", "refers_to")
-    rows = records.join(again, "place", "left")
+    rows = records.drop("source_id").join(again, "place", "left")
     return _write(_archives(rows, lambda name: (warc_info(name), warc_record)), "warc", "\r\n")
 
 
