@@ -43,8 +43,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
     This cuts the lineage: the rows survive the loss of any executor and are computed once however often they are used.
     """
+    return stored(df, new_path(df.sparkSession, what))
+
+
+def emptied(df: DataFrame, path: str) -> None:
+    """Write an empty table over that of ``df`` at ``path``, which nothing reads any more: its disk is free again."""
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet to ``path`` and read it again."""
     spark = df.sparkSession
-    path = new_path(spark, what)
     before = spark.conf.get(ARROW_BYTES)
     spark.conf.set(ARROW_BYTES, BATCH_BYTES)  # Python workers hold a few copies of a batch of texts
     try:
