@@ -3,19 +3,22 @@
 Two sets link when shared / union is at least P / Q; with D for the number of n-grams that only one has and n for a size
 that is (P + Q) D <= (Q - P) (n_a + n_b), in whole numbers (19 D <= n_a + n_b at nine tenths). All steps are exact.
 
-A document's l-prefix is its first n - ceil(n P / Q) + l n-grams in the order of their hashes: two documents that link share
-at least l n-grams of their l-prefixes. Rounds take longer and longer prefixes (``SHARES`` gives l as a share of n). In a
-round a document that does not hold enough n-grams that others show is out. For the rest the number of candidates is
-estimated by the company of their prefix over the number of matches asked for: where that is at most ``CANDIDATES``, the
-document is settled: it is paired with those that show enough of its n-grams, and the pairs are verified on whole sets.
-Others go to the next round, among themselves, with a longer prefix and correspondingly more matches; a settled document
-meets at most that many, so the pairs grow with the documents.
-
-What is left after the last round lives in large groups of much alike documents, and is not paired. Of each prefix
-n-gram the document with most company is the pivot, and the others are compared with the pivot only. Let D be the n-grams
-that only one of a member and its pivot has: two members differ in what only one of their D holds, so a link asks for a
-number of n-grams in both D, and prefixes of the D, rarest first, find the members that may link. Members joined to one
-component by then are not searched. Their D also say how much two members differ, so no text is read again.
+Two documents that link share at least o n-grams, o being n P / Q of either, rounded up. With n-grams in any one order for all
+documents, they share m of the first n - o + m of each. The order is that of the number of documents that hold an
+n-gram, fewest first, so a prefix meets few others. Each document lengthens its prefix as far as that pays: a longer one
+costs more rows to join and asks a candidate for more matches m, so for fewer verifications; company of the prefix over m is the
+estimate of the candidates. A pair has to share the lesser of its documents' m. Where the estimate is at most ``CANDIDATES``
+the document is settled: its candidates are verified on whole sets. The others go on among themselves.
+
+The first round does this on a sample of each document, so that not all n-grams are counted: its first n - o + l by hash,
+of which two that link share l likewise, with l a share of n. Only documents that are not alone after it are read again, and
+the second round, on whole sets and with numbers of the documents that are left, settles those that a common passage had kept.
+
+What is left after it lives in large groups of much alike documents, and is not paired. Of each prefix n-gram the document
+with most company is the pivot, and the others are compared with the pivot only. Let D be the n-grams that only one of a
+member and its pivot has: two members differ in what only one of their D holds, so a link asks for a number of n-grams in
+both D, and prefixes of the D, rarest first, find the members that may link. Members joined to one component by then are
+not searched. Their D also say how much two members differ, so no text is read again.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ from siloway.llm.minhash import CHUNK_WORDS, RUNS, _one_row_each, components, mi
 #: Words of a shingle, and least similarity of a link as a fraction.
 WORDS, LEAST = 3, (9, 10)
 
-#: Matches that each round asks for, as a share of a document's n-grams, and candidates that a settled document may have.
-SHARES, CANDIDATES = (0.1, 0.4), 8
+#: Matches of the sample, as a share of a document's n-grams, candidates that a settled document may have, matches to choose from.
+SHARE, CANDIDATES, MATCHES = 0.1, 8, (1, 2, 4, 8, 16, 32)
 
 #: Rows of one partner that meet in a task, and words whose hashes a task remembers.
 HUB_ROWS, MEMO_WORDS = 512, 100_000
@@ -112,24 +115,19 @@ def _lists(who: np.ndarray, grams: np.ndarray, n: np.ndarray, shown: np.ndarray)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(grams[place < shown[who]].view(np.int64)))
 
 
-def matches(n: Column, share: float) -> Column:
-    """Matches that documents of ``n`` n-grams are asked for in the round of ``share``: one at least."""
-    return F.greatest(F.floor(n * F.lit(share)), F.lit(1).cast("long"))
-
-
-def smallest_partner(n: Column, least: tuple[int, int] = LEAST) -> Column:
-    """The least number of n-grams that a document linked with one of ``n`` can have."""
+def smallest_overlap(n: Column, least: tuple[int, int] = LEAST) -> Column:
+    """The least number of n-grams that a document of ``n`` shares with one that it links with; and the least size of that one."""
     return F.ceil(n * F.lit(least[0]) / F.lit(least[1]) - F.lit(1e-9))
 
 
-def prefix_length(n: Column, share: float, least: tuple[int, int] = LEAST) -> Column:
-    """Length of the prefix that is shown in the round of ``share``."""
-    return F.least(n, n - smallest_partner(n, least) + matches(n, share))
+def sampled(n: Column, share: float) -> Column:
+    """Matches in samples of two documents of ``n`` n-grams: one at least."""
+    return F.greatest(F.floor(n * F.lit(share)), F.lit(1).cast("long"))
 
 
 def document_sets(df: DataFrame, size: int, share: float | None, least: tuple[int, int] = LEAST) -> DataFrame:
     """(id, version, n, key_a, key_b, grams) of ``df`` (id, version, text in UTF-8): number of n-grams, two 64-bit hashes of
-    the set, and its n-grams in order: the prefix of the round of ``share``, or all of them."""
+    the set, and its n-grams in the order of their hashes: the sample for ``share``, or all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,46 +179,53 @@ def verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int] = LEAST)
     return both.filter(linked(sizes - 2 * shared, sizes, least)).select("a", "b")
 
 
-def multi_match(sets: DataFrame, share: float, least: tuple[int, int] = LEAST, candidates: int = CANDIDATES) -> tuple[DataFrame, DataFrame]:
-    """One round over ``sets`` (id, n, grams: the prefix at least): (pairs (a, b) of settled documents, the documents that go on).
+def ranked(held: Column, gram: Column) -> Column:
+    """One number for an n-gram and its company, in the order of the company: 23 bits of it, 40 of the n-gram. N-grams with
+    one number count as one, which adds candidates and loses none."""
+    return F.shiftleft(F.least(held, F.lit((1 << 23) - 1)).cast("long"), 40).bitwiseOR(gram.bitwiseAND(F.lit((1 << 40) - 1)))
+
+
+def multi_match(sets: DataFrame, share: float | None, least: tuple[int, int] = LEAST, candidates: int = CANDIDATES) -> tuple[DataFrame, DataFrame]:
+    """One round over ``sets`` (id, n, grams: the sample for ``share``, or all): (pairs (a, b) of settled documents to verify,
+    the documents that go on: (id, n, first)). ``first`` are the n-grams, with their company, of which two documents that link
+    have one in common.
 
-    Documents that go on are (id, n). What is asked for is the number of matches of the smallest partner, as a pair shares
-    the lesser of its two documents' numbers.
+    A sample shares the lesser of its two documents' numbers, so a document counts on the number of its smallest partner.
     """
-    asked = matches(smallest_partner(F.col("n"), least), share)
-    prefix = F.slice("grams", F.lit(1), prefix_length(F.col("n"), share, least).cast("int"))
-    rows = sets.select("id", F.explode(prefix).alias("gram"))
+    shared = smallest_overlap(F.col("n"), least) if share is None else sampled(smallest_overlap(F.col("n"), least), share)
+    rows = sets.select("id", F.explode("grams").alias("gram"))
     common = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "common-grams")
-    shown = written(rows.join(common, "gram"), "shown-grams")
-    company = shown.groupBy("id").agg(F.count(F.lit(1)).alias("shared"), F.sum(F.col("held") - 1).alias("company"))
-    alive = sets.select("id", "n").join(company, "id").filter(F.col("shared") >= asked)
-    alive = written(alive.select("id", "n", asked.alias("asked"), (F.col("company") <= candidates * asked).alias("settled")), "alive")
-    # a settled document's n-grams are shown by few, so these pairs are bounded by the prefixes
-    placed = written(shown.join(alive, "id").select("gram", "id", "n", "settled"), "alive-grams")
-    some = placed.filter("settled").select("gram", F.col("id").alias("a"), F.col("n").alias("a_n"))
-    other = placed.select("gram", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("settled").alias("b_settled"))
+    held = rows.join(common, "gram").groupBy("id").agg(F.sort_array(F.collect_list(ranked(F.col("held"), F.col("gram")))).alias("all"))
+    facts = sets.select("id", "n", F.size("grams").alias("shown"), shared.cast("int").alias("asked"))
+    # n-grams that no other document shows come first and match nothing
+    facts = facts.join(held, "id").withColumn("spare", F.size("all") - F.col("asked")).filter("spare >= 0")
+
+    def choice(m: int) -> Column:
+        kept = F.slice("all", F.lit(1), F.least(F.size("all"), F.col("spare") + m))
+        return F.struct(F.lit(m).alias("m"), F.aggregate(kept, F.lit(0).cast("long"), lambda a, k: a + F.shiftright(k, 40) - 1).alias("company"))
+
+    priced = facts.withColumn("choices", F.array(*[F.when(F.col("asked") >= m, choice(m)) for m in MATCHES]))
+    # rows to join, and n-grams of the candidates to verify
+    cost = F.transform("choices", lambda c: F.struct((c["company"] + c["company"] / c["m"] * F.col("n")).alias("cost"), c["m"].alias("m"), c["company"].alias("company")))
+    priced = priced.withColumn("best", F.array_min(F.filter(cost, lambda c: c["cost"].isNotNull())))
+    alive = priced.select("id", "n", F.col("best.m").alias("m"), (F.col("best.company") <= candidates * F.col("best.m")).alias("settled"), "spare", "all")
+    alive = written(alive, "alive")
+    placed = written(alive.select("id", "n", "m", "settled", F.explode(F.slice("all", F.lit(1), F.col("spare") + F.col("m"))).alias("gram")), "alive-grams")
+    some = placed.filter("settled").select("gram", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("m").alias("a_m"))
+    other = placed.select("gram", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("m").alias("b_m"), F.col("settled").alias("b_settled"))
     p, q = least
     close = (F.col("a_n") * p <= F.col("b_n") * q) & (F.col("b_n") * p <= F.col("a_n") * q)
+    # a settled document's n-grams are shown by few, so these pairs are bounded by the prefixes
     met = some.join(other, "gram").filter(close & (F.col("a") != F.col("b")) & (~F.col("b_settled") | (F.col("a") < F.col("b"))))
-    needed = F.least(matches(F.col("a_n"), share), matches(F.col("b_n"), share))
-    pairs = met.groupBy("a", "b", "a_n", "b_n").agg(F.count(F.lit(1)).alias("found")).filter(F.col("found") >= needed)
-    return pairs.select("a", "b"), alive.filter("not settled").select("id", "n")
-
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("found"), F.min(F.least("a_m", "b_m")).alias("m")).filter("found >= m")
+    rest = alive.filter("not settled").select("id", "n", F.slice("all", F.lit(1), F.col("spare") + 1).alias("first"))
+    return pairs.select("a", "b"), rest
 
-def stars(sets: DataFrame, share: float, least: tuple[int, int] = LEAST) -> DataFrame:
-    """(a, b) of documents and pivots, such that two documents that link have a pivot in common or one is the other's.
 
-    Prefixes share so many n-grams that each document can leave out all but one of that number; the n-grams that most
-    show are kept, as they gather a group round one pivot. Those that no other document shows come last and match nothing.
-    """
-    asked = matches(smallest_partner(F.col("n"), least), share)
-    length = prefix_length(F.col("n"), share, least)
-    prefix = F.slice("grams", F.lit(1), length.cast("int"))
-    rows = sets.select("id", (length - asked + 1).alias("keep"), F.explode(prefix).alias("gram"))
-    common = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "star-grams")
-    each = rows.join(common, "gram").groupBy("id", "keep").agg(F.reverse(F.sort_array(F.collect_list(F.struct("held", "gram")))).alias("all"))
-    kept = each.select("id", F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["held"]).alias("weight"), F.explode(F.slice("all", F.lit(1), F.col("keep").cast("int"))).alias("g"))
-    kept = written(kept.select("id", "weight", F.col("g.gram").alias("gram")), "star-rows")
+def stars(rest: DataFrame) -> DataFrame:
+    """(a, b) of documents and pivots, such that two of ``rest`` (id, first) that link have a pivot in common or one is the other's."""
+    weight = F.aggregate("first", F.lit(0).cast("long"), lambda a, k: a + F.shiftright(k, 40))
+    kept = written(rest.select("id", weight.alias("weight"), F.explode("first").alias("gram")), "star-rows")
     pivots = kept.groupBy("gram").agg(F.max(F.struct("weight", F.xxhash64("id").alias("h"), F.col("id")))["id"].alias("b"))
     return kept.join(written(pivots, "pivots"), "gram").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
@@ -244,7 +249,7 @@ def hidden_pairs(found: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     each = found.select("b", "a", "component", F.explode("delta").alias("gram"))
     common = each.groupBy("b", "gram").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
     common = written(common.filter("low <> high").select("b", "gram", "held"), "star-common")
-    mine = each.join(common, ["b", "gram"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("held", "gram")))["gram"].alias("shared"))
+    mine = each.join(common, ["b", "gram"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(ranked(F.col("held"), F.col("gram")))).alias("shared"))
     # heights in units of 1 / (p + q), so that they are whole
     height = F.size("delta") * (p + q) - F.col("a_n") * (q - p)
     steps = F.col("height") / F.greatest(F.floor(F.col("b_n") * (q - p) / 4), F.lit(1).cast("long"))
@@ -296,10 +301,10 @@ def hidden_links(pairs: DataFrame, found: DataFrame, least: tuple[int, int] = LE
     return both.filter(linked(apart_by, F.col("n") + F.col("c_n"), least)).select("a", F.col("c").alias("b")).distinct()
 
 
-def grouped_links(sets: DataFrame, links: DataFrame, share: float, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Links (a, b) that join the documents of ``sets`` (id, n, grams) to the components that all their links make, given
-    ``links`` already found: with pivots, and between members that these leave in different components."""
-    found = written(differences(written(stars(sets, share, least), "stars"), sets), "star-differences")
+def grouped_links(rest: DataFrame, sets: DataFrame, links: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Links (a, b) that join the documents of ``rest`` (id, first) to the components that all their links make, given
+    ``links`` already found: with pivots, and between members that these leave in different components. ``sets`` is (id, n, grams)."""
+    found = written(differences(written(stars(rest), "stars"), sets), "star-differences")
     near = written(links.unionByName(found.filter(linked(F.size("delta"), F.col("a_n") + F.col("b_n"), least)).select("a", "b")), "near-links")
     where = components(near)
     placed = found.join(where.withColumnRenamed("id", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
@@ -314,7 +319,7 @@ def grouped_links(sets: DataFrame, links: DataFrame, share: float, least: tuple[
 
 def ngram_join(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, least: tuple[int, int] = LEAST,
-    shares: tuple[float, ...] = SHARES, candidates: int = CANDIDATES,
+    share: float = SHARE, candidates: int = CANDIDATES,
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every row: the size of its set of n-grams and the smallest id that links reach.
 
@@ -326,7 +331,7 @@ def ngram_join(
     df, _ = apart(df, id_col, text_col)
     text = F.col(text_col).cast("string")
     docs = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("version"), text.cast("binary").alias("text"))
-    sketched = _one_row_each(written(document_sets(docs, size, shares[0], least), "ngram-sketches"))
+    sketched = _one_row_each(written(document_sets(docs, size, share, least), "ngram-sketches"))
     key = ["key_a", "key_b"]
     # sets that differ have sizes of (P + Q) / (Q - P) together at least, so those under P / (Q - P) have no other partners
     reps = sketched.filter("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "grams"), "id").alias("s"))
@@ -334,17 +339,15 @@ def ngram_join(
     p, q = least
     joinable = reps.filter(F.col("n") * (q - p) >= p).select("id", "n", "grams")
 
-    pairs, rest = multi_match(joinable, shares[0], least, candidates)
-    pairs = [written(pairs, "settled-pairs")]
-    needed = pairs[0].select(F.col("a").alias("id")).unionByName(pairs[0].select(F.col("b").alias("id"))).unionByName(rest.select("id")).distinct()
+    near, rest = multi_match(joinable, share, least, candidates)
+    near = written(near, "settled-pairs")
+    needed = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).unionByName(rest.select("id")).distinct()
     texts = docs.join(written(needed, "needed"), "id", "left_semi").groupBy("id", "version").agg(F.first("text").alias("text"))
     texts = texts.join(sketched.select("id", "version"), ["id", "version"], "left_semi").select("id", "version", "text")
     sets = written(document_sets(texts, size, None, least).select("id", "n", "grams"), "ngram-sets")
-    for share in shares[1:]:
-        more, rest = multi_match(sets.join(rest.select("id"), "id", "left_semi"), share, least, candidates)
-        pairs.append(written(more, "settled-pairs"))
-    links = written(_all(verified(p, sets, least) for p in pairs), "settled-links")
-    links = grouped_links(written(sets.join(rest.select("id"), "id", "left_semi"), "group-sets"), links, shares[-1], least)
+    more, rest = multi_match(sets.join(rest.select("id"), "id", "left_semi"), None, least, candidates)
+    links = written(verified(near.unionByName(written(more, "settled-pairs")), sets, least), "settled-links")
+    links = grouped_links(rest, sets, links, least)
     where = components(links)
 
     # a set that many documents have is one entry per run, so no join gathers its rows
@@ -356,13 +359,6 @@ def ngram_join(
     return out.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select("id", "n_shingles", "component_id")
 
 
-def _all(frames: Iterator[DataFrame]) -> DataFrame:
-    found = next(frames)
-    for more in frames:
-        found = found.unionByName(more)
-    return found
-
-
 def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its set of 3-word shingles and the smallest doc_id that links of nine tenths reach."""
     return ngram_join(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
