@@ -10,39 +10,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siloway.functions.scalar import DAY_US, HOUR_US, MINUTE_US, alert_category, hour_of, utilisation_band
+from siloway.functions.scalar import DAY_US, HOUR_US, MINUTE_US, alert_category, hour_of, sector_order, utilisation_band
+from siloway.operators.visits import once
 
 #: Length of a chunk of the sweep.
 CHUNK_US = DAY_US
 
 
-def sector_intervals(trips: DataFrame, by_trip: bool = False) -> DataFrame:
-    """(trip_id, site_id, sector, step, start_us, end_us): a trip's stay divided over its sectors.
+def trip_segments(trips: DataFrame) -> DataFrame:
+    """Trips with ``segments``: a trip's stay divided over its sectors, as (step, sector, start_us, end_us, first).
 
     Weights are the known minutes of the sectors, unknown ones counting as the mean of the known; without any known
-    they are equal. A stay that is not positive is taken as the clamped minutes. Empty segments are left out. ``by_trip``
-    gives (site_id, stay, sectors) instead, a row per trip with the sectors that it has segments in.
+    they are equal. A stay that is not positive is taken as the clamped minutes. Empty segments are left out; ``first`` tells
+    whether a segment is the trip's first in its sector. Each step of the sums is held, so that none is worked out again for
+    every element.
     """
     span = F.when(F.col("out_us") > F.col("in_us"), F.col("out_us") - F.col("in_us")).otherwise((F.col("stay") * MINUTE_US).cast("long"))
     raw = F.transform("sectors", lambda s: F.greatest(F.lit(0.0), F.coalesce(F.element_at("sector_minutes", s), F.lit(0.0))))
-    known = F.filter("raw", lambda w: w > 0)
-    total = F.aggregate("raw", F.lit(0.0), lambda a, w: a + w)
+    rows = once(trips.filter(F.size("sectors") > 0).withColumn("_span", span).withColumn("_raw", raw), ["_span", "_raw"])
+    known, total = F.size(F.filter("_raw", lambda w: w > 0)), F.aggregate("_raw", F.lit(0.0), lambda a, w: a + w)
+    rows = once(rows.withColumn("_known", known).withColumn("_total", total), ["_known", "_total"])
     # times the number of known weights, so that the mean of the known is their sum and no division rounds it
-    weights = F.when(F.size(known) > 0, F.transform("raw", lambda w: F.when(w > 0, w * F.size(known)).otherwise(total))).otherwise(F.transform("sectors", lambda s: F.lit(1.0)))
-    rows = trips.filter(F.size("sectors") > 0).withColumn("span", span).withColumn("raw", raw).withColumn("weights", weights)
-    rows = rows.withColumn("whole", F.aggregate("weights", F.lit(0.0), lambda a, w: a + w))
+    weights = F.transform("_raw", lambda w: F.when(F.col("_known") == 0, 1.0).when(w > 0, w * F.col("_known")).otherwise(F.col("_total")))
+    sums = F.aggregate(weights, F.array(F.lit(0.0)), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + w)))
+    rows = once(rows.withColumn("_upto", sums), ["_upto"])
+    edges = F.transform("_upto", lambda u: F.col("in_us") + F.floor(F.col("_span") * u / F.element_at("_upto", -1)).cast("long"))
+    rows = once(rows.withColumn("_edge", edges), ["_edge"])
+    cut = F.transform("sectors", lambda s, i: F.struct(i.alias("step"), s.alias("sector"), F.get("_edge", i).alias("start_us"), F.get("_edge", i + 1).alias("end_us")))
+    kept = F.filter(cut, lambda x: (x["end_us"] > x["start_us"]) & (x["sector"] != ""))
+    rows = once(rows.withColumn("_kept", kept), ["_kept"])
+    named = F.transform("_kept", lambda x, i: F.struct(x["step"].alias("step"), x["sector"].alias("sector"), x["start_us"].alias("start_us"), x["end_us"].alias("end_us"), (F.array_position(F.col("_kept")["sector"], x["sector"]) == i + 1).alias("first")))
+    return rows.withColumn("segments", named).drop("_span", "_raw", "_known", "_total", "_upto", "_edge", "_kept")
 
-    def edge(count: Column) -> Column:
-        upto = F.aggregate(F.slice("weights", F.lit(1), count), F.lit(0.0), lambda a, w: a + w)
-        return F.col("in_us") + F.floor(F.col("span") * upto / F.col("whole")).cast("long")
 
-    if by_trip:
-        kept = F.filter(F.transform("sectors", lambda s, i: F.when((edge(i + 1) > edge(i)) & (s != ""), s)), lambda s: s.isNotNull())
-        return rows.select("site_id", "stay", kept.alias("sectors")).filter(F.size("sectors") > 0)
-    rows = rows.select("trip_id", "site_id", "in_us", "span", "weights", "whole", F.posexplode("sectors").alias("step", "sector"))
-
-    cut = rows.select("trip_id", "site_id", "sector", "step", edge(F.col("step")).alias("start_us"), edge(F.col("step") + 1).alias("end_us"))
-    return cut.filter((F.col("end_us") > F.col("start_us")) & (F.col("sector") != ""))
+def sector_intervals(trips: DataFrame) -> DataFrame:
+    """(trip_id, site_id, sector, step, start_us, end_us): the segments of trips (``trip_segments``), a row each."""
+    rows = trip_segments(trips).select("trip_id", "site_id", F.explode("segments").alias("s"))
+    return rows.select("trip_id", "site_id", "s.sector", "s.step", "s.start_us", "s.end_us")
 
 
 def clipped(intervals: DataFrame, start_us: int, end_us: int) -> DataFrame:
@@ -65,8 +69,21 @@ def occupancy(intervals: DataFrame, by: list[str], chunk_us: int = CHUNK_US) ->
     return steps.withColumn("inside", F.sum("change").over(within)).join(carried, [*by, "chunk"]).select(*by, "chunk", "at_us", "change", (F.col("carried") + F.col("inside")).alias("occupied"))
 
 
+def peaks(moves: DataFrame, by: list[str], sums: list[str], chunk_us: int = CHUNK_US) -> DataFrame:
+    """(by, peak, sums): the greatest occupancy out of moves (by, at_us, change), and the totals of other columns of theirs.
+
+    A chunk of time is swept on its own and gives its net change and its greatest rise; only chunks are then put in order.
+    """
+    steps = moves.groupBy(*by, "at_us").agg(*[F.sum(c).alias(c) for c in ("change", *sums)]).withColumn("chunk", F.expr(f"at_us div {chunk_us}"))
+    rise = F.sum("change").over(Window.partitionBy(*by, "chunk").orderBy("at_us").rowsBetween(Window.unboundedPreceding, 0))
+    chunks = steps.withColumn("rise", rise).groupBy(*by, "chunk").agg(F.max("rise").alias("rise"), *[F.sum(c).alias(c) for c in ("change", *sums)])
+    before = F.coalesce(F.sum("change").over(Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return chunks.withColumn("most", before + F.col("rise")).groupBy(*by).agg(F.max("most").alias("peak"), *[F.sum(c).alias(c) for c in sums])
+
+
 def peak_concurrent(intervals: DataFrame, by: list[str]) -> DataFrame:
-    return occupancy(intervals, by).groupBy(*by).agg(F.max("occupied").alias("peak"))
+    ends = F.array(F.struct(F.col("start_us").alias("at_us"), F.lit(1).alias("change")), F.struct(F.col("end_us").alias("at_us"), F.lit(-1).alias("change")))
+    return peaks(intervals.select(*by, F.explode(ends).alias("e")).select(*by, "e.*"), by, [])
 
 
 def episodes(intervals: DataFrame, capacity: DataFrame) -> DataFrame:
@@ -134,43 +151,57 @@ def summaries(found: DataFrame, cells: DataFrame, step_us: int) -> DataFrame:
 
 
 def executive(summary: DataFrame) -> DataFrame:
-    """Per site: sectors with episodes, episodes, saturated minutes, and the sector with most of them."""
-    rank = F.struct("saturated_minutes", "episodes", "max_excess", "sector")
+    """Per site: sectors with episodes, episodes, saturated minutes, and the sector with most of them, of equal ones the first."""
+    rank = F.struct(F.round("saturated_minutes", 6), "episodes", "max_excess", (-sector_order(F.col("sector"))).alias("o"))
     return summary.groupBy("site_id").agg(
         F.count_if(F.col("episodes") > 0).alias("saturated_sectors"), F.sum("episodes").alias("episodes"), F.sum("saturated_minutes").alias("saturated_minutes"),
         F.max_by(F.when(F.col("episodes") > 0, F.col("sector")), rank).alias("top_sector"), (F.max("saturated_minutes") / 60).alias("top_sector_hours"),
     )
 
 
-def simultaneous(found: DataFrame, bucket_us: int = HOUR_US) -> DataFrame:
-    """How many pairs of episodes of two sectors of a site overlap in time, by pair of sectors.
+def simultaneous(found: DataFrame, chunk_us: int = CHUNK_US) -> DataFrame:
+    """How many pairs of episodes of two sectors of a site overlap in time, by pair of sectors; pairs are counted, not made.
 
-    Both sides are exploded to the time buckets they touch and joined on site and bucket; a pair counts in the bucket
-    where the later of the two starts, so once.
+    An episode overlaps those of the other sector that start before its end, less those that end by its start. Both are
+    running counts over the other sector's sorted edges, among which an episode asks once for each other sector of its site,
+    so the work is episodes times sectors. Running counts go by chunk of time, as in a sweep.
     """
-    spread = found.select("site_id", "sector", "start_us", "end_us", F.explode(F.expr(f"sequence(start_us div {bucket_us}, (end_us - 1) div {bucket_us})")).alias("bucket"))
-    a, b = (spread.select("site_id", "bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("sector", "start_us", "end_us")]) for k in "ab")
-    pairs = a.join(b, ["site_id", "bucket"]).filter(
-        "sector_a < sector_b and start_us_a < end_us_b and start_us_b < end_us_a" + f" and bucket = greatest(start_us_a, start_us_b) div {bucket_us}"
-    )
-    return pairs.groupBy("site_id", "sector_a", "sector_b").agg(F.count(F.lit(1)).alias("overlap_count"))
-
-
-def sector_density(intervals: DataFrame, trips: DataFrame, alerts: DataFrame, capacity: DataFrame) -> DataFrame:
+    sectors = found.select("site_id", F.col("sector").alias("other")).distinct()
+    asking = found.join(F.broadcast(sectors), "site_id").filter("sector < other").select("site_id", F.col("sector").alias("sector_a"), F.col("other").alias("sector_b"), "start_us", "end_us")
+
+    def point(kind: int, at: str, place: int, weight: int) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(at).alias("at_us"), F.lit(place).alias("place"), F.lit(weight).alias("weight"))
+
+    # of one instant: who asks for starts before it, then edges, then who asks for ends up to it
+    asked = asking.select("site_id", "sector_a", "sector_b", F.explode(F.array(point(0, "end_us", 0, 0), point(1, "start_us", 2, 0))).alias("p"))
+    edges = found.select("site_id", F.lit(None).cast("string").alias("sector_a"), F.col("sector").alias("sector_b"), F.explode(F.array(point(0, "start_us", 1, 1), point(1, "end_us", 1, 1))).alias("p"))
+    points = asked.unionByName(edges).select("site_id", "sector_a", "sector_b", "p.*").withColumn("chunk", F.expr(f"at_us div {chunk_us}"))
+    line = ["site_id", "sector_b", "kind"]
+    held = points.groupBy(*line, "chunk").agg(F.sum("weight").alias("edges"))
+    earlier = F.sum("edges").over(Window.partitionBy(*line).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select(*line, "chunk", F.coalesce(earlier, F.lit(0)).alias("before"))
+    within = F.sum("weight").over(Window.partitionBy(*line, "chunk").orderBy("at_us", "place").rowsBetween(Window.unboundedPreceding, 0))
+    told = points.withColumn("within", within).filter("sector_a is not null").join(held, [*line, "chunk"])
+    count = F.when(F.col("kind") == 0, F.col("before") + F.col("within")).otherwise(-(F.col("before") + F.col("within")))
+    return told.groupBy("site_id", "sector_a", "sector_b").agg(F.sum(count).alias("overlap_count")).filter("overlap_count > 0")
+
+
+def sector_density(trips: DataFrame, alerts: DataFrame, capacity: DataFrame) -> DataFrame:
     """Per site and sector: peak occupancy, trips through it, their mean stay, alerts, capacity, and whether the peak reaches it.
 
-    Trips through a sector come from each trip's own array of sectors, so facts are never joined to facts.
+    Trips are read and divided once: the moves of a segment carry its trip where it is the trip's first in the sector.
     """
     by = ["site_id", "sector"]
-    own = sector_intervals(trips, by_trip=True)
-    through = own.select("site_id", "stay", F.explode(F.array_distinct("sectors")).alias("sector")).groupBy(*by).agg(F.count(F.lit(1)).alias("trips"), F.avg("stay").alias("mean_stay"))
-    alerted = alerts.filter("sector is not null").groupBy(*by).agg(F.count(F.lit(1)).alias("alerts"))
+    rows = trip_segments(trips).select("site_id", "stay", F.explode("segments").alias("s"))
+    come = F.struct(F.col("s.start_us").alias("at_us"), F.lit(1).alias("change"), F.col("s.first").cast("long").alias("trips"), F.when(F.col("s.first"), F.col("stay")).otherwise(0.0).alias("stays"))
+    go = F.struct(F.col("s.end_us").alias("at_us"), F.lit(-1).alias("change"), F.lit(0).cast("long").alias("trips"), F.lit(0.0).alias("stays"))
+    moves = rows.select("site_id", F.col("s.sector").alias("sector"), F.explode(F.array(come, go)).alias("m")).select(*by, "m.*")
     zero = F.lit(0).cast("long")
-    parts = peak_concurrent(intervals, by).select(*by, F.col("peak").cast("long").alias("peak"), zero.alias("trips"), F.lit(0.0).alias("mean_stay"), zero.alias("alerts"))
-    parts = parts.unionByName(through.select(*by, zero.alias("peak"), "trips", "mean_stay", zero.alias("alerts")))
-    parts = parts.unionByName(alerted.select(*by, zero.alias("peak"), zero.alias("trips"), F.lit(0.0).alias("mean_stay"), "alerts"))
-    full = parts.groupBy(*by).agg(*[F.max(c).alias(c) for c in ("peak", "trips", "mean_stay", "alerts")]).join(F.broadcast(capacity), by, "left")
-    return full.withColumn("saturated", F.coalesce(F.col("peak") >= F.col("capacity"), F.lit(False)))
+    busy = peaks(moves, by, ["trips", "stays"]).select(*by, F.col("peak").cast("long").alias("peak"), "trips", "stays", zero.alias("alerts"))
+    alerted = alerts.filter("sector is not null").groupBy(*by).agg(F.count(F.lit(1)).alias("alerts")).select(*by, zero.alias("peak"), zero.alias("trips"), F.lit(0.0).alias("stays"), "alerts")
+    full = busy.unionByName(alerted).groupBy(*by).agg(*[F.max(c).alias(c) for c in ("peak", "trips", "stays", "alerts")]).join(F.broadcast(capacity), by, "left")
+    mean = F.when(F.col("trips") > 0, F.col("stays") / F.col("trips")).otherwise(0.0)
+    return full.select(*by, "peak", "trips", mean.alias("mean_stay"), "alerts", "capacity", F.coalesce(F.col("peak") >= F.col("capacity"), F.lit(False)).alias("saturated"))
 
 
 def detail_window(found: DataFrame, step_us: int, range_start: int, range_end: int) -> DataFrame:

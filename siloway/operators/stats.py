@@ -21,41 +21,75 @@ def mean(x: str) -> Column:
     return F.coalesce(F.avg(x), F.lit(0.0))
 
 
-def quantile(x: str, p: float) -> Column:
-    """Exact percentile with linear interpolation."""
-    return F.coalesce(F.percentile(x, F.lit(p)), F.lit(0.0))
+#: Slots of value in a doubling of 1 + |x|: each holds a ten-thousandth of a group's values or so.
+SLOTS = 8192
 
 
-#: Ranges of value that a group's distinct values are dealt to when ranks are looked for.
-RANGES = 4096
+def slot_of(x: Column) -> Column:
+    """A whole number that never falls as x grows: in which stretch of values x lies. It needs no bounds of the data."""
+    step = F.floor(F.log2(1 + F.abs(x)) * SLOTS)
+    return F.when(F.isnan(x), F.lit(1 << 40)).otherwise(F.when(x < 0, -step).otherwise(step)).cast("long")
 
 
-def ranked_quantiles(df: DataFrame, by: list[str], x: str, shares: dict[str, float]) -> DataFrame:
-    """(by, one column per name): exact percentiles with linear interpolation, without a buffer or a window per group.
+def counted(df: DataFrame, by: list[str], x: str, ordinal: str | None = None) -> DataFrame:
+    """(by, _x, _c, _first): each group's values with their number and first ordinal. Parts of a table add up to those of the whole,
+    and every figure of a distribution follows from it."""
+    first = F.min(ordinal) if ordinal else F.lit(0)
+    return df.groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"), first.alias("_first"))
+
+
+def figures(df: DataFrame, by: list[str], x: str, shares: dict[str, float], ordinal: str | None = None, multiplier: float | None = None) -> DataFrame:
+    """(by, n, mean, std, min, max, mode, over_count, one column per name of ``shares``) of each group's values, nulls apart.
 
-    Values are counted by group and value, and the counts by group and range of value. The running totals of the ranges,
-    a few thousand a group, tell in which range a rank lies, and only the values of those ranges are ordered.
+    Rows are counted by value once, values are summed by slot, and slots, a few ten thousand a group, by group. Percentiles are
+    exact, with linear interpolation: running totals of slots give the ranks of their values, which are ordered within their
+    slot alone. Second moments are taken about a point of each slot, so nothing cancels out. ``over_count`` is the number of
+    values over mean + multiplier * std.
     """
-    keys = [F.col(c) for c in by] or [F.lit(0).alias("_all")]
     names = by or ["_all"]
-    values = df.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
-    groups = values.groupBy(*names).agg(F.sum("_c").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
-    place = F.when(F.col("_high") > F.col("_low"), F.least(F.lit(RANGES - 1), F.floor((F.col("_x") - F.col("_low")) / (F.col("_high") - F.col("_low")) * RANGES))).otherwise(0)
-    placed = values.join(groups, names).withColumn("_b", place.cast("int")).select(*names, "_b", "_x", "_c", "_n")
-    ranges = placed.groupBy(*names, "_b").agg(F.sum("_c").alias("_size"), F.max("_n").alias("_n"))
-    ranges = ranges.withColumn("_end", F.sum("_size").over(Window.partitionBy(*names).orderBy("_b"))).withColumn("_start", F.col("_end") - F.col("_size"))
-    wanted = []
-    for name, p in shares.items():
-        at = F.lit(p) * (F.col("_n") - 1)
-        wanted += [F.struct(F.lit(name).alias("name"), F.floor(at).alias("rank"), (1 - (at - F.floor(at))).alias("part")), F.struct(F.lit(name).alias("name"), (F.floor(at) + 1).alias("rank"), (at - F.floor(at)).alias("part"))]
-    sought = ranges.withColumn("_w", F.explode(F.array(*wanted))).filter("_w.part > 0 and _w.rank >= _start and _w.rank < _end")
-    sought = sought.groupBy(*names, "_b", "_start").agg(F.collect_list("_w").alias("_w"))  # two ranks per name at most
-    inside = placed.join(sought, [*names, "_b"])
-    upto = F.sum("_c").over(Window.partitionBy(*names, "_b").orderBy("_x"))
-    ordered = inside.withColumn("_upto", F.col("_start") + upto).withColumn("_from", F.col("_upto") - F.col("_c"))
-    hits = ordered.select(*names, "_x", F.explode(F.filter("_w", lambda w: (w["rank"] >= F.col("_from")) & (w["rank"] < F.col("_upto")))).alias("_w"))
-    found = hits.groupBy(*names).agg(*[F.sum(F.when(F.col("_w.name") == name, F.col("_x") * F.col("_w.part"))).alias(name) for name in shares])
-    return found if by else found.drop("_all")
+    values = counted(df if by else df.withColumn("_all", F.lit(0)), names, x, ordinal).withColumn("_slot", slot_of(F.col("_x"))).withColumn("_real", F.when(F.col("_x").isNotNull(), F.col("_c")).otherwise(0))
+    size = F.signum("_slot") * (F.pow(F.lit(2.0), F.abs("_slot") / SLOTS) - 1)
+    off = F.col("_x") - size
+    slots = values.groupBy(*names, "_slot").agg(
+        F.sum("_real").alias("_n"), F.coalesce(F.sum(F.col("_real") * off), F.lit(0.0)).alias("_a"), F.coalesce(F.sum(F.col("_real") * off * off), F.lit(0.0)).alias("_b"),
+        F.max(F.when(F.col("_x").isNotNull(), F.struct("_c", (-F.col("_first")).alias("f"), "_x"))).alias("_top"),
+    )
+    whole, before = Window.partitionBy(*names), Window.partitionBy(*names).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(size, F.lit(0.0))
+    slots = slots.withColumn("_all_n", F.sum("_n").over(whole)).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_best", F.max("_top").over(whole))
+    slots = slots.withColumn("_mean", F.try_divide(F.sum(F.col("_a") + F.col("_n") * own).over(whole), F.col("_all_n")))
+    apart = F.col("_mean") - own
+    slots = slots.withColumn("_m2", F.sum(F.col("_b") - 2 * apart * F.col("_a") + F.col("_n") * apart * apart).over(whole))
+    slots = slots.withColumn("_std", F.when(F.col("_all_n") > 1, F.sqrt(F.greatest(F.lit(0.0), F.col("_m2")) / (F.col("_all_n") - 1))).otherwise(0.0))
+    limit = F.coalesce(F.col("_mean"), F.lit(0.0)) + (multiplier or 0.0) * F.col("_std")
+    told = slots.select(*[F.col(c).alias(f"_of_{c}") for c in names], F.col("_slot").alias("_of"), "_start", "_all_n", "_mean", "_std", F.col("_best._x").alias("_mode"), limit.alias("_limit"))
+
+    # each value with what its slot and its group say; only values of one slot are ordered together
+    same = F.col("_slot").eqNullSafe(F.col("_of"))
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    rows = values.join(told, same)
+    rows = rows.withColumn("_upto", F.col("_start") + F.sum("_real").over(Window.partitionBy(*names, "_slot").orderBy("_x", "_first"))).withColumn("_from", F.col("_upto") - F.col("_real"))
+
+    def at(share: float) -> Column:
+        """The value at a share of the ranks: a value's weight is that of the two ranks about it that the value covers."""
+        place = F.lit(share) * (F.col("_all_n") - 1)
+        part = place - F.floor(place)
+        low = F.when((F.floor(place) >= F.col("_from")) & (F.floor(place) < F.col("_upto")), 1 - part).otherwise(0.0)
+        high = F.when((part > 0) & (F.floor(place) + 1 >= F.col("_from")) & (F.floor(place) + 1 < F.col("_upto")), part).otherwise(0.0)
+        return F.sum(F.when(low + high > 0, F.col("_x") * (low + high)))
+
+    out = rows.groupBy(*names).agg(
+        F.max("_all_n").alias("n"), F.max("_mean").alias("mean"), F.max("_std").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"), F.max("_mode").alias("mode"), F.max("_limit").alias("threshold"),
+        F.sum(F.when(F.col("_x") > F.col("_limit"), F.col("_c")).otherwise(0)).alias("over_count"), *[at(p).alias(name) for name, p in shares.items()],
+    )
+    return out if by else out.drop("_all")
+
+
+def ranked_quantiles(df: DataFrame, by: list[str], x: str, shares: dict[str, float]) -> DataFrame:
+    """(by, one column per name): exact percentiles with linear interpolation, without a buffer or a window per group; groups
+    without values are left out."""
+    return figures(df, by, x, shares).filter("n > 0").select(*by, *shares)
 
 
 def mode(df: DataFrame, by: list[str], x: str, ordinal: str) -> DataFrame:
@@ -65,30 +99,17 @@ def mode(df: DataFrame, by: list[str], x: str, ordinal: str) -> DataFrame:
 
 
 def stay_time_stats(df: DataFrame, by: list[str], x: str, ordinal: str, multiplier: float = OUT_OF_RANGE_STD) -> DataFrame:
-    """The eighteen figures of a stay-time distribution, by group.
-
-    One pass gives moments, a second counts values over mean + multiplier * std, and percentiles come from ranks.
-    """
-    base = df.groupBy(*by).agg(
-        F.count(x).alias("n"), mean(x).alias("mean"), std(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-    )
+    """The eighteen figures of a stay-time distribution, by group, all from one count of values (``figures``)."""
     shares = {"p5": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.9, "p95": 0.95}
-    ranks = ranked_quantiles(df, by, x, shares)
-    base = (base.join(ranks, by, "left") if by else base.join(ranks, F.lit(True), "left")).fillna(0.0, [*shares])
-    base = base.withColumn("threshold", F.col("mean") + multiplier * F.col("std"))
-    limits = base.select(*by, "threshold")
-    joined = df.join(limits, by) if by else df.crossJoin(limits)
-    over = joined.groupBy(*by).agg(F.count_if(F.col(x) > F.col("threshold")).alias("over_count"))
-    modes = mode(df, by, x, ordinal)
-    out = base.join(over, by).join(modes, by) if by else base.crossJoin(over).crossJoin(modes)
-    return out.select(
+    base = figures(df, by, x, shares, ordinal, multiplier).fillna(0.0, ["mean", *shares])
+    return base.select(
         *by, "n", "mean", "median", "mode", "min", "max", "std", "p5", "p90", "p95", "q1", "q3",
         (F.col("q3") - F.col("q1")).alias("iqr"),
         F.when(F.col("mean") == 0, 0.0).otherwise(F.col("std") / F.col("mean") * 100).alias("cv"),
         "threshold", "over_count",
-        (F.col("over_count") / F.col("n") * 100).alias("over_pct"),
+        F.try_divide(F.col("over_count"), F.col("n")).cast("double").alias("_share"),
         F.abs(F.col("mode") - F.col("median")).alias("mode_median_gap"),
-    )
+    ).withColumn("over_pct", F.col("_share") * 100).drop("_share")
 
 
 def z_scored(df: DataFrame, by: list[str], x: str) -> DataFrame:

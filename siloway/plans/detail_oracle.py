@@ -329,24 +329,35 @@ add("history_within_cap", [TRIPS], "SELECT trip_id, site_id, out_us FROM trips Q
 
 # --- sources -------------------------------------------------------------------------------------------------------
 
+_PLANT = "list_position(['ricardone', 'san_lorenzo', 'avellaneda'], site_id)"
+
+
+def _place(at: str, *more: str) -> str:
+    """A row's number in the whole input: plants in order, their days in order, events in order."""
+    return f"(row_number() OVER (ORDER BY {', '.join([_PLANT, f'{at} // {DAY_US}', 'event_id // 4096', 'event_id', *more])}) - 1)"
+
+
 add(
     "envelope_trips",
-    [TRIPS],
-    """SELECT trip_id, 'T' || truck_id AS truck_id, plate, site_id, CASE WHEN event_id % 6 <> 0 THEN circuit WHEN event_id % 12 <> 0 THEN 'ALT' ELSE 'N/A' END AS circuit, in_us, out_us, floor(duration_minutes)::DOUBLE AS duration_minutes,
-  CASE WHEN event_id % 3 = 0 THEN state WHEN event_id % 2 = 0 THEN 'VALIDADO' ELSE 'CON_OBSERVACIONES' END AS state FROM trips""",
+    [TRIPS, f"tn AS (SELECT *, {_place('in_us')} AS i FROM trips)"],
+    """SELECT CASE WHEN event_id % 5 <> 1 THEN trip_id ELSE 'trip-' || i END AS trip_id, CASE WHEN event_id % 7 <> 2 THEN 'T' || truck_id ELSE 'truck-' || i END AS truck_id, CASE WHEN event_id % 11 <> 3 THEN plate ELSE 'N/A' END AS plate, site_id,
+  CASE WHEN event_id % 6 <> 0 THEN circuit ELSE 'N/A' END AS circuit, in_us, out_us, floor(duration_minutes)::DOUBLE AS duration_minutes,
+  CASE WHEN event_id % 3 = 0 THEN state WHEN event_id % 2 = 0 THEN 'VALIDADO' ELSE 'CON_OBSERVACIONES' END AS state, CASE WHEN event_id % 13 = 0 THEN '2024-01-05' ELSE trip_date::DATE::VARCHAR END AS trip_date FROM tn""",
 )
 add(
     "envelope_alerts",
-    [ALERTS],
-    f"SELECT alert_id, alert_type, CASE WHEN event_id % 8 <> 0 THEN severity ELSE 'LOW' END AS severity, status, site_id, CASE WHEN event_id % 2 = 0 THEN coalesce(sector, 'S9') ELSE 'S9' END AS sector, at_us, greatest(0, floor(({NOW_US} - at_us) / 60000000))::BIGINT AS elapsed_minutes FROM alerts",
+    [ALERTS, f"an AS (SELECT *, {_place('at_us')} AS i FROM alerts)"],
+    f"""SELECT CASE WHEN event_id % 5 <> 1 THEN alert_id ELSE 'alert-' || i END AS alert_id, CASE WHEN event_id % 10 <> 4 THEN alert_type ELSE 'SIN_ACTUALIZACION' END AS alert_type, CASE WHEN event_id % 8 <> 0 THEN severity ELSE 'LOW' END AS severity, status, site_id,
+  CASE WHEN event_id % 3 = 0 THEN 'T' || truck_id ELSE 'truck-' || i END AS truck_id, 'N/A' AS plate, CASE WHEN event_id % 2 = 0 THEN coalesce(sector, 'S9') ELSE 'S9' END AS sector, 'S7' AS expected, 'S9' AS observed, at_us, greatest(0, floor(({NOW_US} - at_us) / 60000000))::BIGINT AS elapsed_minutes FROM an""",
 )
 add(
     "envelope_events",
-    [TRIPS, *READS],
-    "SELECT trip_id || '/' || step AS event_id, at_us, CASE WHEN step <> 1 THEN camera_id ELSE 'CAM_UNKNOWN' END AS camera_id, sector, trip_id AS truck_id, CASE WHEN step <> 2 THEN plate ELSE 'N/A' END AS plate, site_id, circuit FROM reads",
+    [TRIPS, *READS, f"rn AS (SELECT *, {_place('at_us', 'step')} AS i FROM (SELECT *, trip_id[6:]::BIGINT AS event_id FROM reads))"],
+    """SELECT CASE WHEN step <> 3 THEN trip_id || '/' || step ELSE 'enr-' || i END AS event_id, at_us, CASE WHEN step <> 1 THEN camera_id ELSE 'CAM_UNKNOWN' END AS camera_id, sector, CASE WHEN step <> 4 THEN trip_id ELSE 'truck-' || i END AS truck_id,
+  CASE WHEN step <> 2 THEN plate ELSE 'N/A' END AS plate, site_id, circuit FROM rn""",
 )
 add("envelope_raw_events", [TRIPS, *READS], "SELECT CASE WHEN step <> 2 THEN plate END AS \"plateNo\", 'anpr' AS \"eventType\", count(*) AS reads FROM reads GROUP BY ALL")
-add("envelope_generated", [TRIPS], f"SELECT 'at ' || max(in_us // {DAY_US}) AS generated_at FROM trips WHERE (in_us // {DAY_US}) % 2 = 0")
+add("envelope_generated", [TRIPS], f"SELECT 'at ' || arg_max(in_us // {DAY_US}, {_PLANT} * 1000000 + in_us // {DAY_US}) AS generated_at FROM trips WHERE (in_us // {DAY_US}) % 2 = 0")
 add(
     "csv_event_rows",
     [*GATE, "gx AS (SELECT ge.*, tpl.k * 100 + (at_us - tpl.start) // 300000000 AS row_no FROM ge JOIN tpl ON ge.doc_number = 'D' || tpl.k)"],

@@ -103,7 +103,7 @@ def timeline_order(spark, d):
 @query
 def committee_sectors(spark, d):
     trips = adapters.trips(spark, d)
-    density = saturation.sector_density(saturation.sector_intervals(trips), trips, adapters.alerts(spark, d), dims.capacity(spark))
+    density = saturation.sector_density(trips, adapters.alerts(spark, d), dims.capacity(spark))
     return detail.first_sectors(density, 8).select("site_id", "sector", "trips", "position")
 
 
@@ -412,12 +412,12 @@ def history_within_cap(spark, d):
 
 @query
 def envelope_trips(spark, d):
-    return files.historical_trips(files.unpacked(adapters.trip_envelopes(spark, d), files.HISTORY)).select("trip_id", "truck_id", "plate", "site_id", "circuit", "in_us", "out_us", "duration_minutes", "state")
+    return files.historical_trips(files.unpacked(adapters.trip_envelopes(spark, d), files.HISTORY)).select("trip_id", "truck_id", "plate", "site_id", "circuit", "in_us", "out_us", "duration_minutes", "state", "trip_date")
 
 
 @query
 def envelope_alerts(spark, d):
-    return files.operational_alerts(files.unpacked(adapters.alert_envelopes(spark, d), files.ALERTS), NOW_US).select("alert_id", "alert_type", "severity", "status", "site_id", "sector", "at_us", "elapsed_minutes")
+    return files.operational_alerts(files.unpacked(adapters.alert_envelopes(spark, d), files.ALERTS), NOW_US).select("alert_id", "alert_type", "severity", "status", "site_id", "truck_id", "plate", "sector", "expected", "observed", "at_us", "elapsed_minutes")
 
 
 @query

@@ -315,7 +315,7 @@ add(
   CASE WHEN episodes = 0 THEN 'sin_saturacion' WHEN saturated_minutes >= 240 OR episodes >= 8 OR max_excess >= 10 THEN 'critico' WHEN saturated_minutes >= 60 OR episodes >= 3 OR max_excess >= 4 THEN 'alto' ELSE 'moderado' END AS status FROM summ""",
 )
 EXEC = "ex AS (SELECT site_id, count(*) FILTER (episodes > 0) AS saturated_sectors, sum(episodes)::BIGINT AS episodes, sum(saturated_minutes) AS saturated_minutes, max(saturated_minutes) / 60 AS top_sector_hours FROM summ GROUP BY 1)"
-TOP = "tp AS (SELECT site_id, sector AS top_sector, episodes AS top_episodes, saturated_minutes AS top_minutes FROM summ WHERE episodes > 0 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY saturated_minutes DESC, episodes DESC, max_excess DESC, sector DESC) = 1)"
+TOP = "tp AS (SELECT site_id, sector AS top_sector, episodes AS top_episodes, saturated_minutes AS top_minutes FROM summ WHERE episodes > 0 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY round(saturated_minutes, 6) DESC, episodes DESC, max_excess DESC, CASE WHEN regexp_matches(sector, '^S[0-9]+$') THEN sector[2:]::INT ELSE 10000 END) = 1)"
 add("saturation_executive", [*SUMMARY, EXEC, TOP], f"SELECT site_id, saturated_sectors, episodes, {r('saturated_minutes')} AS saturated_minutes, top_sector, {r('top_sector_hours')} AS top_sector_hours FROM ex LEFT JOIN tp USING (site_id)")
 PAIRS = "pr AS (SELECT a.site_id, a.sector AS sector_a, b.sector AS sector_b, count(*) AS overlap_count FROM ep a JOIN ep b ON a.site_id = b.site_id AND a.sector < b.sector AND a.start_us < b.end_us AND b.start_us < a.end_us GROUP BY ALL)"
 add("simultaneous_episodes", [*WEEK_EP, PAIRS], "SELECT * FROM pr")

@@ -58,7 +58,7 @@ def mode_first_seen(spark, d):
 
 @query
 def percentiles(spark, d):
-    return adapters.trips(spark, d).groupBy("circuit").agg(*[stats.quantile("duration_minutes", p / 100).alias(f"p{p}") for p in (5, 25, 50, 75, 90, 95)])
+    return stats.ranked_quantiles(adapters.trips(spark, d), ["circuit"], "duration_minutes", {f"p{p}": p / 100 for p in (5, 25, 50, 75, 90, 95)})
 
 
 @query
@@ -197,7 +197,7 @@ def sector_intervals(spark, d):
 @query
 def sector_density(spark, d):
     trips = adapters.trips(spark, d)
-    return saturation.sector_density(saturation.sector_intervals(trips), trips, adapters.alerts(spark, d), dims.capacity(spark))
+    return saturation.sector_density(trips, adapters.alerts(spark, d), dims.capacity(spark))
 
 
 def _week_intervals(spark, d):

@@ -133,12 +133,19 @@ def camera_events(trips_df: DataFrame) -> DataFrame:
     )
 
 
+#: Plants in the order in which their files are read, and events whose rows share a file.
+PLANT_ORDER, FILE_EVENTS = ["ricardone", "san_lorenzo", "avellaneda"], 4096
+
+
 def _envelopes(rows: DataFrame, payload: str, generated: bool = True) -> DataFrame:
-    """(ordinal, json): one envelope per site and day of rows (site_id, day, record)."""
-    packed = rows.groupBy("site_id", "day").agg(F.collect_list("record").alias(payload))  # a day of a plant is one file
+    """(part, ordinal, json): envelopes of rows (site_id, day, event_id, step, record). A day of a plant is cut into files by event
+    id, so that no row holds more than the rows of so many events, in order."""
+    rows = rows.withColumn("chunk", F.expr(f"event_id div {FILE_EVENTS}"))
+    packed = rows.groupBy("site_id", "day", "chunk").agg(F.sort_array(F.collect_list(F.struct("event_id", "step", "record")))["record"].alias(payload))
     at = F.when(F.col("day") % 2 == 0, F.concat(F.lit("at "), F.col("day").cast("string"))).otherwise("") if generated else F.lit("")
     doc = F.struct(F.lit("1.0").alias("version"), at.alias("generatedAt"), F.col("site_id").alias("planta"), payload)
-    return packed.select(F.concat(F.lpad(F.col("day").cast("string"), 8, "0"), "site_id").alias("ordinal"), F.to_json(doc).alias("json"))
+    part = F.array_position(F.array(*map(F.lit, PLANT_ORDER)), F.col("site_id")).cast("int")
+    return packed.select(part.alias("part"), F.concat(F.lpad(F.col("day").cast("string"), 8, "0"), F.lpad(F.col("chunk").cast("string"), 12, "0")).alias("ordinal"), F.to_json(doc).alias("json"))
 
 
 def iso(us: str):
@@ -148,32 +155,37 @@ def iso(us: str):
     return F.concat(F.date_format(date_of(F.col(us)), "yyyy-MM-dd"), clock)
 
 
+def _day(us: str):
+    return F.floor(F.col(us) / 86_400_000_000).alias("day")
+
+
 def trip_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trips as JSON envelopes of their history files; some lack an id, a code or a class."""
+    """Trips as JSON envelopes of their history files; some lack an id, a truck, a plate, a code or a class."""
     n = F.col("event_id")
     record = F.struct(
-        F.col("trip_id").alias("tripId"), F.concat(F.lit("T"), "truck_id").alias("truckId"), "plate", F.concat(F.lit(" "), F.initcap(F.replace("site_id", F.lit("_"), F.lit(" ")))).alias("plant"),
+        F.when(n % 5 != 1, F.col("trip_id")).alias("tripId"), F.when(n % 7 != 2, F.concat(F.lit("T"), "truck_id")).alias("truckId"), F.when(n % 11 != 3, F.col("plate")).alias("plate"),
+        F.concat(F.lit(" "), F.initcap(F.replace("site_id", F.lit("_"), F.lit(" ")))).alias("plant"),
         F.when(n % 6 != 0, F.col("circuit")).alias("inferredCircuitCode"), F.when(n % 12 != 0, F.lit("ALT")).alias("circuitCode"), iso("in_us").alias("startedAt"), iso("out_us").alias("endedAt"), F.col("sectors").alias("visitedSectors"),
-        (n % 2 == 0).alias("completed"), F.floor("duration_minutes").alias("durationMinutes"), F.when(n % 3 == 0, F.col("state")).alias("classification"),
+        (n % 2 == 0).alias("completed"), F.floor("duration_minutes").alias("durationMinutes"), F.when(n % 3 == 0, F.col("state")).alias("classification"), F.when(n % 13 == 0, F.lit("2024-01-05")).alias("fecha"),
     )
-    return _envelopes(trips(spark, sf_dir).select("site_id", F.floor(F.col("in_us") / 86_400_000_000).alias("day"), record.alias("record")), "data")
+    return _envelopes(trips(spark, sf_dir).select("site_id", _day("in_us"), "event_id", F.lit(0).alias("step"), record.alias("record")), "data")
 
 
 def alert_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts as JSON envelopes; severities and states of any spelling."""
+    """Alerts as JSON envelopes; severities and states of any spelling, some without an id, a type, a truck or a sector of their own."""
     n = F.col("event_id")
     record = F.struct(
-        F.col("alert_id").alias("alertId"), F.col("alert_type").alias("type"), F.when(n % 8 != 0, F.lower("severity")).otherwise("severe").alias("severity"), F.initcap("status").alias("status"), F.upper("site_id").alias("plant"),
-        iso("at_us").alias("detectedAt"), F.struct(F.when(n % 2 == 0, F.col("sector")).alias("sector"), F.lit("S9").alias("currentSector")).alias("context"),
+        F.when(n % 5 != 1, F.col("alert_id")).alias("alertId"), F.when(n % 10 != 4, F.col("alert_type")).alias("type"), F.when(n % 8 != 0, F.lower("severity")).otherwise("severe").alias("severity"), F.initcap("status").alias("status"), F.upper("site_id").alias("plant"),
+        F.when(n % 3 == 0, F.concat(F.lit("T"), "truck_id")).alias("truckId"), iso("at_us").alias("detectedAt"), F.when(n % 2 == 0, F.col("sector")).alias("sectorId"), F.struct(F.lit("S8").alias("sector"), F.lit("S9").alias("currentSector"), F.lit("S7").alias("expectedEnd")).alias("context"),
     )
-    return _envelopes(alerts(spark, sf_dir).select("site_id", F.floor(F.col("at_us") / 86_400_000_000).alias("day"), record.alias("record")), "data")
+    return _envelopes(alerts(spark, sf_dir).select("site_id", _day("at_us"), "event_id", F.lit(0).alias("step"), record.alias("record")), "data")
 
 
 def read_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Camera reads as JSON envelopes under ``events``."""
+    """Camera reads as JSON envelopes under ``events``; some lack an id, a plate, a camera or a truck."""
     record = F.struct(
-        F.concat("trip_id", F.lit("/"), "step").alias("eventId"), F.lit("anpr").alias("eventType"), iso("at_us").alias("snapshotTime"), F.when(F.col("step") != 2, F.col("plate")).alias("plateNo"), F.col("site_id").alias("plant"),
-        F.when(F.col("step") != 1, F.col("camera_id")).alias("cameraId"), F.col("sector").alias("sector"), F.col("trip_id").alias("inferredTruckId"), F.col("circuit").alias("inferredCircuitCode"),
+        F.when(F.col("step") != 3, F.concat("trip_id", F.lit("/"), "step")).alias("eventId"), F.lit("anpr").alias("eventType"), iso("at_us").alias("snapshotTime"), F.when(F.col("step") != 2, F.col("plate")).alias("plateNo"), F.col("site_id").alias("plant"),
+        F.when(F.col("step") != 1, F.col("camera_id")).alias("cameraId"), F.col("sector").alias("sector"), F.when(F.col("step") != 4, F.col("trip_id")).alias("inferredTruckId"), F.col("circuit").alias("inferredCircuitCode"),
     )
-    reads = camera_events(trips(spark, sf_dir))
-    return _envelopes(reads.select("site_id", F.floor(F.col("at_us") / 86_400_000_000).alias("day"), record.alias("record")), "events")
+    reads = camera_events(trips(spark, sf_dir)).withColumn("event_id", F.replace("trip_id", F.lit("trip-"), F.lit("")).cast("long"))
+    return _envelopes(reads.select("site_id", _day("at_us"), "event_id", "step", record.alias("record")), "events")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siloway.functions.scalar import date_of, severity_of, site_of, status_of
+from siloway.operators.positions import running_index
 
 PLANTS = ["ricardone", "san_lorenzo", "avellaneda"]
 
@@ -16,11 +18,11 @@ ENRICHED = RAW + ", eventId string, plant string, cameraId string, sector string
 ACTIVE = "truckId string, plate string, plant string, circuitCode string, currentSector string, currentCameraId string, lastSeenAt string, visitedSectors array<string>, eventCount long"
 HISTORY = (
     "tripId string, truckId string, plate string, plant string, inferredCircuitCode string, circuitCode string, startedAt string, endedAt string, visitedSectors array<string>, "
-    "expectedSequence array<string>, completed boolean, durationMinutes long, classification string, catalogCode string, catalogName string, productType string"
+    "expectedSequence array<string>, completed boolean, durationMinutes long, classification string, fecha string, catalogCode string, catalogName string, cir string, vue string, descripcion string, productType string"
 )
 ALERTS = (
-    "alertId string, type string, severity string, status string, plant string, truckId string, plate string, message string, detectedAt string, "
-    "context struct<sector:string,expectedCircuit:string,currentSector:string,minutesWithoutSignal:long>"
+    "alertId string, type string, severity string, status string, plant string, truckId string, plate string, message string, detectedAt string, sectorId string, cameraCode string, "
+    "circuitoEsperado string, circuitoObservado string, context struct<sector:string,expectedEnd:string,expectedCircuit:string,currentSector:string,minutesWithoutSignal:long>"
 )
 
 
@@ -29,26 +31,34 @@ def _schema(rows: str) -> str:
 
 
 def envelope(spark: SparkSession, paths: list[str], rows: str) -> DataFrame:
-    """The rows of JSON envelopes, whose payload is ``events`` or ``data``; missing files are skipped, none gives no rows."""
-    reader = spark.read.schema(_schema(rows)).option("multiLine", True).option("ignoreMissingFiles", True)
-    found = [p for p in paths if _exists(spark, p)]
-    return _payload(reader.json(found) if found else spark.createDataFrame([], _schema(rows)), rows)
+    """The rows of JSON envelopes, whose payload is ``events`` or ``data``, numbered through all files in the order of ``paths``;
+    missing files are skipped, none gives no rows."""
+    reader = spark.read.schema(_schema(rows)).option("multiLine", True)
+    made = spark.createDataFrame([], "part int, ordinal string, " + _schema(rows))
+    for i, path in enumerate(paths):
+        if _exists(spark, path):
+            made = made.unionByName(reader.json(path).select(F.lit(i).alias("part"), F.col("_metadata.file_path").alias("ordinal"), "*"))
+    return _payload(made, rows)
 
 
 def unpacked(texts: DataFrame, rows: str) -> DataFrame:
-    """The rows of envelopes that are texts in a column ``json``; a text that is no envelope gives none."""
-    return _payload(texts.select(F.from_json("json", _schema(rows)).alias("d")).select("d.*"), rows)
+    """The rows of envelopes that are texts: (part, ordinal, json), the part being a plant's number and the ordinal the order of
+    its texts. Rows are numbered through all of them; a text that is no envelope gives none."""
+    return _payload(texts.select("part", "ordinal", F.from_json("json", _schema(rows)).alias("d")).select("part", "ordinal", "d.*"), rows)
 
 
 def _payload(docs: DataFrame, rows: str) -> DataFrame:
+    """(generatedAt, envelope_plant, row_no, fields): ``row_no`` counts from 0 over all envelopes, so a default id that is made of it
+    is unique among all plants."""
     payload = F.coalesce("events", "data", F.expr(f"cast(array() as array<struct<{_fields(rows)}>>)"))
-    return docs.select("generatedAt", F.col("planta").alias("envelope_plant"), F.posexplode(payload).alias("row_no", "r")).select("generatedAt", "envelope_plant", "row_no", "r.*")
+    each = docs.select("part", "ordinal", "generatedAt", F.col("planta").alias("envelope_plant"), F.posexplode(payload).alias("_within", "r"))
+    return running_index(each, "part", "ordinal", "_within", "row_no").select("generatedAt", "envelope_plant", "row_no", "r.*")
 
 
 def generated_at(texts: DataFrame) -> DataFrame:
-    """(generated_at): when envelopes (ordinal, json) were made, the last in order that says so."""
-    said = texts.select("ordinal", F.get_json_object("json", "$.generatedAt").alias("at")).filter("at <> ''")
-    return said.agg(F.max_by("at", "ordinal").alias("generated_at"))
+    """(generated_at): when envelopes (part, ordinal, json) were made, the last in order that says so."""
+    said = texts.select("part", "ordinal", F.get_json_object("json", "$.generatedAt").alias("at")).filter("at <> ''")
+    return said.agg(F.max_by("at", F.struct("part", "ordinal")).alias("generated_at"))
 
 
 def _fields(ddl: str) -> str:
@@ -67,9 +77,14 @@ def _split(ddl: str) -> list[str]:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """Whether Spark's readers find a path; nothing of the file is read."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in (e.getCondition() or ""):
+            return False
+        raise
+    return True
 
 
 def by_plant(base: str, scenario: str, name: str) -> list[str]:
@@ -83,32 +98,42 @@ def _instant(c: str) -> Column:
     return F.unix_micros(F.try_to_timestamp(c))
 
 
+def _numbered(name: str, begin: str) -> Column:
+    """A field, or where it is missing its row's number in the whole input after ``begin``."""
+    return F.coalesce(F.col(name), F.concat(F.lit(begin), F.col("row_no")))
+
+
 def enriched_events(rows: DataFrame, site: str | None = None) -> DataFrame:
     out = rows.select(
-        F.coalesce("eventId", F.concat(F.lit("enr-"), "row_no")).alias("event_id"), _instant("snapshotTime").alias("at_us"), F.coalesce("cameraId", F.lit("CAM_UNKNOWN")).alias("camera_id"),
-        F.coalesce("sector", F.lit("S?")).alias("sector"), F.coalesce("inferredTruckId", F.concat(F.lit("truck-"), "row_no")).alias("truck_id"), F.coalesce("plateNo", F.lit("N/A")).alias("plate"),
+        _numbered("eventId", "enr-").alias("event_id"), _instant("snapshotTime").alias("at_us"), F.coalesce("cameraId", F.lit("CAM_UNKNOWN")).alias("camera_id"),
+        F.coalesce("sector", F.lit("S?")).alias("sector"), _numbered("inferredTruckId", "truck-").alias("truck_id"), F.coalesce("plateNo", F.lit("N/A")).alias("plate"),
         F.lit(0.9).alias("confidence"), site_of(F.col("plant")).alias("site_id"), F.col("inferredCircuitCode").alias("circuit"),
     )
     return out if site is None else out.filter(F.col("site_id") == site)
 
 
-def historical_trips(rows: DataFrame) -> DataFrame:
+def historical_trips(rows: DataFrame, now_us: int | None = None) -> DataFrame:
+    """Trips of history envelopes with the defaults of missing fields: numbered ids, ``N/A`` for plate and circuit, ``now_us`` for
+    instants, the day of exit for ``fecha``. Nothing stands in for the inferred circuit."""
     state = F.coalesce("classification", F.when(F.col("completed"), "VALIDADO").otherwise("CON_OBSERVACIONES"))
+    now = F.lit(now_us).cast("long")
     out = rows.select(
-        F.coalesce("tripId", F.concat(F.lit("trip-"), "row_no")).alias("trip_id"), F.col("truckId").alias("truck_id"), "plate", site_of(F.col("plant")).alias("site_id"),
-        F.coalesce("inferredCircuitCode", "circuitCode", F.lit("N/A")).alias("circuit"), F.col("catalogCode").alias("catalog_code"), _instant("startedAt").alias("in_us"), _instant("endedAt").alias("out_us"),
+        _numbered("tripId", "trip-").alias("trip_id"), _numbered("truckId", "truck-").alias("truck_id"), F.coalesce("plate", F.lit("N/A")).alias("plate"), site_of(F.col("plant")).alias("site_id"),
+        F.coalesce("inferredCircuitCode", F.lit("N/A")).alias("circuit"), F.col("catalogCode").alias("catalog_code"), F.coalesce(_instant("startedAt"), now).alias("in_us"), F.coalesce(_instant("endedAt"), now).alias("out_us"),
         F.coalesce("durationMinutes", F.lit(0)).cast("double").alias("duration_minutes"), F.coalesce("visitedSectors", F.expr("cast(array() as array<string>)")).alias("sectors"),
-        F.transform("expectedSequence", lambda s: F.concat(F.lit("CAM_"), s)).alias("cameras"), state.alias("state"), F.col("productType").alias("product_type"),
+        F.transform("expectedSequence", lambda s: F.concat(F.lit("CAM_"), s)).alias("cameras"), state.alias("state"), F.col("productType").alias("product_type"), F.col("fecha").try_cast("date").alias("_day"),
     )
-    return out.withColumn("trip_date", date_of(F.col("out_us")))
+    return out.withColumn("trip_date", F.coalesce("_day", date_of(F.col("out_us")))).drop("_day")
 
 
 def operational_alerts(rows: DataFrame, now_us: int) -> DataFrame:
-    at = _instant("detectedAt")
+    """Alerts of envelopes with the defaults of missing fields; the sector is the alert's own, else the one of its context."""
+    at = F.coalesce(_instant("detectedAt"), F.lit(now_us))
     return rows.select(
-        F.coalesce("alertId", F.concat(F.lit("alert-"), "row_no")).alias("alert_id"), F.col("type").alias("alert_type"), severity_of(F.col("severity")).alias("severity"), status_of(F.col("status")).alias("status"),
-        site_of(F.col("plant")).alias("site_id"), F.col("truckId").alias("truck_id"), "plate", F.coalesce("context.sector", "context.currentSector").alias("sector"), at.alias("at_us"),
-        F.greatest(F.lit(0), F.floor((F.lit(now_us) - at) / 60_000_000)).alias("elapsed_minutes"),
+        _numbered("alertId", "alert-").alias("alert_id"), F.coalesce("type", F.lit("SIN_ACTUALIZACION")).alias("alert_type"), severity_of(F.col("severity")).alias("severity"), status_of(F.col("status")).alias("status"),
+        site_of(F.col("plant")).alias("site_id"), _numbered("truckId", "truck-").alias("truck_id"), F.coalesce("plate", F.lit("N/A")).alias("plate"), F.coalesce("sectorId", "context.currentSector").alias("sector"), at.alias("at_us"),
+        F.greatest(F.lit(0), F.floor((F.lit(now_us) - at) / 60_000_000)).alias("elapsed_minutes"), F.coalesce("circuitoEsperado", "context.expectedEnd").alias("expected"),
+        F.coalesce("circuitoObservado", "context.currentSector").alias("observed"), F.col("cameraCode").alias("camera_id"), F.col("message").alias("note"),
     )
 
 
@@ -128,11 +153,13 @@ FEW_TRIPS = 500
 
 
 def load(spark: SparkSession, base: str, scenario: str = "march_full", now_us: int = 0) -> dict[str, DataFrame]:
-    """All tables of a scenario by name; a missing table is empty."""
+    """All tables of a scenario by name; a missing table is empty. The ``live`` scenario takes its history from ``march_full``
+    while it has none of its own, the ``normal`` one while it has few trips and the other has more."""
     tables = _load(spark, base, scenario, now_us)
-    if scenario == "normal":
-        own = tables["trips"].limit(FEW_TRIPS).count()
-        if own < FEW_TRIPS:
+    if scenario in ("live", "normal"):
+        few = FEW_TRIPS if scenario == "normal" else 1
+        own = tables["trips"].limit(few).count()
+        if own < few:
             other = _load(spark, base, "march_full", now_us)["trips"]
             if other.limit(own + 1).count() > own:
                 tables["trips"] = other
@@ -145,7 +172,7 @@ def _load(spark: SparkSession, base: str, scenario: str, now_us: int) -> dict[st
 
     return {
         "raw_events": read("raw_camera_events.json", RAW), "events": enriched_events(read("camera_events_enriched.json", ENRICHED)), "active": read("camiones_en_planta.json", ACTIVE),
-        "trips": historical_trips(read("historico_recorridos.json", HISTORY)), "alerts": operational_alerts(read("alertas_operativas.json", ALERTS), now_us),
+        "trips": historical_trips(read("historico_recorridos.json", HISTORY), now_us), "alerts": operational_alerts(read("alertas_operativas.json", ALERTS), now_us),
     }
 
 
