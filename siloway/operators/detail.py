@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siloway.functions.scalar import DAY_US, HOUR_US, alert_category, day_number, day_range, hour_of, sector_order
+from siloway.operators.positions import positioned
 from siloway.operators.saturation import executive, occupancy
 
 #: The reference instant of a site without trips, 2026-03-31 12:00 UTC (fixed value).
@@ -145,11 +146,15 @@ def reading(summary: DataFrame, found: DataFrame, overlaps: DataFrame, alerts: D
     return lines.select("site_id", "position", "sentence")
 
 
-def newest_of_day(rows: DataFrame, at: str = "out_us", tie: str = "trip_id") -> DataFrame:
-    """Rows with ``position`` by time within their site and day, newest first; days in order give the whole order, so no
-    site's history is sorted in one task."""
-    order = Window.partitionBy("site_id", day_number(F.col(at))).orderBy(F.desc(at), tie)
-    return rows.withColumn("position", F.row_number().over(order))
+def newest_first(rows: DataFrame, at: str = "out_us", tie: str = "trip_id") -> DataFrame:
+    """Rows with ``position``, from 1, in their site's list by time, newest first. Hours are counted and only an hour's rows are
+    ranked, so no site's history is sorted in one task."""
+    return positioned(rows, ["site_id"], -F.floor(F.col(at) / HOUR_US), [F.desc(at), F.col(tie)])
+
+
+def first_circuits(circuits: DataFrame, n: int = 12) -> DataFrame:
+    """The first n circuits of each site in the catalog's order: the length of a report's list."""
+    return circuits.filter(F.col("ordinal") < n)
 
 
 def page_durations(points: DataFrame, by: list[str]) -> DataFrame:

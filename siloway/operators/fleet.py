@@ -34,13 +34,15 @@ def of_operation(fleet: DataFrame, operation: str = "ALL") -> DataFrame:
     return fleet if operation == "ALL" else fleet.filter(F.col("operation_type") == operation)
 
 
-def panels(fleet: DataFrame) -> DataFrame:
-    """(site_id, panel, label, trucks, pct): trucks by operation group, every group present, whole percents."""
-    counts = fleet.groupBy("site_id", "operation_type").agg(F.count(F.lit(1)).alias("trucks"))
+def panels(fleet: DataFrame, sites: DataFrame, operation: str = "ALL") -> DataFrame:
+    """(site_id, panel, label, trucks, pct): trucks by operation group, of all trucks or of one operation's; every group of every
+    site is present, 0 of 0 is 0 percent."""
+    counts = of_operation(fleet, operation).groupBy("site_id", "operation_type").agg(F.count(F.lit(1)).alias("trucks"))
     totals = counts.groupBy("site_id").agg(F.sum("trucks").alias("total"))
     groups = fleet.sparkSession.createDataFrame(FLEET_PANELS, "panel string, label string, operation_type string")
-    full = totals.crossJoin(F.broadcast(groups)).join(counts, ["site_id", "operation_type"], "left").fillna(0, ["trucks"])
-    return full.select("site_id", "panel", "label", "trucks", round_half_up(F.col("trucks") / F.col("total") * 100).alias("pct"))
+    full = sites.select("site_id").crossJoin(F.broadcast(groups)).join(counts, ["site_id", "operation_type"], "left").join(totals, "site_id", "left").fillna(0, ["trucks", "total"])
+    share = F.when(F.col("total") > 0, round_half_up(F.col("trucks") / F.col("total") * 100)).otherwise(0)
+    return full.select("site_id", "panel", "label", "trucks", share.alias("pct"))
 
 
 def search_circuits(circuits: DataFrame, text: str) -> DataFrame:

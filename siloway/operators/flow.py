@@ -153,6 +153,12 @@ def time_buckets(spark: SparkSession, start_us: int, end_us: int, step_us: int)
     )
 
 
+def with_arrivals(buckets: DataFrame, trips: DataFrame, start_us: int, end_us: int, step_us: int) -> DataFrame:
+    """Buckets of a range (``time_buckets``) with the number of trips that arrive in each; a trip's bucket comes by arithmetic."""
+    inside = trips.filter((F.col("in_us") >= start_us) & (F.col("in_us") < end_us)).groupBy(F.expr(f"(in_us - {start_us}) div {step_us}").alias("bucket")).agg(F.count(F.lit(1)).alias("arrivals"))
+    return buckets.join(inside, "bucket", "left").fillna(0, ["arrivals"])
+
+
 def flow_points(week: DataFrame | None, day: DataFrame | None) -> DataFrame | None:
     """One shape for both flows: the week's points if there is a week, else the day's."""
     if week is not None:

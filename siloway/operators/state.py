@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siloway.functions.scalar import HOUR_US, MINUTE_US, date_of, round_half_up
+from siloway.operators.positions import positioned
 
 CRITICAL_SECTOR, SILENT_MINUTES, ACTIVE_HOURS = "S4", 60, 4
 EXIT_SECTORS = ("S3", "S10")
@@ -15,8 +16,11 @@ def zipped(reads: DataFrame, steps: DataFrame, by: list[str]) -> DataFrame:
     """Camera reads with the scenario step of the same position: both carry the position's columns; a missing partner fails
     the job when read."""
     both = reads.withColumn("_read", F.lit(True)).join(steps.withColumn("_step", F.lit(True)), by, "full")
-    paired = F.when(F.col("_read").isNull() | F.col("_step").isNull(), F.raise_error(F.lit("reads and steps differ in number"))).otherwise(F.lit(True))
-    return both.withColumn("_paired", paired).filter("_paired").drop("_read", "_step", "_paired")
+    alone = F.col("_read").isNull() | F.col("_step").isNull()
+    # the check is in a column that comes out, so that no optimiser moves or drops it
+    kind = dict(both.dtypes)[by[0]]
+    paired = F.when(alone, F.raise_error(F.lit("reads and steps differ in number")).cast(kind)).otherwise(F.col(by[0]))
+    return both.withColumn(by[0], paired).drop("_read", "_step")
 
 
 def enrich(reads: DataFrame, cameras: DataFrame, trucks: DataFrame) -> DataFrame:
@@ -41,6 +45,11 @@ def truck_trips(reads: DataFrame, expected: DataFrame) -> DataFrame:
     rows = reads.groupBy("trip_id").agg(
         F.min("truck_id").alias("truck_id"), F.min("plate").alias("plate"), F.min("site_id").alias("site_id"), F.min_by("circuit", F.struct("at_us", "step")).alias("circuit"), ordered.alias("reads")
     )
+    return trips_of_reads(rows, expected)
+
+
+def trips_of_reads(rows: DataFrame, expected: DataFrame) -> DataFrame:
+    """Trips out of gathered reads, of a table or a stream: (trip_id, truck_id, plate, site_id, circuit, reads in order of time)."""
     rows = rows.join(F.broadcast(expected), ["site_id", "circuit"], "left")
     rows = rows.withColumn("visited", F.transform("reads", lambda r: r["sector"])).withColumn("expected", F.coalesce("expected", F.expr("cast(array() as array<string>)")))
     last = F.element_at("reads", -1)
@@ -84,6 +93,24 @@ def state_alerts(trips: DataFrame, now_us: int | Column) -> DataFrame:
     return trips.select("trip_id", "truck_id", "plate", "site_id", F.explode(F.filter(rules, lambda a: a.isNotNull())).alias("a")).select("trip_id", "truck_id", "plate", "site_id", "a.*")
 
 
+def numbered_alerts(trips: DataFrame, now_us: int | Column) -> DataFrame:
+    """Alerts with ``alert_id``: alt- and a number of four digits or more, trucks in the order of their first read, a truck's alerts
+    in the order of the rules. No task numbers them all: hours of first reads are counted (``positions``)."""
+    rows = state_alerts(trips, now_us).join(trips.select("trip_id", "start_us"), "trip_id")
+    placed = positioned(rows.withColumn("_all", F.lit(0)), ["_all"], F.floor(F.col("start_us") / HOUR_US), [F.col("start_us"), F.col("trip_id"), F.col("ordinal")])
+    return placed.withColumn("alert_id", F.format_string("alt-%04d", "position")).drop("_all", "position")
+
+
+def output_orders(trips: DataFrame, now_us: int | Column) -> DataFrame:
+    """(list, item, position): active trucks by plate, trips by start, alerts by id as text; equal ones by trip."""
+    trucks = active(trips).select(F.lit("active").alias("list"), F.col("trip_id").alias("item"), F.substring("plate", 1, 4).alias("_slot"), F.col("plate").alias("_key"), "trip_id")
+    start = F.format_string("%020d", "start_us")
+    started = trips.select(F.lit("trips").alias("list"), F.col("trip_id").alias("item"), F.substring(start, 1, 11).alias("_slot"), start.alias("_key"), "trip_id")
+    alerts = numbered_alerts(trips, now_us).select(F.lit("alerts").alias("list"), F.col("alert_id").alias("item"), F.substring("alert_id", 1, 7).alias("_slot"), F.col("alert_id").alias("_key"), "trip_id")
+    rows = trucks.unionByName(started).unionByName(alerts)
+    return positioned(rows, ["list"], F.col("_slot"), [F.col("_key"), F.col("trip_id")]).select("list", "item", "position")
+
+
 def in_plant(active_trucks: DataFrame, reads: DataFrame, now_us: int, live: bool = False) -> DataFrame:
     """Active trucks seen within four hours and not at an exit, with their first and last read. Live scenarios skip the hours."""
     seen = reads.groupBy("trip_id").agg(F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us"), F.max_by("camera_id", F.struct("at_us", "step")).alias("last_camera"))

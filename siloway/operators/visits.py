@@ -69,10 +69,11 @@ def normalised(events: DataFrame) -> DataFrame:
     return events.withColumn("event", event_name(F.col("event_type"))).withColumn("result", lab_result(F.col("lab_result"))).withColumn("cargo_form", form)
 
 
-def visits(events: DataFrame, fallback_hours: int = 2, ties: str = "name") -> DataFrame:
+def visits(events: DataFrame, fallback_hours: int = 2, ties: str = "name", within: tuple[Column, ...] = ()) -> DataFrame:
     """One row per visit: its keys and its events sorted by time; events of one instant by name, or by logical ``step``.
 
-    Keys are those of the visit's first input row where the events carry ``row_no``, else the least.
+    Keys are those of the visit's first input row where the events carry ``row_no``, else the least. ``within`` are further
+    columns to group by that follow from the key: a stream's window, which the watermark closes.
     """
     keyed = with_visit_key(normalised(events), fallback_hours)
     ordinal = (step_order(F.col("event")) if ties == "step" else F.lit(0)).alias("ordinal")
@@ -81,9 +82,10 @@ def visits(events: DataFrame, fallback_hours: int = 2, ties: str = "name") -> Da
         return (F.min_by(c, "row_no") if "row_no" in events.columns else F.min(c)).alias(c)
 
     row = F.col("row_no") if "row_no" in events.columns and ties == "step" else F.lit(0)
-    return keyed.groupBy("visit_key").agg(
+    place = F.upper(F.trim("location")) if "location" in events.columns else F.lit(None).cast("string")
+    return keyed.groupBy(*within, "visit_key").agg(
         first("site_id"), first("visit_id"), first("plate"), first("doc_number"), F.bool_or("key_fallback").alias("key_fallback"),
-        F.sort_array(F.collect_list(F.struct("at_us", ordinal, row.alias("row"), "event", "result", "cargo_form"))).alias("events"),
+        F.sort_array(F.collect_list(F.struct("at_us", ordinal, row.alias("row"), "event", "result", "cargo_form", place.alias("location")))).alias("events"),
     )
 
 
@@ -152,7 +154,12 @@ def once(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def trips_of(events: DataFrame) -> DataFrame:
     """Validated visits; the flag of a fallback key is added after the status is set."""
-    found = once(with_path(visits(events)), ["path", "results", "last_result"])
+    return trips_of_visits(visits(events))
+
+
+def trips_of_visits(gathered: DataFrame) -> DataFrame:
+    """Visits, of a table or a stream, with path, results, flags and status."""
+    found = once(with_path(gathered), ["path", "results", "last_result"])
     out = once(validated(found), ["flags", "status", "path_display", "explanation"])
     return out.withColumn("flags", F.when(F.col("key_fallback"), F.concat("flags", F.array(F.lit("VISIT_KEY_FALLBACK_USED")))).otherwise(F.col("flags")))
 
@@ -240,13 +247,6 @@ def of_bucket(trips: DataFrame, bucket: str | None) -> DataFrame:
     return trips if bucket is None else trips.filter(bucket_status(F.col("status")) == bucket)
 
 
-def sim_nodes(visit: DataFrame) -> DataFrame:
-    """(visit_key, ordinal, node): the visit's letters without immediate repeats, for the route view."""
-    letters = F.filter(F.transform("events", lambda e: _map(LETTERS, e["event"])), lambda x: x.isNotNull())
-    nodes = F.aggregate(letters, F.expr("cast(array() as array<string>)"), lambda acc, x: F.when(F.try_element_at(acc, F.lit(-1)).eqNullSafe(x), acc).otherwise(F.concat(acc, F.array(x))))
-    return visit.select("visit_key", F.posexplode(nodes).alias("ordinal", "node"))
-
-
 def visit_results(trips: DataFrame) -> DataFrame:
     """Validated visits as reconstructed ones: (visit_id, site_id, plate, visit_status, cargo_form, start_us, end_us, cycle_minutes).
 
@@ -262,13 +262,25 @@ def visit_results(trips: DataFrame) -> DataFrame:
     )
 
 
-#: Nodes of the route view by event (fixed values); discharge events of any kind are D, waiting outside is A.
+#: Nodes of the route view by event, and by place for events that give none (fixed values). Bays of liquids are D, whatever their number.
 NODES = LETTERS | {"QUEUE_OUTSIDE": "A", "DISCHARGE_ASSIGNED": "D", "DISCHARGE_START": "D"}
+PLACES = {"GATE": "A", "SCALE_IN": "B", "SAMPLE_BAY_A": "C", "SAMPLE_BAY_B": "C", "YARD_A": "G", "YARD_B": "G", "PIT_1": "D", "PIT_2": "D", "PIT_3": "D", "SCALE_OUT": "E", "EXIT": "F"}
+
+
+def node_of(event: Column, location: Column) -> Column:
+    """The node of an event, else of its place; results of the laboratory are no node."""
+    placed = F.coalesce(_map(PLACES, location), F.when(location.startswith("LIQUID_BAY"), "D"))
+    return F.coalesce(_map(NODES, event), F.when(event != "LAB_RESULT_READY", placed))
+
+
+def sim_nodes(visit: DataFrame) -> DataFrame:
+    """(visit_key, ordinal, node): the visit's nodes without immediate repeats, for the route view."""
+    return sim_nodes_with_results(visit).select("visit_key", "ordinal", "node")
 
 
 def sim_nodes_with_results(visit: DataFrame) -> DataFrame:
     """(visit_key, ordinal, node, event_no, result): nodes without immediate repeats; a laboratory result goes to the latest C."""
-    rows = visit.select("visit_key", F.posexplode("events").alias("event_no", "e")).select("visit_key", "event_no", _map(NODES, F.col("e.event")).alias("node"), F.col("e.event").alias("event"), F.col("e.result").alias("result"))
+    rows = visit.select("visit_key", F.posexplode("events").alias("event_no", "e")).select("visit_key", "event_no", node_of(F.col("e.event"), F.col("e.location")).alias("node"), F.col("e.event").alias("event"), F.col("e.result").alias("result"))
     order = Window.partitionBy("visit_key").orderBy("event_no")  # a visit has a handful of events
     steps = rows.withColumn("before", F.last("node", True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     fresh = steps.withColumn("fresh", F.col("node").isNotNull() & ~F.col("node").eqNullSafe(F.col("before")))

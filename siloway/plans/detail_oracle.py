@@ -7,7 +7,7 @@ from siloway.functions.dims import values_sql
 from siloway.functions.scalar import DAY_US, HOUR_US, WEEKDAYS
 from siloway.operators.detail import DEFAULT_REFERENCE_US, TOLD_CATEGORIES
 from siloway.plans.oracle import (
-    _BIN, _CATEGORY, _EPISODE, _STATES, ALERTS, BACKLOG, CIRCUITS, EXEC, FLOW, GATE, INTERVALS, LU, PAIRS, READS, SHAPE, SITE, SQL, STATE, STAY_COLUMNS, SUMMARY, TOP, TRIPS, VISITS, WEEK, WEEK_EP, add, bucket, capacity, case, q, r, scored, stay_stats, sweep,
+    _BIN, _CATEGORY, _EPISODE, _STATES, ALERTS, BACKLOG, CIRCUITS, EXEC, FLOW, GATE, INTERVALS, LU, PAIRS, READS, SHAPE, SITE, SQL, STATE, STAY_COLUMNS, SUMMARY, TOP, TRIPS, VISITS, WEEK, WEEK_EP, add, arrivals, bucket, capacity, case, q, r, scored, stay_stats, sweep,
 )
 from siloway.plans.queries import DIVISOR, MONTH_US, NOW_US, REF_DAY, WEEK_US
 from siloway.sources.adapters import EVENT_OF
@@ -29,11 +29,11 @@ add(
     [TRIPS, "h AS (SELECT trip_id, days_ago AS b, floor(((in_us // 1000000) % 86400)::DOUBLE / 3600 * 100 + 0.5::DOUBLE) / 100 AS h FROM trips WHERE days_ago BETWEEN 0 AND 30)"],
     f"SELECT trip_id, {r('h')} AS x_day, {r('greatest(1, least(7, 7 - b)) + h / 24')} AS x_week, {r('greatest(1, least(5, 5 - b // 7)) + (b % 7) / 7 + h / 24 / 7')} AS x_month FROM h",
 )
-add("trips_newest_first", [TRIPS], f"SELECT trip_id, site_id, out_us, row_number() OVER (PARTITION BY site_id, out_us // {DAY_US} ORDER BY out_us DESC, trip_id) AS position FROM trips")
+add("trips_newest_first", [TRIPS], f"SELECT trip_id, site_id, out_us, row_number() OVER (PARTITION BY site_id ORDER BY out_us DESC, trip_id) AS position FROM trips")
 add(
     "deviations_newest_first",
     [ALERTS],
-    f"SELECT alert_id, site_id, at_us, row_number() OVER (PARTITION BY site_id, at_us // {DAY_US} ORDER BY at_us DESC, alert_id) AS position FROM alerts WHERE status <> 'RESOLVED' AND alert_type IN ('FUERA_CIRCUITO', 'CONFLICTO_CIRCUITO_CAMARA')",
+    f"SELECT alert_id, site_id, at_us, row_number() OVER (PARTITION BY site_id ORDER BY at_us DESC, alert_id) AS position FROM alerts WHERE status <> 'RESOLVED' AND alert_type IN ('FUERA_CIRCUITO', 'CONFLICTO_CIRCUITO_CAMARA')",
 )
 
 # --- details of saturation -----------------------------------------------------------------------------------------
@@ -64,8 +64,8 @@ add(
 )
 add(
     "bucket_day_headers",
-    [f"b AS (SELECT b AS bucket, {WEEK_US} + b * {6 * HOUR_US} AS start_us FROM range({(NOW_US - WEEK_US) // (6 * HOUR_US)}) AS t(b))"],
-    f"SELECT bucket, start_us, {q(WEEKDAYS)}[dayofweek(make_timestamp(start_us)) + 1] AS weekday, bucket % 4 = 0 AS new_day FROM b",
+    [TRIPS, f"b AS (SELECT b AS bucket, {WEEK_US} + b * {6 * HOUR_US} AS start_us FROM range({(NOW_US - WEEK_US) // (6 * HOUR_US)}) AS t(b))"],
+    f"SELECT bucket, start_us, {q(WEEKDAYS)}[dayofweek(make_timestamp(start_us)) + 1] AS weekday, bucket % 4 = 0 AS new_day, {arrivals(NOW_US, 6 * HOUR_US)} FROM b",
 )
 _NUMBER = "CASE WHEN regexp_matches(sector, '^S[0-9]+$') THEN sector[2:]::INT ELSE 10000 END"
 add("ranked_summaries", SUMMARY, f"SELECT site_id, sector, episodes, row_number() OVER (PARTITION BY site_id ORDER BY round(saturated_minutes, 6) DESC, episodes DESC, max_excess DESC, {_NUMBER}) AS position FROM summ")
@@ -214,7 +214,7 @@ add(
 )
 add(
     "every_shift_stats",
-    [TRIPS, "shifted AS (SELECT *, CASE WHEN in_hour >= 6 AND in_hour < 14 THEN 'manana' WHEN in_hour >= 14 AND in_hour < 22 THEN 'tarde' ELSE 'noche' END AS shift FROM trips WHERE in_hour < 14)", *stay_stats("shift", "stay", "shifted")],
+    [TRIPS, "shifted AS (SELECT *, CASE WHEN in_hour >= 6 AND in_hour < 14 THEN 'manana' WHEN in_hour >= 14 AND in_hour < 22 THEN 'tarde' ELSE 'noche' END AS shift FROM trips)", *stay_stats("shift", "stay", "shifted")],
     "SELECT s.shift, coalesce(n, 0) AS n, coalesce(over_count, 0) AS over_count, " + ", ".join(f"coalesce({r(c)}, 0) AS {c}" for c in STAY_COLUMNS) + " FROM (SELECT unnest(['manana', 'tarde', 'noche']) AS shift) s LEFT JOIN stay USING (shift)",
 )
 
@@ -234,14 +234,16 @@ add(
 _RANK = "CASE lower(product) " + " ".join(f"WHEN '{p.lower()}' THEN {i}" for i, p in enumerate(dims.PRODUCT_ORDER)) + " ELSE 50 END"
 add("anomalous_products", LU, f"SELECT site_id, product, count(*) AS trips, row_number() OVER (PARTITION BY site_id ORDER BY {_RANK}, product) AS position FROM lu WHERE state = 'ANOMALO' GROUP BY site_id, product")
 add("enriched_rows", LU, "SELECT trip_id, coalesce(circuit_code, circuit) AS catalog_code, coalesce(circuit_name, 'Sin catálogo') AS catalog_name, 'N/A' AS cir, 'N/A' AS vue, 'Sin descripción disponible' AS description FROM lu")
-add("circuit_search", [CIRCUITS], "SELECT site_id, code, circuit_name FROM circuits WHERE contains(upper(code), 'SILO') OR contains(upper(circuit_name), 'SILO')")
+_USED = "(SELECT count(*) FROM lu WHERE lu.site_id = c.site_id AND circuit_code = code) AS trips"
+add("circuit_search", LU, f"SELECT site_id, code, circuit_name, {_USED} FROM circuits c WHERE contains(upper(code), 'SILO') OR contains(upper(circuit_name), 'SILO')")
+add("committee_circuits", LU, f"SELECT site_id, ordinal::BIGINT AS ordinal, code, {_USED} FROM circuits c WHERE ordinal < 12")
 
 # --- dimensions and texts ------------------------------------------------------------------------------------------
 
 add(
     "camera_catalog",
-    [SITE],
-    "SELECT 'CAM_S' || i || '_' || lpad((i + 1)::VARCHAR, 2, '0') AS camera_id, 'S' || i AS sector, 'Camara S' || i AS camera_name, CASE i WHEN 0 THEN 'INGRESO' WHEN 1 THEN 'EGRESO' WHEN 2 THEN 'CALADA' WHEN 4 THEN 'BALANZA' ELSE 'SECTOR_S' || i END AS role, i IN (0, 1, 2, 4) AS critical, site_id FROM sites, range(11) AS t(i)",
+    [TRIPS, *READS, SITE],
+    "SELECT 'CAM_S' || i || '_' || lpad((i + 1)::VARCHAR, 2, '0') AS camera_id, 'S' || i AS sector, 'Camara S' || i AS camera_name, CASE i WHEN 0 THEN 'INGRESO' WHEN 1 THEN 'EGRESO' WHEN 2 THEN 'CALADA' WHEN 4 THEN 'BALANZA' ELSE 'SECTOR_S' || i END AS role, i IN (0, 1, 2, 4) AS critical, site_id, (SELECT count(*) FROM reads WHERE reads.site_id = sites.site_id AND sector = 'S' || i) AS reads FROM sites, range(11) AS t(i)",
 )
 add("sector_names", [TRIPS, *INTERVALS, NAMES], "SELECT site_id, sector, count(*) AS segments, any_value(sector_name) AS sector_name FROM iv LEFT JOIN names USING (site_id, sector) GROUP BY ALL")
 FULL_GATE = [
@@ -283,6 +285,19 @@ add(
     ],
     "SELECT visit_key, ordinal, node, event_no, result FROM fx LEFT JOIN fr USING (visit_key, ordinal)",
 )
+add(
+    "sim_nodes_located",
+    [
+        *FULL_GATE,
+        "lo AS (SELECT *, row_no % 4 = 1 AND event IN ('SCALE_IN', 'YARD_WAIT', 'DISCHARGE_END', 'EXIT') AS odd FROM fk)",
+        f"fo AS (SELECT *, {case(_NODE, 'event')} AS node, row_number() OVER (PARTITION BY visit_key ORDER BY at_us, CASE WHEN odd THEN 99 ELSE o END, row_no) - 1 AS event_no FROM lo)",
+        "fn AS (SELECT visit_key, event_no, node, lag(node) OVER (PARTITION BY visit_key ORDER BY event_no) AS p FROM fo WHERE node IS NOT NULL)",
+        "fx AS (SELECT visit_key, event_no, node, row_number() OVER (PARTITION BY visit_key ORDER BY event_no) - 1 AS ordinal FROM fn WHERE p IS DISTINCT FROM node)",
+        "fl AS (SELECT l.visit_key, l.result, l.event_no, (SELECT max(ordinal) FROM fx WHERE fx.visit_key = l.visit_key AND fx.node = 'C' AND fx.event_no < l.event_no) AS ordinal FROM fo l WHERE event = 'LAB_RESULT_READY' AND result IS NOT NULL)",
+        "fr AS (SELECT visit_key, ordinal, max_by(result, event_no) AS result FROM fl WHERE ordinal IS NOT NULL GROUP BY 1, 2)",
+    ],
+    "SELECT visit_key, ordinal, node, event_no, result FROM fx LEFT JOIN fr USING (visit_key, ordinal)",
+)
 add("normalised_events", FULL_GATE, "SELECT event, result, CASE WHEN row_no % 3 = 0 THEN 'SOLID' ELSE 'UNKNOWN' END AS cargo_form, count(*) AS events FROM fg GROUP BY ALL")
 add(
     "truck_sector_codes",
@@ -312,11 +327,36 @@ FLEET = [
 ]
 add("fleet_trucks", FLEET, "SELECT * FROM fleet")
 add("fleet_of_operation", FLEET, "SELECT trip_id, circuit_code FROM fleet WHERE operation_type = 'RECEPCION'")
+_PANELS = "panels AS (SELECT * FROM " + values_sql(dims.FLEET_PANELS, "panel, label, op") + ")"
+for _name, _of in (("fleet_panels", "true"), ("fleet_panels_of_operation", "operation_type = 'DESPACHANDO'")):
+    add(
+        _name,
+        [*FLEET, SITE, _PANELS, f"ff AS (SELECT * FROM fleet WHERE {_of})", "n AS (SELECT s.site_id, panel, label, (SELECT count(*) FROM ff WHERE ff.site_id = s.site_id AND operation_type = op) AS trucks, (SELECT count(*) FROM ff WHERE ff.site_id = s.site_id) AS total FROM sites s, panels)"],
+        "SELECT site_id, panel, label, trucks, CASE WHEN total > 0 THEN floor(trucks / total * 100 + 0.5::DOUBLE)::BIGINT ELSE 0 END AS pct FROM n",
+    )
 add(
-    "fleet_panels",
-    [*FLEET, "panels AS (SELECT * FROM " + values_sql(dims.FLEET_PANELS, "panel, label, op") + ")"],
-    "SELECT s.site_id, panel, label, (SELECT count(*) FROM fleet f WHERE f.site_id = s.site_id AND operation_type = op) AS trucks, floor((SELECT count(*) FROM fleet f WHERE f.site_id = s.site_id AND operation_type = op) / n * 100 + 0.5::DOUBLE)::BIGINT AS pct FROM (SELECT site_id, count(*) AS n FROM fleet GROUP BY 1) s, panels",
+    "paired_reads",
+    [TRIPS, *READS, "l AS (SELECT trip_id, step, at_us, row_number() OVER (ORDER BY at_us, trip_id, step) AS position FROM reads)", "p AS (SELECT trip_id || '/' || step AS plan, sector AS planned, at_us AS planned_us FROM reads)"],
+    "SELECT * FROM l JOIN (SELECT *, row_number() OVER (ORDER BY planned_us, plan) AS position FROM p) USING (position)",
 )
+add(
+    "state_orders",
+    [
+        TRIPS, *STATE, f"al AS (SELECT *, row_number() OVER (ORDER BY s_us, trip_id, ordinal) AS n FROM (SELECT * FROM ({SQL['state_alerts']})) JOIN (SELECT trip_id, s_us FROM ts2) USING (trip_id))",
+        "ai AS (SELECT trip_id, 'alt-' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END AS id FROM al)",
+    ],
+    """SELECT 'active' AS list, trip_id AS item, row_number() OVER (ORDER BY plate, trip_id) AS position FROM ts2 JOIN (SELECT trip_id, plate FROM trips) USING (trip_id) WHERE NOT complete
+UNION ALL SELECT 'trips', trip_id, row_number() OVER (ORDER BY s_us, trip_id) FROM ts2 UNION ALL SELECT 'alerts', id, row_number() OVER (ORDER BY id) FROM ai""",
+)
+add(
+    "alert_states",
+    [
+        ALERTS, "ch AS (SELECT alert_id, event_id, at_us, unnest(range(1, event_id % 5 + 1)) AS k FROM alerts)",
+        f"cl AS (SELECT alert_id, ['ACKNOWLEDGED', 'RESOLVED', 'OPEN'][((event_id + k) % 3 + 1)::INT] AS status, at_us + CASE WHEN k = 4 THEN 1 ELSE k END * {HOUR_US} AS changed_us, k FROM ch)",
+        "la AS (SELECT * FROM cl QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY changed_us DESC, k DESC) = 1)",
+    ],
+    "SELECT a.alert_id, site_id, coalesce(la.status, a.status) AS status, coalesce(changed_us, at_us) AS updated_us FROM alerts a LEFT JOIN la USING (alert_id)",
+)
 add("zipped_reads", [TRIPS, *READS], "SELECT trip_id, step, camera_id, at_us, sector AS planned FROM reads")
 add("alert_status_set", [ALERTS], "SELECT site_id, CASE WHEN alert_id = 'alert-9' THEN 'RESOLVED' ELSE status END AS status, count(*) AS alerts, max(alert_id) AS last FROM alerts GROUP BY 1, 2")
 add("plants_union", [TRIPS], "SELECT site_id, trip_id, out_us FROM trips")
@@ -327,6 +367,24 @@ add("history_months", [TRIPS], "SELECT site_id, 'historico_' || strftime(trip_da
 add("history_over_cap", [TRIPS], "SELECT trip_id, site_id, circuit, trip_date::DATE::VARCHAR AS trip_date, state AS classification FROM trips QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY out_us DESC, trip_id DESC) > 100")
 add("history_within_cap", [TRIPS], "SELECT trip_id, site_id, out_us FROM trips QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY out_us DESC, trip_id DESC) <= 75000")
 
+_MONTH_END, _WEEK_END = "last_day(trip_date::DATE)", "(trip_date::DATE + (7 - isodow(trip_date))::INT)"
+add(
+    "history_rolled",
+    [TRIPS, f"pl AS (SELECT site_id, out_us, CASE WHEN least({_MONTH_END}, {_WEEK_END}) >= DATE '1970-01-01' + {NOW_US // DAY_US} THEN 'live' WHEN {_MONTH_END} < {_WEEK_END} THEN 'historico_' || strftime(trip_date, '%Y_%m') ELSE 'historico_semana_' || {_WEEKLY} END AS archive FROM trips)"],
+    "SELECT site_id, archive, count(*) AS trips, max(out_us) AS last_us FROM pl GROUP BY ALL",
+)
+_REF = f"DATE '1970-01-01' + ref_day::INT"
+_SPANS = {
+    "day": ("r", "r"), "week": ("r - 6", "r"), "month": ("date_trunc('month', r)::DATE", "last_day(r)"), "last_month": ("r - 30", "r"), "week-day": ("r - 2", "r - 2"), "month-week": ("last_day(r) - 13", "last_day(r) - 7"),
+    "month-week-day": ("last_day(r) - 8", "last_day(r) - 8"),
+}
+add(
+    "periods_by_day",
+    [TRIPS, SITE, REFS, f"rd AS (SELECT site_id, {_REF} AS r FROM refs)"],
+    " UNION ALL ".join(f"SELECT '{n}' AS period, t.site_id, count(*) AS trips, max(out_us) AS last_us, {r('avg(stay)')} AS mean_stay FROM trips t JOIN rd USING (site_id) WHERE trip_date::DATE BETWEEN {a} AND {b} GROUP BY 2" for n, (a, b) in _SPANS.items()),
+)
+add("overlapping_by_day", [TRIPS], SQL["overlapping_trips"].rsplit("\n", 1)[1])
+
 # --- sources -------------------------------------------------------------------------------------------------------
 
 _PLANT = "list_position(['ricardone', 'san_lorenzo', 'avellaneda'], site_id)"

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from siloway.functions import dims, scalar
 from siloway.functions.scalar import HOUR_US
-from siloway.operators import detail, fleet, flow, history, insights, pages, routes, saturation, state, stats, visits
+from siloway.operators import alert_log, detail, fleet, flow, history, insights, pages, positions, routes, saturation, state, stats, visits
 from siloway.plans.queries import MONTH_US, NOW_US, QUERIES, REF_DAY, WEEK_US, _episodes, _looked_up, _reads, _summaries, _truck_trips, _week_intervals, query
 from siloway.plans.queries import DIVISOR as DIVISOR
-from siloway.sources import adapters, files
+from siloway.sources import adapters, files, storage
 
 __all__ = ["QUERIES"]
 
@@ -46,12 +46,12 @@ def historical_scatter_x(spark, d):
 
 @query
 def trips_newest_first(spark, d):
-    return detail.newest_of_day(adapters.trips(spark, d)).select("trip_id", "site_id", "out_us", "position")
+    return detail.newest_first(adapters.trips(spark, d)).select("trip_id", "site_id", "out_us", "position")
 
 
 @query
 def deviations_newest_first(spark, d):
-    return detail.newest_of_day(pages.deviations(adapters.alerts(spark, d)), "at_us", "alert_id").select("alert_id", "site_id", "at_us", "position")
+    return detail.newest_first(pages.deviations(adapters.alerts(spark, d)), "at_us", "alert_id").select("alert_id", "site_id", "at_us", "position")
 
 
 # --- details of saturation -----------------------------------------------------------------------------------------
@@ -78,7 +78,8 @@ def detail_marker_buckets(spark, d):
 
 @query
 def bucket_day_headers(spark, d):
-    return detail.with_day_flag(flow.time_buckets(spark, WEEK_US, NOW_US, 6 * HOUR_US)).select("bucket", "start_us", "weekday", "new_day")
+    buckets = detail.with_day_flag(flow.time_buckets(spark, WEEK_US, NOW_US, 6 * HOUR_US)).select("bucket", "start_us", "weekday", "new_day")
+    return flow.with_arrivals(buckets, adapters.trips(spark, d), WEEK_US, NOW_US, 6 * HOUR_US)
 
 
 @query
@@ -209,8 +210,7 @@ def flow_reading(spark, d):
 
 @query
 def every_shift_stats(spark, d):
-    early = adapters.trips(spark, d).filter(scalar.hour_of(F.col("in_us")) < 14)
-    return flow.every_shift(stats.stay_time_stats(flow.by_shift(early), ["shift"], "stay", "event_id"))
+    return flow.every_shift(stats.stay_time_stats(flow.by_shift(adapters.trips(spark, d)), ["shift"], "stay", "event_id"))
 
 
 # --- routes --------------------------------------------------------------------------------------------------------
@@ -244,7 +244,9 @@ def enriched_rows(spark, d):
 
 @query
 def circuit_search(spark, d):
-    return fleet.search_circuits(dims.circuits(spark), " silo").select("site_id", "code", "circuit_name")
+    found = fleet.search_circuits(dims.circuits(spark), " silo").select("site_id", "code", "circuit_name")
+    used = _looked_up(spark, d).groupBy("site_id", F.col("circuit_code").alias("code")).agg(F.count(F.lit(1)).alias("trips"))
+    return found.join(used, ["site_id", "code"], "left").fillna(0, ["trips"])
 
 
 # --- dimensions and texts ------------------------------------------------------------------------------------------
@@ -252,7 +254,8 @@ def circuit_search(spark, d):
 
 @query
 def camera_catalog(spark, d):
-    return dims.cameras(spark)
+    reads = _reads(spark, d).groupBy("site_id", "sector").agg(F.count(F.lit(1)).alias("reads"))
+    return dims.cameras(spark).join(reads, ["site_id", "sector"], "left").fillna(0, ["reads"])
 
 
 @query
@@ -328,6 +331,23 @@ def sim_nodes_results(spark, d):
     return visits.sim_nodes_with_results(_full_visits(spark, d))
 
 
+@query
+def sim_nodes_located(spark, d):
+    """Events of no known name at known places: the place gives the node."""
+    n = F.col("row_no")
+    other = adapters.full_gate_events(spark, d).withColumn("odd", (n % 4 == 1) & F.col("event_type").isin("SCALE_IN", "YARD_WAIT", "DISCHARGE_END", "EXIT"))
+    place = F.when(F.col("event_type") == "DISCHARGE_END", F.when(n % 8 == 1, "liquid_bay_9").otherwise("PIT_2")).when(F.col("event_type") == "YARD_WAIT", " yard_b").otherwise(F.col("event_type"))
+    located = other.withColumn("location", F.when(F.col("odd"), place)).withColumn("event_type", F.when(F.col("odd"), "SENSOR").otherwise(F.col("event_type")))
+    return visits.sim_nodes_with_results(visits.visits(located, 12, ties="step"))
+
+
+@query
+def committee_circuits(spark, d):
+    shown = detail.first_circuits(dims.circuits(spark), 12).select("site_id", "ordinal", "code")
+    used = _looked_up(spark, d).groupBy("site_id", F.col("circuit_code").alias("code")).agg(F.count(F.lit(1)).alias("trips"))
+    return shown.join(used, ["site_id", "code"], "left").fillna(0, ["trips"])
+
+
 @query
 def normalised_events(spark, d):
     raw = adapters.full_gate_events(spark, d).withColumn("cargo_form", F.when(F.col("row_no") % 3 == 0, "solid").when(F.col("row_no") % 3 == 1, "Gas"))
@@ -356,7 +376,12 @@ def fleet_of_operation(spark, d):
 
 @query
 def fleet_panels(spark, d):
-    return fleet.panels(_fleet(spark, d))
+    return fleet.panels(_fleet(spark, d), dims.sites(spark))
+
+
+@query
+def fleet_panels_of_operation(spark, d):
+    return fleet.panels(_fleet(spark, d), dims.sites(spark), "DESPACHANDO")
 
 
 @query
@@ -366,6 +391,30 @@ def zipped_reads(spark, d):
     return state.zipped(reads, steps, ["trip_id", "step"])
 
 
+@query
+def paired_reads(spark, d):
+    reads = _reads(spark, d).select("trip_id", "step", "at_us")
+    plan = _reads(spark, d).select(F.concat("trip_id", F.lit("/"), "step").alias("plan"), F.col("sector").alias("planned"), F.col("at_us").alias("planned_us"))
+    hour = F.floor(F.col("at_us") / HOUR_US), F.floor(F.col("planned_us") / HOUR_US)
+    return positions.paired(reads, plan, (hour[0], [F.col("at_us"), F.col("trip_id"), F.col("step")]), (hour[1], [F.col("planned_us"), F.col("plan")]))
+
+
+@query
+def state_orders(spark, d):
+    return state.output_orders(_truck_trips(spark, d), NOW_US)
+
+
+@query
+def alert_states(spark, d):
+    """Changes that come out of order and twice: an alert has as many as the last digit of its number, each later but the last."""
+    n = F.col("event_id")
+    each = adapters.alerts(spark, d).select("alert_id", "event_id", "at_us", F.explode(F.sequence(F.lit(0), (n % 5).cast("int"))).alias("change_no")).filter("change_no > 0")
+    status = F.element_at(F.array(F.lit("ACKNOWLEDGED"), F.lit("RESOLVED"), F.lit("OPEN")), (F.pmod(n + F.col("change_no"), F.lit(3)) + 1).cast("int"))
+    at = F.col("at_us") + F.when(F.col("change_no") == 4, F.lit(HOUR_US)).otherwise(F.col("change_no") * HOUR_US)
+    log = each.select("alert_id", status.alias("status"), at.alias("changed_us"), F.col("change_no").cast("long").alias("change_no"))
+    return alert_log.with_states(adapters.alerts(spark, d), log.unionByName(log)).select("alert_id", "site_id", "status", "updated_us")
+
+
 @query
 def alert_status_set(spark, d):
     return state.set_status(adapters.alerts(spark, d), "alert-9", "RESOLVED").groupBy("site_id", "status").agg(F.count(F.lit(1)).alias("alerts"), F.max("alert_id").alias("last"))
@@ -407,6 +456,40 @@ def history_within_cap(spark, d):
     return pages.retained(adapters.trips(spark, d), history.CAP).select("trip_id", "site_id", "out_us")
 
 
+@query
+def history_rolled(spark, d):
+    """Trips in two batches, the second with some of the first again, rolled into a history of their own."""
+    trips, base = adapters.trips(spark, d).select("trip_id", "site_id", "trip_date", "out_us", "state"), storage.new_path(spark, "history")
+    roll, early = history.rolled(base, NOW_US), F.col("out_us") < WEEK_US
+    roll(trips.filter(early), 0)
+    roll(trips.filter(~early | (F.substring("trip_id", -1, 1) == "7")), 1)
+    schema = ", ".join(f"{c} {t}" for c, t in trips.dtypes)
+    kept = history.archived_trips(spark, base, schema).unionByName(history.live_trips(spark, base, schema).withColumn("archive", F.lit("live")))
+    return kept.groupBy("site_id", "archive").agg(F.count(F.lit(1)).alias("trips"), F.max("out_us").alias("last_us"))
+
+
+def _by_day(spark, d):
+    return history.write_by_day(adapters.trips(spark, d).select("trip_id", "site_id", "trip_date", "in_us", "out_us", "stay", "state"), storage.new_path(spark, "by-day"))
+
+
+@query
+def periods_by_day(spark, d):
+    trips = _by_day(spark, d)
+    references = storage.stored(history.reference_by_day(trips, dims.sites(spark)), storage.new_path(spark, "references"))
+    asked = [("day", "day", None, None), ("week", "week", None, None), ("month", "month", None, None), ("last_month", "last_month", None, None), ("week-day", "week", 2, None), ("month-week", "month", None, 3), ("month-week-day", "month", 1, 3)]
+    made = None
+    for name, kind, day, week in asked:
+        rows = history.of_days(trips, history.days_of(references, kind, day, week))
+        one = rows.groupBy("site_id").agg(F.count(F.lit(1)).alias("trips"), F.max("out_us").alias("last_us"), F.avg("stay").alias("mean_stay")).withColumn("period", F.lit(name))
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+@query
+def overlapping_by_day(spark, d):
+    return history.overlapping_by_day(_by_day(spark, d), WEEK_US, WEEK_US + HOUR_US).select("trip_id", "in_us", "out_us")
+
+
 # --- sources -------------------------------------------------------------------------------------------------------
 
 

@@ -234,10 +234,16 @@ add(
 )
 
 _END = NOW_US - 20 * 60_000_000
+
+
+def arrivals(end: int, step: int) -> str:
+    return f"coalesce((SELECT n FROM (SELECT (in_us - {WEEK_US}) // {step} AS k, count(*) AS n FROM trips WHERE in_us >= {WEEK_US} AND in_us < {end} GROUP BY 1) WHERE k = bucket), 0) AS arrivals"
+
+
 add(
     "time_buckets",
-    [f"b AS (SELECT b AS bucket, {WEEK_US} + b * {HOUR_US // 2} AS start_us FROM range({-(-(_END - WEEK_US) // (HOUR_US // 2))}) AS t(b))"],
-    f"SELECT bucket, start_us, least({_END}, start_us + {HOUR_US // 2}) AS end_us, {q(WEEKDAYS)}[dayofweek(make_timestamp(start_us)) + 1] AS weekday, strftime(make_timestamp(start_us), '%H:%M') AS label, hour(make_timestamp(start_us)) % 6 = 0 AS tick FROM b",
+    [TRIPS, f"b AS (SELECT b AS bucket, {WEEK_US} + b * {HOUR_US // 2} AS start_us FROM range({-(-(_END - WEEK_US) // (HOUR_US // 2))}) AS t(b))"],
+    f"SELECT bucket, start_us, least({_END}, start_us + {HOUR_US // 2}) AS end_us, {q(WEEKDAYS)}[dayofweek(make_timestamp(start_us)) + 1] AS weekday, strftime(make_timestamp(start_us), '%H:%M') AS label, hour(make_timestamp(start_us)) % 6 = 0 AS tick, {arrivals(_END, HOUR_US // 2)} FROM b",
 )
 add(
     "deterministic_deviates",

@@ -177,7 +177,8 @@ def bucket_flow_series(spark, d):
 
 @query
 def time_buckets(spark, d):
-    return flow.time_buckets(spark, WEEK_US, NOW_US - 20 * 60_000_000, HOUR_US // 2)
+    end = NOW_US - 20 * 60_000_000
+    return flow.with_arrivals(flow.time_buckets(spark, WEEK_US, end, HOUR_US // 2), adapters.trips(spark, d), WEEK_US, end, HOUR_US // 2)
 
 
 @query
