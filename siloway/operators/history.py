@@ -179,7 +179,9 @@ def days_of(references: DataFrame, kind: str, drill_day: int | None = None, dril
         if drill_week is not None:
             newest = F.date_sub(last, (4 - drill_week) * 7)
             first, last = (F.date_sub(newest, 6), newest) if drill_day is None else (F.date_sub(newest, drill_day),) * 2
-    return references.select("site_id", F.explode(F.sequence(first, last)).alias("trip_date"))
+    days = references.select("site_id", last.alias("_last"), F.explode(F.sequence(first, last)).alias("trip_date"))
+    # true of every row: partitions are pruned at run time only by a side with a comparison
+    return days.filter(F.col("trip_date") <= F.col("_last")).select("site_id", "trip_date")
 
 
 def of_days(history: DataFrame, days: DataFrame) -> DataFrame:

@@ -216,16 +216,19 @@ def write_csv(df: DataFrame, path: str) -> None:
 META = [("title", "# "), ("subtitle", "# "), ("plant", "# Planta: "), ("period", "# Período: "), ("generated", "# Generado: ")]
 
 
-def csv_lines(df: DataFrame, meta: dict[str, str] | None = None) -> DataFrame:
+def csv_lines(df: DataFrame, meta: dict[str, str] | None = None, keys: dict[str, Column] | None = None) -> DataFrame:
     """(part, line) of an exported table: lines of the meta data (part 0), the header (1) and the rows (2).
 
-    A value with a comma, a quote or a newline is quoted, quotes doubled; null is empty. Sorted by part, the lines are the file.
+    A value with a comma, a quote or a newline is quoted, quotes doubled; null is empty. Sorted by part, the lines are the file;
+    with ``keys``, columns of the rows by name, there are also they and ``place``, the order of lines within the first parts.
     """
-    lines = [(0, f"{begin}{meta[name]}") for name, begin in META if meta and meta.get(name)]
-    head = df.sparkSession.createDataFrame([*lines, (1, ",".join(df.columns))], "part int, line string")
+    lines = [(0, i, f"{begin}{meta[name]}") for i, (name, begin) in enumerate(META) if meta and meta.get(name)]
+    head = df.sparkSession.createDataFrame([*lines, (1, 0, ",".join(df.columns))], "part int, place int, line string")
 
     def cell(c: str) -> Column:
         text = F.coalesce(F.col(c).cast("string"), F.lit(""))
         return F.when(text.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
-    return head.unionByName(df.select(F.lit(2).alias("part"), F.concat_ws(",", *map(cell, df.columns)).alias("line")))
+    rows = df.select(F.lit(2).alias("part"), F.lit(0).alias("place"), F.concat_ws(",", *map(cell, df.columns)).alias("line"), *[c.alias(k) for k, c in (keys or {}).items()])
+    both = head.unionByName(rows, allowMissingColumns=True)
+    return both if keys is not None else both.drop("place")

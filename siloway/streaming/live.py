@@ -74,7 +74,7 @@ class _Gather(StatefulProcessor):
         self.reads = handle.getListState("reads", READS)
         self.due = handle.getValueState("due", "due_ms long")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802 (the engine's name)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (the engine's names)
         columns = [c.split(" ")[0] for c in READS.split(", ")]
         due = self.due.get()[0] if self.due.exists() else None
         last = 0
@@ -90,7 +90,7 @@ class _Gather(StatefulProcessor):
             self.due.update((new,))
         return iter([])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         reads = sorted(self.reads.get(), key=lambda r: (r[0], r[1]))
         self.reads.clear()
         self.due.clear()
