@@ -3,18 +3,20 @@
 A page is parsed to a tree. Every paragraph passes points - one, one per comma, up to three for its length - to its
 ancestors: all to the parent, half to the grandparent, a third over the level to those above. A container's points are
 discounted by its link density, the best one is kept together with the siblings that score alike or read as prose and
-the headings and lists next to it, and it is widened to the article or main element around it.
+the headings and lists next to it, and it is widened to the article or main element around it, to a main only if that holds more than its article.
 
 Menus, page headers, footers, sidebars, adverts, notices, forms and reader comments are left out: by element or role, or
-where a whole name in the class or id of a block container says so. Names that are topics as well (legal, discussion,
-search) only count for containers with little text of their own, and a form only if most of the page's text lies outside
-it. Headings, paragraphs and inline elements are never left out by a name. Blocks that are mostly links are left out
+where a word of the class, id or label of a block container says so; if other words stand beside it, the container's share
+of the page's text and a heading that reads as its id can speak against it. Comments are known by the heading over them, too,
+and by blocks that each tell who wrote them and when. Names that are topics as well (legal, discussion, search) only count
+for containers with little text of their own, and a form only if most of the page's text lies outside it. Headings, paragraphs and inline elements are never left out by a name. Blocks that are mostly links are left out
 outside of article and main only. Text is never cut.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -49,7 +51,7 @@ SCOPE = frozenset("table td th button caption html object".split())
 
 #: Elements and roles that hold no main text.
 OUT = frozenset(
-    "script style noscript template head title nav footer aside button select option textarea input iframe object embed applet svg canvas "
+    "script style noscript template head title nav footer aside button select option textarea input label legend iframe object embed applet svg canvas "
     "audio video map dialog menu noembed noframes xmp datalist".split()
 )
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist".split())
@@ -73,10 +75,17 @@ PLAIN_WORDS = CONTENT_WORDS | frozenset(
     "site global top bottom left right primary secondary wrapper wrap container inner outer box bar area section block list item items link links button "
     "buttons btn icon icons row col column panel group module component region zone slot unit holder wp td js mobile desktop sticky fixed thread new to the".split()
 )
+#: Topics of which one word says enough, whatever the words beside it, where a container holds no text to speak of.
+ONE_WORD = frozenset("banner promo subscribe sharing share related recommended overlay modal".split())
+#: Headings over reader comments, and parts of a comment: who wrote it, and when.
+COMMENTS_HEADING = re.compile(r"(?:\d+ )?(?:(?:reader|user) )?(?:comments?|responses|replies|join the discussion|leave a (?:comment|reply))(?: \d+)?")
+WHO, WHEN = re.compile(r"author|avatar|commenter|user-?name|vcard|byline", re.I), re.compile(r"date|time|ago\b", re.I)
 #: How surely a container is left out: reader comments, other parts that are no article, forms, names that are topics too.
 COMMENTS, SURE, FORM, TOPIC = 4, 3, 2, 1
 #: Paragraph points from which a container with a topic's name is text, and the share of the page left that undoes SURE.
 TEXT_POINTS, LEAST_LEFT = 5.0, 0.1
+#: The share of a main's paragraph points with which its article is the main text.
+NEARLY_ALL = 0.8
 CONTROLS = frozenset("input textarea select button form".split())
 WORD = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
 
@@ -89,13 +98,13 @@ LISTS = frozenset("ul ol dl table pre blockquote figure".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "out", "length", "linked", "commas", "points", "blocks", "total", "mark", "names", "holds")
+    __slots__ = ("tag", "parent", "kids", "out", "length", "linked", "commas", "points", "blocks", "total", "mark", "loose", "names", "holds", "signs")
 
     def __init__(self, tag: str, parent: Node | None, out: bool = False) -> None:
         self.tag, self.parent, self.kids, self.out = tag, parent, [], out
         self.length = self.linked = self.commas = self.blocks = 0
         self.points = self.total = 0.0
-        self.mark, self.names, self.holds = 0, (), 0
+        self.mark, self.loose, self.names, self.holds, self.signs = 0, False, (), 0, 0
 
 
 def is_out(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -116,17 +125,18 @@ def is_out(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
-def marked(tag: str, attributes: str) -> tuple[int, tuple[str, ...]]:
-    """What the names of a block container (or of a skip link) say it is, 0 for nothing, and its id's words."""
-    mark, own = FORM if tag == "form" else 0, ()
+def marked(tag: str, attributes: str) -> tuple[int, bool, tuple[str, ...]]:
+    """What the names of a block container (or of a skip link) say it is, 0 for nothing; whether other words stand in that name
+    too, so that its text is asked as well; and its id's words."""
+    mark, loose, own = FORM if tag in ("form", "fieldset") else 0, False, ()
     if tag not in BLOCK and tag != "a" or tag in HEADINGS or tag in ("p", "body", "article", "main") or not attributes:
-        return mark, own
+        return mark, loose, own
     lower = attributes.lower()
-    if "class" not in lower and "id" not in lower:
-        return mark, own
+    if "class" not in lower and "id" not in lower and "aria-label" not in lower:
+        return mark, loose, own
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
-        if name not in ("class", "id"):
+        if name not in ("class", "id", "aria-label"):
             continue
         for token in html.unescape(value.strip("\"'")).split():
             words = tuple(w.lower() for w in WORD.findall(token))
@@ -134,15 +144,25 @@ def marked(tag: str, attributes: str) -> tuple[int, tuple[str, ...]]:
                 own = words
             if tag == "a" and not {"skip", "skiplink"} & set(words):
                 continue
-            if not all(w in PLAIN_WORDS or w in TOPIC_WORDS or w in OUT_WORDS or w in COMMENT_WORDS or len(w) == 1 for w in words):
-                continue
+            plain = all(w in PLAIN_WORDS or w in TOPIC_WORDS or w in OUT_WORDS or w in COMMENT_WORDS or len(w) == 1 for w in words)
+            found = 0
             if COMMENT_WORDS.intersection(words):
-                mark = max(mark, COMMENTS)
+                found = COMMENTS
             elif OUT_WORDS.intersection(words):
-                mark = max(mark, SURE)
-            elif TOPIC_WORDS.intersection(words) - ({"header"} if TITLED_WORDS.intersection(words) else set()):
-                mark = max(mark, TOPIC)
-    return mark, own
+                found = SURE
+            elif (TOPIC_WORDS if plain else ONE_WORD).intersection(words) - ({"header"} if TITLED_WORDS.intersection(words) else set()):
+                found = TOPIC
+            if (found, plain) > (mark, not loose):
+                mark, loose = found, not plain
+    return mark, loose and mark != FORM, own
+
+
+def sign_of(tag: str, attributes: str) -> int:
+    """Whether an element tells who wrote something (1) or when (2)."""
+    if not attributes:
+        return 2 * (tag == "time")
+    said = " ".join(v for n, v in ATTRIBUTE.findall(attributes) if n.lower() in ("class", "rel", "itemprop", "datetime")) if "=" in attributes else ""
+    return (WHO.search(said) is not None) + 2 * (tag == "time" or WHEN.search(said) is not None)
 
 
 class Stack:
@@ -228,7 +248,8 @@ def parse(page: str) -> list[Node]:
                 stack.close(place)
         up = stack.nodes[-1]
         node = Node(tag, up, up.out or is_out(tag, attributes, stack.last(("article", "main")) > 0))
-        node.mark, node.names = marked(tag, attributes)
+        node.mark, node.loose, node.names = marked(tag, attributes)
+        node.signs = sign_of(tag, attributes)
         up.kids.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -303,11 +324,31 @@ def named_by_heading(node: Node) -> bool:
 
 
 def note_held(nodes: list[Node]) -> None:
-    """Whether elements hold an article or main (1), and controls or comments (2), left out ones included."""
+    """Whether elements hold an article or main (1), and controls or comments (2), left out ones included; and who and when."""
     for node in reversed(nodes):
         own = (node.tag in ("article", "main")) + 2 * (node.tag in CONTROLS or node.mark == COMMENTS)
         if node.parent is not None:
             node.parent.holds |= node.holds | own
+            node.parent.signs |= node.signs
+
+
+def comment_parts(nodes: list[Node]) -> list[Node]:
+    """Containers that are reader comments by what they hold: those after a heading that says so, and those of two alike blocks or
+    more of which each tells who wrote it and when."""
+    found = []
+    for node in nodes:
+        if node.out or node.parent is None:
+            continue
+        if node.tag in HEADINGS and COMMENTS_HEADING.fullmatch(" ".join(re.findall(r"[a-z]+|\d+", html.unescape("".join(k for n in (node, *inside(node)) for k in n.kids if isinstance(k, str))).lower()))):
+            up = node.parent
+            kids = [k for k in up.kids if isinstance(k, Node)]
+            rest = kids[kids.index(node) + 1 :]
+            found += [node, *itertools.takewhile(lambda k: k.tag not in HEADINGS, rest)] if up.tag in ("article", "main", "body") or kids[0] is not node else [up]
+        elif node.tag in ("ol", "ul", "div", "section"):
+            kids = [k for k in node.kids if isinstance(k, Node) and k.tag in BLOCK and not k.out]
+            if len(kids) > 1 and all(k.tag == kids[0].tag and k.signs == 3 and k.tag in ("li", "div", "article", "section") for k in kids):
+                found.append(node)
+    return found
 
 
 def is_text(node: Node, page: float) -> bool:
@@ -337,14 +378,23 @@ def leave_out(nodes: list[Node]) -> None:
 
     note_held(nodes)
     measure(nodes)
+    whole = nodes[0].total
+
+    def told(node: Node) -> bool:
+        """Whether a name that holds other words too is to be taken at its word: its text does not speak against it."""
+        if node.total > whole / 2 or node.holds & 1 or named_by_heading(node):
+            return False
+        return node.mark == COMMENTS or node.total < TEXT_POINTS or density(node) > 0.25 or bool(node.holds & 2)
+
     for mark, least in ((COMMENTS, 0.0), (SURE, LEAST_LEFT)):
         before = nodes[0].total
-        gone = apply(frozenset(id(n) for n in nodes if n.mark == mark and not (mark == SURE and named_by_heading(n))))
+        gone = apply(frozenset(id(n) for n in nodes if n.mark == mark and (told(n) if n.loose else not (mark == SURE and named_by_heading(n)))))
         if gone and before >= TEXT_POINTS and nodes[0].total <= least * before:
             for node in gone:
                 node.out = False
             measure(nodes)
     page = nodes[0].total
+    apply(frozenset(id(n) for n in comment_parts(nodes) if n.total <= page / 2 and not n.holds & 1))
     apply(frozenset(id(n) for n in nodes if n.mark in (FORM, TOPIC) and not n.out and not named_by_heading(n) and not is_text(n, page)))
 
 
@@ -373,11 +423,13 @@ def choose(nodes: list[Node]) -> list[Node]:
         return [nodes[0]]
     value = {k: n.points * (1 - density(n)) for k, n in containers.items()}
     best = containers[max(value, key=value.get)]
-    up = best
-    while up is not None:  # the outermost article or main is the whole of it
+    up, article = best, None
+    while up is not None:  # the outermost article or main is the whole of it, or the article that holds nearly all of that
         if up.tag in ("article", "main"):
-            best = up
+            best, article = up, up if up.tag == "article" else article
         up = up.parent
+    if article is not None and article.total >= NEARLY_ALL * best.total:
+        best = article
     if best.parent is None or best.tag in ("body", "html"):
         return [best]
     least = max(10.0, 0.2 * value.get(id(best), 0.0))
