@@ -22,13 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or where the session leaves that unset, a
-    folder of the warehouse, which is shared too. A session in one process (tests) gets a temporary folder instead."""
+    folder of the warehouse, which is shared too; one at a local path is not, and that is an error. A session in one process
+    (tests) gets a temporary folder instead."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("siloway.shared.dir", None)
     if not folder:
-        if spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master.startswith("local") and not master.startswith("local-cluster"):
             folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         else:
             folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_siloway"
+            if folder.startswith(("file:", "/")):
+                raise ValueError("executors do not share a local warehouse: set spark.checkpoint.dir")
         spark.conf.set("siloway.shared.dir", folder)
     return folder.rstrip("/")
 

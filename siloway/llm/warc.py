@@ -8,7 +8,7 @@ records with equal payloads the one with the smallest source id is a response an
 
 Archives are whole files of the shared folder, written by Spark's text writer with one archive as one row, so they are
 written through the same committers and file systems as any table; Python code of a task sees one archive of bounded
-size at a time.
+size at a time. Records are bytes throughout, which need not be text in any charset: the writer takes them as they are.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siloway.llm.common import new_path, table, written
 
-#: Characters after which an archive is closed; a single larger record still fills one archive.
-ARCHIVE_CHARS = 8_000_000
+#: Bytes after which an archive is closed; a single larger record still fills one archive.
+ARCHIVE_BYTES = 8_000_000
 
 #: Parts that the records of one payload are dealt to.
 RUNS = 256
@@ -82,21 +83,20 @@ def head_field(head: str, name: str) -> str | None:
 # --- ARC ---------------------------------------------------------------------------------------------------------
 
 
-def arc_version_block(version: int, name: str) -> str:
+def arc_version_block(version: int, name: str) -> bytes:
     body = f"{version} 0 siloway\n{' '.join(FIELDS[version])}\n"
     line = {"URL": f"filedesc://{name}", "Content-type": "text/plain", "Archive-length": len(body)} | {"IP-address": ADDRESS, "Archive-date": DATE}
     line |= {"Result-code": 200, "Filename": name, "Offset": 0}
-    return " ".join(str(line.get(f, "-")) for f in FIELDS[version]) + "\n" + body + "\n"
+    return (" ".join(str(line.get(f, "-")) for f in FIELDS[version]) + "\n" + body + "\n").encode()
 
 
-def arc_record(version: int, name: str, source_id: int | None, url: str | None, html: str | None) -> str:
-    """An ARC record: header line, network document, newline."""
-    body = html or ""
-    document = http_head(source_id, "text/html", len(body.encode())) + body
-    data = document.encode()
+def arc_record(version: int, name: str, source_id: int | None, url: str | None, html: str | bytes | None) -> bytes:
+    """An ARC record: header line, network document, newline. Text is UTF-8, bytes stay what they are."""
+    body = html.encode() if isinstance(html, str) else html or b""
+    data = http_head(source_id, "text/html", len(body)).encode() + body
     line = {"URL": safe_url(url), "IP-address": ADDRESS, "Archive-date": DATE, "Content-type": "text/html", "Result-code": 200, "Filename": name}
     line |= {"Checksum": hashlib.md5(data).hexdigest(), "Archive-length": len(data)}
-    return " ".join(str(line.get(f, "-")) for f in FIELDS[version]) + "\n" + document + "\n"
+    return " ".join(str(line.get(f, "-")) for f in FIELDS[version]).encode() + b"\n" + data + b"\n"
 
 
 def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -128,31 +128,26 @@ def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, data[end + 1 : at]
 
 
-def _archives(rows: DataFrame, make) -> DataFrame:
-    """Rows to archives of bounded size: make(name) gives (start of an archive, row -> record)."""
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[str] = []
-        size = 0
-        start, record = make(f"part-{uuid.uuid4().hex}")
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                held.append(record(row))
-                size += len(held[-1])
-                if size >= ARCHIVE_CHARS:
-                    yield pd.DataFrame({"value": [start + "".join(held)]})
-                    held, size = [], 0
-                    start, record = make(f"part-{uuid.uuid4().hex}")
-        if held:
-            yield pd.DataFrame({"value": [start + "".join(held)]})
-
-    return rows.mapInPandas(pack, "value string")
+def _packed(records: Iterator, make) -> Iterator[pa.RecordBatch]:
+    """Records to archives of bounded size: make(name) gives (start of an archive, record -> bytes)."""
+    held: list[bytes] = []
+    size = 0
+    start, record = make(f"part-{uuid.uuid4().hex}")
+    for row in records:
+        held.append(record(row))
+        size += len(held[-1])
+        if size >= ARCHIVE_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array([start + b"".join(held)], pa.binary())], ["value"])
+            held, size = [], 0
+            start, record = make(f"part-{uuid.uuid4().hex}")
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([start + b"".join(held)], pa.binary())], ["value"])
 
 
 def _write(archives: DataFrame, what: str, end: str) -> str:
-    """One file per row; ``end`` is the line end that readers of the format skip between records."""
+    """One file per row; ``end`` is the line end that readers of the format skip between records. The cast takes bytes as they are."""
     path = new_path(archives.sparkSession, what)
-    archives.write.option("maxRecordsPerFile", 1).option("lineSep", end).option("compression", "gzip").text(path)
+    archives.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("lineSep", end).option("compression", "gzip").text(path)
     return path
 
 
@@ -161,13 +156,27 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_arc(df: DataFrame, id_col: str, url_col: str, html_col: str, version: int = 1) -> str:
-    """Write the rows as ARC files of a version; returns their folder. Null html is an empty document, a null url '-'."""
+    """Write the rows as ARC files of a version; returns their folder. The html may be text, written in UTF-8, or bytes of any
+    charset; null is an empty document, a null url '-'."""
 
     def make(name: str):
-        return arc_version_block(version, name), lambda r: arc_record(version, name, None if pd.isna(r.source_id) else int(r.source_id), r.url, r.html)
+        return arc_version_block(version, name), lambda r: arc_record(version, name, *r)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((i.as_py(), u.as_py(), h.as_py()) for b in batches for i, u, h in zip(*b.columns, strict=True))
+        return _packed(rows, make)
 
     rows = df.select(F.col(id_col).cast("long").alias("source_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return _write(_archives(rows, make), f"arc{version}", "\n")
+    return _write(rows.mapInArrow(run, "value binary"), f"arc{version}", "\n")
+
+
+def records_of(file: str, content: bytes) -> Iterator[tuple]:
+    """The records (RECORD's columns) of one ARC file. ``place`` is the file's name and the record's ordinal in it."""
+    for i, (fields, document) in enumerate(arc_records(unpacked(content))):
+        head, blank, payload = document.partition(b"\r\n\r\n") if document.startswith(b"HTTP/") else (b"", b"", document)
+        head = (head + blank).decode("latin-1")
+        own = head_field(head, ID_HEADER)
+        yield None if own is None else int(own), fields["URL"], fields["IP-address"], fields["Content-type"], fields["Archive-date"], f"{file.rpartition('/')[2]}:{i}", head, payload
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -176,14 +185,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
-                rows = []
-                for i, (fields, document) in enumerate(arc_records(unpacked(content))):
-                    head, blank, payload = document.partition(b"\r\n\r\n") if document.startswith(b"HTTP/") else (b"", b"", document)
-                    head = (head + blank).decode("latin-1")
-                    own = head_field(head, ID_HEADER)
-                    place = f"{file.rpartition('/')[2]}:{i}"
-                    rows.append((None if own is None else int(own), fields["URL"], fields["IP-address"], fields["Content-type"], fields["Archive-date"], place, head, payload))
-                yield _frame(rows, COLUMNS)
+                yield _frame([*records_of(file, content)], COLUMNS)
 
     return _files(spark, path).mapInPandas(parse, RECORD)
 
@@ -209,34 +211,36 @@ def warc_date(date14: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def warc_info(name: str) -> str:
+def warc_info(name: str) -> bytes:
     """The record that a WARC file starts with."""
     body = "software: siloway\r\nformat: WARC File Format 1.1\r\n"
     fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", warc_id(name)), ("WARC-Date", warc_date(DATE)), ("WARC-Filename", name), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(body)))]
-    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n" + body + "\r\n\r\n"
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n" + body + "\r\n\r\n").encode()
 
 
-def warc_record(row) -> str:
-    """A WARC/1.1 record: a response, or a resource where the document had no HTTP head. A revisit holds the head only; its
-    declared digest is the full payload's. Heads are kept as they were; payloads have to be UTF-8, as the text writer's are."""
-    payload, head = row.payload, row.head.encode("latin-1")
-    revisit = row.refers_to is not None
+def warc_record(row: tuple, refers_to: str | None = None) -> bytes:
+    """The WARC/1.1 record of a RECORD row: a response, or a resource where the document had no HTTP head. A revisit, of the record
+    that stood at ``refers_to``, holds the head only; its declared digest is the full payload's. Heads, with the charset that
+    they declare, and payloads are kept byte for byte."""
+    _, url, address, mime, date, place, head, payload = row
+    head = head.encode("latin-1")
+    revisit = refers_to is not None
     block = head + (b"" if revisit else payload)
     fields = [
         ("WARC-Type", "revisit" if revisit else "response" if head else "resource"),
-        ("WARC-Record-ID", warc_id(row.place)),
-        ("WARC-Date", warc_date(row.date)),
-        ("WARC-Target-URI", row.url),
+        ("WARC-Record-ID", warc_id(place)),
+        ("WARC-Date", warc_date(date)),
+        ("WARC-Target-URI", url),
         ("WARC-Payload-Digest", f"sha1:{sha1_base32(payload)}"),
         ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"),
-        ("Content-Type", "application/http; msgtype=response" if head else row.mime),
+        ("Content-Type", "application/http; msgtype=response" if head else mime),
         ("Content-Length", str(len(block))),
     ]
-    if row.address not in ("-", ADDRESS):
-        fields.append(("WARC-IP-Address", row.address))
+    if address not in ("-", ADDRESS):
+        fields.append(("WARC-IP-Address", address))
     if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", warc_id(row.refers_to))]
-    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n" + block.decode("utf-8") + "\r\n\r\n"
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", warc_id(refers_to))]
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode("utf-8", "replace") + block + b"\r\n\r\n"
 
 
 def warc_records(data: bytes) -> Iterator[tuple[str, bytes]]:
@@ -259,17 +263,17 @@ def warc_records(data: bytes) -> Iterator[tuple[str, bytes]]:
         at += 4
 
 
-def convert(records: DataFrame, min_bytes: int = 0) -> str:
-    """Convert records read from legacy archives to WARC files; returns their folder.
+def convert(spark: SparkSession, path: str, min_bytes: int = 0) -> str:
+    """Convert a folder of legacy archives to WARC files; returns their folder.
 
     Records whose payloads of at least ``min_bytes`` are equal (length, SHA-256 and a second 64-bit hash) are one class; the smallest
     (source id, place) of it is a response and the others revisit it. Smaller payloads are all responses, and documents
-    without an HTTP head are all resources. Only the
-    places travel with the digests; payloads are shuffled by place, which no content makes hot.
+    without an HTTP head are all resources. Only the places travel with the digests. What they come to is gathered by archive,
+    which a bounded number of records share, and the archives, as they lie in storage, are converted one by one.
     """
     run = F.pmod(F.xxhash64("place"), F.lit(RUNS)).cast("int").alias("run")
     small = written(
-        records.select(
+        read_arc(spark, path).select(
             "source_id", "place", "head", F.octet_length("payload").alias("n"), F.unhex(F.sha2("payload", 256)).alias("digest"), F.xxhash64("payload").alias("second"), run
         ).filter((F.col("n") >= min_bytes) & (F.col("head") != "")).drop("head"),
         "payload-digests",
@@ -280,8 +284,23 @@ def convert(records: DataFrame, min_bytes: int = 0) -> str:
     first = leaves.groupBy(*key).agg(F.min("first").alias("first"), F.sum("rows").alias("rows")).filter("rows > 1")
     down = leaves.select("run", *key).join(first.select(*key, F.col("first.place").alias("refers_to")), key)
     again = small.join(down, ["run", *key]).filter("place <> refers_to").select("place", "refers_to")
-    rows = records.drop("source_id").join(again, "place", "left")
-    return _write(_archives(rows, lambda name: (warc_info(name), warc_record)), "warc", "\r\n")
+    by_file = again.groupBy(F.substring_index("place", ":", 1).alias("file")).agg(F.collect_list(F.struct("place", "refers_to")).alias("again"))
+    files = _files(spark, path).withColumn("file", F.substring_index("path", "/", -1)).join(written(by_file, "revisits"), "file", "left").select("path", "content", "again")
+
+    def make(name: str):
+        return warc_info(name), lambda r: warc_record(*r)
+
+    def run_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for file, content, again in zip(*batch.columns, strict=True):
+                    refers = {r["place"]: r["refers_to"] for r in again.as_py() or ()}
+                    for record in records_of(file.as_py(), content.as_py()):
+                        yield record, refers.get(record[5])
+
+        return _packed(rows(), make)
+
+    return _write(files.mapInArrow(run_files, "value binary"), "warc", "\r\n")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -317,15 +336,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_index(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: int = 1, min_bytes: int = 0) -> DataFrame:
-    """Rows written as legacy archives, converted to WARC and read back, with ``refers_to`` resolved to a source id.
+    """Rows written as legacy archives, converted to WARC and read back, with ``refers_to`` resolved to a source id. The html may be
+    text or bytes.
 
     One row per row of ``df``: source_id, url, payload_bytes, payload_digest, record_type, refers_to. Null html is an
     empty payload; null and empty payloads are equal to each other. Null ids sort last among equal payloads. Of repeated
     rows one is the response and the others revisit it. An empty table gives an empty result; other columns are not read.
     """
     spark = df.sparkSession
-    records = read_arc(spark, write_arc(df, id_col, url_col, html_col, version))
-    found = written(read_warc(spark, convert(records, min_bytes)), "warc-index")
+    legacy = write_arc(df, id_col, url_col, html_col, version)
+    found = written(read_warc(spark, convert(spark, legacy, min_bytes)), "warc-index")
     target = found.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("source_id").alias("refers_to"))
     run = F.pmod(F.xxhash64("record_id"), F.lit(RUNS)).cast("int")
     revisits = found.filter("record_type = 'revisit'").withColumn("run", run)

@@ -59,14 +59,14 @@ def test_documents_of_other_protocols_are_resources(spark, tmp_path):
     name = "x.arc"
     document = b"example.com. 60 IN A 1.2.3.4\n"
     head = b"HTTP/1.0 404 Not Found\r\nServer: old\r\n\r\n"
-    body = warc.arc_version_block(1, name).encode()
+    body = warc.arc_version_block(1, name)
     for url, data in (("dns:example.com", document), ("http://e.com/", head + b"gone")):
         body += f"{url} 9.9.9.9 19990102030405 text/plain {len(data)}\n".encode() + data + b"\n"
     (tmp_path / "part-0.arc").write_bytes(body)
     records = warc.read_arc(spark, str(tmp_path))
     rows = {r.url: r for r in records.collect()}
     assert bytes(rows["dns:example.com"].payload) == document and rows["http://e.com/"].head.startswith("HTTP/1.0 404")
-    folder = warc.convert(records)
+    folder = warc.convert(spark, str(tmp_path))
     kinds = {r.url: (r.record_type, r.payload_bytes) for r in warc.read_warc(spark, folder).collect()}
     assert kinds == {"dns:example.com": ("resource", len(document)), "http://e.com/": ("response", 4)}
     content = b"".join(warc.unpacked(bytes(r.content)) for r in warc._files(spark, folder).collect())

@@ -360,13 +360,20 @@ def test_archives_round_trip(spark, version):
     assert warc.archive_index(df.limit(0)).count() == 0
 
 
+def test_archives_keep_any_bytes(spark):
+    odd = ["café\r\n\r\n".encode("latin-1"), "päge".encode("utf-16"), bytes(range(256)) * 20, b"\xff\xfe\x00\n\n", b"", "café\r\n\r\n".encode("latin-1"), "ok".encode()]
+    df = spark.createDataFrame([(i, "u", b) for i, b in enumerate(odd)], "page_id long, url string, html binary")
+    got = {r.source_id: (r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.archive_index(df).collect()}
+    assert got == {i: (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), 0 if i == 5 else None) for i, b in enumerate(odd)}
+
+
 def test_min_bytes_keeps_small_payloads(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "long enough"), (4, "u", "long enough")], "page_id long, url string, html string")
     assert {r.source_id: r.record_type for r in warc.archive_index(df, min_bytes=5).collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
 
 
 def test_broken_arc_is_refused():
-    block = warc.arc_version_block(1, "x").encode()
+    block = warc.arc_version_block(1, "x")
     with pytest.raises(ValueError):
         [*warc.arc_records(block + b"http://a 0.0.0.0 20200101000000 text/html 50\nshort\n")]
 
