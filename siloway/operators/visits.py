@@ -85,7 +85,7 @@ def visits(events: DataFrame, fallback_hours: int = 2, ties: str = "name", withi
     place = F.upper(F.trim("location")) if "location" in events.columns else F.lit(None).cast("string")
     return keyed.groupBy(*within, "visit_key").agg(
         first("site_id"), first("visit_id"), first("plate"), first("doc_number"), F.bool_or("key_fallback").alias("key_fallback"),
-        F.sort_array(F.collect_list(F.struct("at_us", ordinal, row.alias("row"), "event", "result", "cargo_form", place.alias("location")))).alias("events"),
+        F.sort_array(F.collect_list(F.struct("at_us", ordinal, row.alias("row"), "event", "result", "cargo_form", place.alias("location"), _map(LETTERS, F.col("event")).alias("letter")))).alias("events"),
     )
 
 
@@ -94,18 +94,18 @@ def with_path(visit: DataFrame) -> DataFrame:
 
     Results are matched to the C's by position, so a last C without a result of its own has none.
     """
-    letters = F.filter(F.transform("events", lambda e: _map(LETTERS, e["event"])), lambda x: x.isNotNull())
 
-    def capped(acc: Column, x: Column) -> Column:
-        count_c = F.length(acc) - F.length(F.translate(acc, "C", ""))
-        count_d = F.length(acc) - F.length(F.translate(acc, "D", ""))
-        full = ((x == "C") & (count_c >= MAX_C)) | ((x == "D") & (count_d >= MAX_D))
-        return F.when(full, acc).otherwise(F.concat(acc, x))
+    def capped(letters: Column, letter: str, most: int) -> Column:
+        """Letters without those of one kind after its ``most``-th."""
+        parts = f"^((?:[^{letter}]*{letter}){{{most}}})(.*)$"
+        head, tail = F.regexp_extract(letters, parts, 1), F.regexp_extract(letters, parts, 2)
+        return F.when(head != "", F.concat(head, F.translate(tail, letter, ""))).otherwise(letters)
 
+    letters = F.array_join(F.col("events")["letter"], "")  # events without a letter are passed over
     samples = F.filter("events", lambda e: e["event"].isin("SAMPLE_SOLID_TAKEN", "SAMPLE_LIQUID_TAKEN", "LAB_RESULT_READY") & e["result"].isNotNull())
     n_c = F.length("path") - F.length(F.translate("path", "C", ""))
     return (
-        visit.withColumn("path", F.aggregate(letters, F.lit(""), capped))
+        visit.withColumn("path", capped(capped(letters, "C", MAX_C), "D", MAX_D))
         .withColumn("results", F.transform(samples, lambda e: e["result"]))
         .withColumn("last_result", F.when(n_c > 0, F.get("results", n_c - 1)))
     )

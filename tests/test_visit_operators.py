@@ -120,7 +120,7 @@ def test_retention_keeps_the_newest(spark):
 
 
 def test_json_envelopes(spark, tmp_path):
-    doc = {"version": "1", "generatedAt": "2026-03-31T12:00:00Z", "scenario": "normal", "data": [{"tripId": "t", "plant": "San Lorenzo", "circuitCode": "A1", "startedAt": "2026-03-01T00:00:00Z", "endedAt": "2026-03-01T01:00:00Z", "completed": True, "expectedSequence": ["S4"]}]}
+    doc = {"version": "1", "generatedAt": "2026-03-31T12:00:00Z", "scenario": "normal", "data": [{"tripId": "t", "plant": "San Lorenzo", "inferredCircuitCode": "A1", "circuitCode": "Z9", "startedAt": "2026-03-01T00:00:00Z", "endedAt": "2026-03-01T01:00:00Z", "completed": True, "expectedSequence": ["S4"]}]}
     (tmp_path / "normal").mkdir()
     (tmp_path / "normal/historico_recorridos.json").write_text(json.dumps(doc))
     tables = files.load(spark, str(tmp_path), "normal")
