@@ -7,8 +7,9 @@ way from its centroid to the next, stays without being looked at. For the rest t
 worked out first, and where that does not settle it, all distances are, in whole numbers, ties to the smaller number.
 Bounds are doubles, widened by more than their rounding, and have to be strictly apart, so ties are always scanned.
 
-A round reads the rows that the last one wrote and writes them with new bounds; sums of components by cluster are one
-aggregation with a row per cluster. Only centroids, of which there are k, pass through the driver.
+A round reads the rows that the last one wrote and writes them with new bounds; vectors are packed as bytes, four a component, which
+Spark moves without looking into them. Sums by cluster are made within tasks, and Spark adds up a row per task and cluster.
+Only centroids, of which there are k, pass through the driver.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siloway.llm.common import apart, emptied, new_path, stored, table, written
-from siloway.llm.topk import quantised, usable
+from siloway.llm.topk import usable
 
 #: Clusters, rounds, components of a vector, what a component is multiplied by, and the seed of the first centroids.
 K, ROUNDS, SIZE, SCALE, SEED = 8, 10, 64, 1024, 3
@@ -33,13 +34,41 @@ LARGEST = 2**27
 #: How much bounds are widened by, as a share, and what doubles hold exactly.
 SLACK, EXACT = 1e-9, 2**53
 
-STATE = "vec_id long, v array<int>, cluster int, upper double, lower double"
+STATE = "vec_id long, v binary, cluster int, upper double, lower double"
 
 
-def whole(vector: Column, scale: int, largest: int = LARGEST) -> Column:
-    """floor(scale * x) of every component; fails where that is beyond ``largest``."""
-    far = F.exists(quantised(vector, scale), lambda x: F.abs(x) > largest)
-    return F.when(far, F.raise_error(F.lit(f"a component times {scale} is beyond {largest}"))).otherwise(quantised(vector, scale)).cast("array<int>")
+def packed(rows: np.ndarray) -> pa.Array:
+    """Rows of numbers as a binary column."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    ends = np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32) if width else np.zeros(len(rows) + 1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+
+
+def unpacked(column: pa.Array, kind: type = np.int32) -> np.ndarray:
+    """A binary column of equal lengths, without nulls, as rows of numbers."""
+    if not len(column):
+        return np.zeros((0, 0), kind)
+    ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), -1)
+
+
+def quantised_rows(rows: DataFrame, scale: int, largest: int = LARGEST) -> DataFrame:
+    """``rows`` whose last column is a usable vector of doubles, with floor(scale * x) of its components packed as ``v``; fails where one
+    is beyond ``largest``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            x = np.floor(lists.flatten().to_numpy(zero_copy_only=False) * scale)
+            if np.abs(x).max(initial=0) > largest:
+                raise ValueError(f"a component times {scale} is beyond {largest}")
+            ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).astype(np.int32) * 4
+            v = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(ends)), pa.py_buffer(x.astype(np.int32))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], v], [*batch.schema.names[:-1], "v"])
+
+    kept = [(c, t) for c, t in rows.dtypes[:-1]]
+    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kept) + ", v binary")
 
 
 def squared(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -52,11 +81,6 @@ def squared(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.stack([((x - c) ** 2).sum(1) for c in centroids], axis=1)
 
 
-def rows_of(column: pa.ListArray, size: int) -> np.ndarray:
-    """A list column without nulls as rows of ``size`` numbers."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-
-
 def drifts(old: np.ndarray, new: np.ndarray) -> np.ndarray:
     """Upper bounds of the way that each centroid has moved."""
     moved = (old - new).astype(float)
@@ -101,11 +125,12 @@ def reassigned(
 
 def assigned(df: DataFrame, centroids: np.ndarray, drift: np.ndarray | None) -> DataFrame:
     """The rows of ``df`` with the cluster and bounds of the new centroids; without ``drift`` it is the first round."""
-    size = centroids.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = rows_of(batch.column(1), size)
+            if not batch.num_rows:
+                continue
+            v = unpacked(batch.column(1))
             if drift is None:
                 state = scan(v, centroids)
             else:
@@ -115,23 +140,48 @@ def assigned(df: DataFrame, centroids: np.ndarray, drift: np.ndarray | None) ->
     return df.mapInArrow(run, STATE)
 
 
+def summed(batches: Iterator[tuple[np.ndarray, np.ndarray]], groups: int, width: int) -> pa.RecordBatch:
+    """(group, n, s): rows and componentwise sums of each group over batches of (rows, their groups); groups without rows are left out."""
+    sums, counts = np.zeros((groups, width), np.int64), np.zeros(groups, np.int64)
+    for rows, group in batches:
+        order = np.argsort(group, kind="stable")
+        some, first = np.unique(group[order], return_index=True)
+        if len(some):
+            sums[some] += np.add.reduceat(rows[order].astype(np.int64), first, axis=0)
+        counts += np.bincount(group, minlength=groups)
+    some = np.flatnonzero(counts)
+    ends = pa.array(np.arange(0, (len(some) + 1) * width, width, dtype=np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some]), pa.ListArray.from_arrays(ends, pa.array(sums[some].reshape(-1)))], ["group", "n", "s"])
+
+
+def floor_means(partial: DataFrame, before: np.ndarray) -> np.ndarray:
+    """``before`` (groups by components) with the floors of the means of groups that have rows. ``partial`` is (group, n, s) of tasks."""
+    width = before.shape[1]
+    added = partial.groupBy("group").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)])
+    after = before.copy()
+    for row in added.collect():  # a row per group
+        after[row["group"]] = [row[f"s{i}"] // row["n"] for i in range(width)]
+    return after
+
+
 def moved(df: DataFrame, centroids: np.ndarray) -> np.ndarray:
     """New centroids: the floor of the mean of each component over a cluster's rows; a cluster without rows keeps its own."""
-    sums = [F.sum(F.col("v")[i].cast("long")).alias(f"s{i}") for i in range(centroids.shape[1])]
-    after = centroids.copy()
-    for row in df.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *sums).collect():  # a row per cluster
-        after[row["cluster"]] = [row[f"s{i}"] // row["n"] for i in range(centroids.shape[1])]
-    return after
+    k, size = centroids.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield summed(((unpacked(b.column(0)), b.column(1).to_numpy()) for b in batches if b.num_rows), k, size)
+
+    return floor_means(df.select("v", "cluster").mapInArrow(run, "group long, n long, s array<long>"), centroids)
 
 
 def distances(df: DataFrame, centroids: np.ndarray) -> DataFrame:
     """(vec_id, cluster, distance): the exact squared distance to a row's own centroid."""
-    size = centroids.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cluster = batch.column(2).to_numpy()
-            away = rows_of(batch.column(1), size).astype(np.int64) - centroids[cluster]
+            if not batch.num_rows:
+                continue
+            away = unpacked(batch.column(1)).astype(np.int64) - centroids[batch.column(2).to_numpy()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array((away * away).sum(1))], ["vec_id", "cluster", "distance"])
 
     return df.mapInArrow(run, "vec_id long, cluster int, distance long")
@@ -144,20 +194,20 @@ def cluster_vectors(
 
     Rows whose vector is null, has another number of components than ``size``, or holds null or non-finite ones take no
     part; a component whose whole number is beyond 2**27 fails the job. The first centroids are the k rows with the
-    smallest sha256 of ``seed:id``, fewer if there are fewer rows; equal ids are told apart by their vectors. Rows that
+    smallest sha256 of ``seed:id``, fewer if there are fewer rows; equal ids are told apart by their vectors' bytes. Rows that
     repeat an id are rows of their own; a null id is digested as empty text. Other columns are not read, whatever their
     names. An empty table gives an empty result.
     """
     df, _ = apart(df, id_col, vector_col)
     vector = F.col(vector_col)
-    rows = df.filter(usable(vector) & (F.size(vector) == size)).select(F.col(id_col).cast("long").alias("vec_id"), whole(vector, scale).alias("v"))
+    rows = df.filter(usable(vector) & (F.size(vector) == size)).select(F.col(id_col).cast("long").alias("vec_id"), vector.cast("array<double>").alias("vector"))
     path = new_path(df.sparkSession, "vectors")
-    rows = stored(rows, path)
+    rows = stored(quantised_rows(rows, scale), path)
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     first = rows.select(digest.alias("digest"), "v").orderBy("digest", "v").limit(k).collect()
     if not first:
         return df.sparkSession.createDataFrame([], "vec_id long, cluster int, distance long"), np.zeros((0, size), np.int64)
-    centroids = np.array([r["v"] for r in first], np.int64)
+    centroids = np.array([np.frombuffer(r["v"], np.int32) for r in first], np.int64)
     state, drift = rows, None
     for _ in range(rounds):
         last, path = path, new_path(df.sparkSession, "bounds")

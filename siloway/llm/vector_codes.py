@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siloway.llm.centroids import SLACK, digest_of, drifts, rows_of, squared, whole
+from siloway.llm.centroids import SLACK, digest_of, drifts, floor_means, packed, quantised_rows, squared, summed, unpacked
 from siloway.llm.common import apart, emptied, new_path, stored, table, written
 from siloway.llm.topk import usable
 
@@ -33,10 +33,10 @@ LARGEST = 2**24
 #: Steps of a lower bound, parts that rows of one label are dealt to, and rows that a task works off at once.
 STEPS, RUNS, CHUNK = 255, 64, 2048
 
-STATE = "vec_id long, label string, v array<int>, codes binary, upper array<double>, lower binary, step array<double>"
+STATE = "vec_id long, label string, v binary, codes binary, upper binary, lower binary, step binary"
 
 
-def packed(lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def stepped(lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, step) of lower bounds by row (vectors by entries): byte * step is at most the bound."""
     lower = np.maximum(lower, 0.0)
     step = lower.max(1) / STEPS
@@ -89,28 +89,22 @@ def coded(df: DataFrame, books: np.ndarray, drift: np.ndarray | None) -> DataFra
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
-        v = rows_of(batch.column(2), parts * width).astype(np.int64).reshape(n, parts, width)
+        v = unpacked(batch.column(2)).astype(np.int64).reshape(n, parts, width)
         codes, upper, step = np.zeros((n, parts), np.uint8), np.zeros((n, parts)), np.zeros((n, parts))
         lower = np.zeros((n, parts, k), np.uint8)
         if drift is not None:
-            old_codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(n, parts)
-            old_upper, old_step = rows_of(batch.column(4), parts), rows_of(batch.column(6), parts)
-            old_lower = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(n, parts, k)
+            old_codes = unpacked(batch.column(3), np.uint8)
+            old_upper, old_step = unpacked(batch.column(4), np.float64), unpacked(batch.column(6), np.float64)
+            old_lower = unpacked(batch.column(5), np.uint8).reshape(n, parts, k)
         for p in range(parts):
             if drift is None:
                 code, up, low = first_codes(v[:, p], books[p])
             else:
                 code, up, low = next_codes(v[:, p], old_codes[:, p].astype(np.int64), old_upper[:, p], old_lower[:, p] * old_step[:, p, None], books[p], drift[p])
             codes[:, p], upper[:, p] = code, up
-            lower[:, p], step[:, p] = packed(low)
-        ends = pa.array(np.arange(0, (n + 1) * parts, parts, dtype=np.int32))
-        return pa.RecordBatch.from_arrays(
-            [
-                *(batch.column(i) for i in range(3)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(upper.reshape(-1))),
-                pa.array([c.tobytes() for c in lower], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(step.reshape(-1))),
-            ],
-            ["vec_id", "label", "v", "codes", "upper", "lower", "step"],
-        )
+            lower[:, p], step[:, p] = stepped(low)
+        state = [packed(codes), packed(upper), packed(lower.reshape(n, parts * k)), packed(step)]
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *state], ["vec_id", "label", "v", "codes", "upper", "lower", "step"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,24 +118,15 @@ def moved(df: DataFrame, books: np.ndarray) -> np.ndarray:
     """New codebooks: the floor of the mean of each component over an entry's parts; an entry without parts keeps its own."""
     parts, k, width = books.shape
 
+    def rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        codes = unpacked(batch.column(1), np.uint8)
+        return unpacked(batch.column(0)).reshape(-1, width), (codes + np.arange(parts) * k).reshape(-1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counts = np.zeros((parts * k, width), np.int64), np.zeros(parts * k, np.int64)
-        for batch in batches:
-            v = rows_of(batch.column(0), parts * width).astype(np.int64).reshape(-1, width)
-            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, parts)
-            at = (codes + np.arange(parts) * k).reshape(-1)
-            np.add.at(sums, at, v)
-            counts += np.bincount(at, minlength=parts * k)
-        some = np.flatnonzero(counts)
-        ends = pa.array(np.arange(0, (len(some) + 1) * width, width, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some]), pa.ListArray.from_arrays(ends, pa.array(sums[some].reshape(-1)))], ["entry", "n", "s"])
-
-    partial = df.select("v", "codes").mapInArrow(run, "entry long, n long, s array<long>")
-    added = partial.groupBy("entry").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)])
-    after = books.copy()
-    for row in added.collect():  # a row per entry of a codebook
-        after[divmod(row["entry"], k)] = [row[f"s{i}"] // row["n"] for i in range(width)]
-    return after
+        yield summed((rows(b) for b in batches if b.num_rows), parts * k, width)
+
+    partial = df.select("v", "codes").mapInArrow(run, "group long, n long, s array<long>")
+    return floor_means(partial, books.reshape(parts * k, width)).reshape(books.shape)
 
 
 def errors(df: DataFrame, books: np.ndarray) -> DataFrame:
@@ -150,8 +135,9 @@ def errors(df: DataFrame, books: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = rows_of(batch.column(2), parts * width).astype(np.int64).reshape(-1, parts, width)
-            codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, parts)
+            if not batch.num_rows:
+                continue
+            v, codes = unpacked(batch.column(2)).astype(np.int64).reshape(-1, parts, width), unpacked(batch.column(3), np.uint8)
             away = v - books[np.arange(parts), codes]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes().hex() for c in codes]), pa.array((away * away).sum((1, 2)))], ["vec_id", "label", "code", "error"])
 
@@ -167,7 +153,7 @@ def encode_vectors(
     Rows whose vector is null or holds null or non-finite components take no part. The vector of the smallest id that is
     not empty and can be cut into ``parts`` sets the number of components; rows with another number take no part. A
     component whose whole number is beyond 2**24 fails the job. Codebooks start with the parts of the ``entries`` rows of
-    smallest id, equal ids told apart by their vectors, null ids last; with fewer rows they are smaller. Rows that repeat an
+    smallest id, equal ids told apart by their vectors' bytes, null ids last; with fewer rows they are smaller. Rows that repeat an
     id are rows of their own. Other columns are not read, whatever their names. An empty table gives an empty result.
     """
     spark = df.sparkSession
@@ -175,15 +161,14 @@ def encode_vectors(
     label = F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")
     vector = F.col(vector_col)
     rows = df.filter(usable(vector) & (F.size(vector) > 0) & (F.size(vector) % parts == 0))
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), whole(vector, scale, LARGEST).alias("v"))
-    order = [F.col("vec_id").asc_nulls_last(), F.col("v")]
-    lead = rows.orderBy(*order).limit(1).collect()
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), vector.cast("array<double>").alias("vector"))
+    lead = rows.select("vec_id", F.size("vector").alias("size")).orderBy(F.col("vec_id").asc_nulls_last(), "size").limit(1).collect()
     if not lead:
         return spark.createDataFrame([], "vec_id long, label string, code string, error long"), np.zeros((parts, 0, 0), np.int64)
-    size = len(lead[0]["v"])
+    size = lead[0]["size"]
     path = new_path(spark, "vectors")
-    state = stored(rows.filter(F.size("v") == size), path)
-    first = np.array([r["v"] for r in state.orderBy(*order).limit(entries).collect()], np.int64)
+    state = stored(quantised_rows(rows.filter(F.size("vector") == size), scale, LARGEST), path)
+    first = np.array([np.frombuffer(r["v"], np.int32) for r in state.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).collect()], np.int64)
     books, drift = np.ascontiguousarray(first.reshape(len(first), parts, size // parts).swapaxes(0, 1)), None
     for _ in range(rounds):
         last, path = path, new_path(spark, "bounds")

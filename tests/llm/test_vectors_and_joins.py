@@ -157,7 +157,7 @@ def test_code_bounds_prune_and_hold():
         for e in range(16):
             if (code == e).any():
                 new[e] = x[code == e].sum(0) // (code == e).sum()
-        shown, step = vector_codes.packed(lower)
+        shown, step = vector_codes.stepped(lower)
         code, upper, lower = vector_codes.next_codes(x, code, upper, shown * step[:, None], new, centroids.drifts(book, new), tally)
         book = new
         d = centroids.squared(x, book)
