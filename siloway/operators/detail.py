@@ -118,8 +118,9 @@ def _line(df: DataFrame, rule: int, sentence: Column) -> DataFrame:
     return df.select("site_id", F.lit(rule).alias("rule"), sentence.alias("sentence"))
 
 
-def reading(summary: DataFrame, found: DataFrame, overlaps: DataFrame, alerts: DataFrame, series: DataFrame) -> DataFrame:
-    """(site_id, position, sentence): all that a report says of a site's saturation, five lines at most.
+def reading(summary: DataFrame, found: DataFrame, overlaps: DataFrame, alerts: DataFrame, series: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """(site_id, position, sentence): all that a report says of a site's saturation, five lines at most; of a site of ``sites`` of
+    which there is nothing to say, that.
 
     ``overlaps`` is ``saturation.simultaneous``, ``alerts`` those in range, ``series`` the detail series of the site's longest
     episode with its bounds (episode_start, episode_end).
@@ -142,6 +143,9 @@ def reading(summary: DataFrame, found: DataFrame, overlaps: DataFrame, alerts: D
     lines = worst
     for part in (none, when, rises, alerted, both):
         lines = lines.unionByName(part)
+    if sites is not None:
+        rest = sites.select("site_id").join(lines.select("site_id"), "site_id", "left_anti")
+        lines = lines.unionByName(_line(rest, 6, F.lit("No hay datos suficientes para generar lectura automática en este período.")))
     lines = lines.withColumn("position", F.row_number().over(Window.partitionBy("site_id").orderBy("rule"))).filter(F.col("position") <= MOST_LINES)
     return lines.select("site_id", "position", "sentence")
 

@@ -26,21 +26,30 @@ def _rows(df: DataFrame, by: list[str], lines: list[Column]) -> DataFrame:
     return df.select(*by, F.posexplode(said).alias("position", "sentence"))
 
 
-def stay_insights(stats: DataFrame, shape: DataFrame, by: list[str]) -> DataFrame:
-    """What a report says of stays in hours. ``stats`` is ``stay_time_stats``, ``shape`` is ``shape_indicators`` with ``mode`` added."""
-    rows = stats.join(shape.select(*by, F.col("mode").alias("shape_mode"), "peak", "en_rango_central_pct", "en_cola_derecha_pct"), by)
+def stay_insights(stats: DataFrame, shape: DataFrame | None, by: list[str], groups: DataFrame | None = None) -> DataFrame:
+    """What a report says of stays in hours. ``stats`` is ``stay_time_stats``, ``shape`` is ``shape_indicators`` with ``mode`` added; without
+    it, the stays' own mode is told in their place. A group of ``groups`` without stays gets the line that says so."""
+    of_shape = ["shape_mode", "peak", "en_rango_central_pct", "en_cola_derecha_pct"]
+    if shape is None:
+        rows = stats.select("*", *[F.lit(None).cast("double").alias(c) for c in of_shape])
+    else:
+        rows = stats.join(shape.select(*by, F.col("mode").alias("shape_mode"), *of_shape[1:]), by, "left")
+    if groups is not None:
+        rows = groups.select(*by).distinct().join(rows, by, "left")
+    shaped, some = F.col("shape_mode").isNotNull(), F.coalesce(F.col("n"), F.lit(0)) > 0
     gap = F.col("mode_median_gap")
     lines = [
-        F.concat(F.lit("La mayor concentración de camiones se ubica alrededor de "), decimals(F.col("shape_mode"), 1), F.lit(" h, con un pico estimado de "), grouped(F.col("peak")), F.lit(" camiones.")),
-        F.concat(F.lit("El "), decimals(F.col("en_rango_central_pct"), 0), F.lit("% de los camiones se encuentra dentro del rango central esperado.")),
-        F.concat(F.lit("El "), decimals(F.col("en_cola_derecha_pct"), 0), F.lit("% de los camiones se ubica en la cola derecha de la distribución.")),
+        F.when(shaped, F.concat(F.lit("La mayor concentración de camiones se ubica alrededor de "), decimals(F.col("shape_mode"), 1), F.lit(" h, con un pico estimado de "), grouped(F.col("peak")), F.lit(" camiones.")))
+        .otherwise(F.concat(F.lit("La mayor concentración de camiones se ubica alrededor de "), decimals(F.col("mode"), 1), F.lit(" horas."))),
+        F.when(shaped, F.concat(F.lit("El "), decimals(F.col("en_rango_central_pct"), 0), F.lit("% de los camiones se encuentra dentro del rango central esperado."))),
+        F.when(shaped, F.concat(F.lit("El "), decimals(F.col("en_cola_derecha_pct"), 0), F.lit("% de los camiones se ubica en la cola derecha de la distribución."))),
         F.concat(F.lit("El 90% de los camiones egresa antes de "), decimals(F.col("p90"), 1), F.lit(" horas.")),
         F.concat(F.lit("El 50% central de la operación se mueve dentro de un rango de "), decimals(F.col("iqr"), 1), F.lit(" horas ("), decimals(F.col("q1"), 1), F.lit("–"), decimals(F.col("q3"), 1), F.lit(" h).")),
         F.when(gap < 0.5, "La distancia entre moda y mediana sugiere una distribución estable y coherente.")
         .when(gap < 1.5, "La distancia entre moda y mediana indica una ligera asimetría en la distribución.")
         .otherwise("La distancia entre moda y mediana sugiere una distribución sesgada o mezcla de comportamientos."),
     ]
-    return _rows(rows.filter("n > 0"), by, lines)
+    return _rows(rows, by, [F.when(some, line) for line in lines])
 
 
 def slot_label(slot: Column) -> Column:

@@ -102,8 +102,9 @@ UNION ALL SELECT site_id, 2, 'La mayor concentración de minutos saturados se ob
 UNION ALL SELECT site_id, 3, 'En el episodio seleccionado, en varias franjas consecutivas los ingresos superan a los egresos; se observa junto con el tramo saturado.' FROM rs2
 UNION ALL SELECT site_id, 4, 'En el período analizado coinciden alertas de tipo: ' || array_to_string(told, ', ') || '; no implica causalidad directa con la saturación.' FROM kd WHERE len(told) > 0 AND site_id IN (SELECT site_id FROM ep)
 UNION ALL SELECT site_id, 5, 'Se observa solapamiento temporal de episodios de saturación entre ' || sector_a || ' y ' || sector_b || '.' FROM bp)""",
+        "la2 AS (SELECT * FROM ln UNION ALL SELECT 'sin_viajes', 6, 'No hay datos suficientes para generar lectura automática en este período.')",
     ],
-    "SELECT * FROM (SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY rule) AS position, sentence FROM ln) WHERE position <= 5",
+    "SELECT * FROM (SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY rule) AS position, sentence FROM la2) WHERE position <= 5",
 )
 _RANGE = f"trips WHERE out_us > {WEEK_US} AND in_us < {NOW_US}"
 add(
@@ -183,6 +184,18 @@ add(
     "SELECT site_id, i::BIGINT AS position, l[i + 1] AS sentence FROM (SELECT *, unnest(range(6)) AS i FROM said)",
 )
 
+add(
+    "stay_reading_short",
+    [
+        TRIPS, "hours AS (SELECT *, stay / 60 AS h FROM trips)", *stay_stats("site_id", "h", "hours"),
+        """said AS (SELECT site_id, ['La mayor concentración de camiones se ubica alrededor de ' || printf('%.1f', stay.mode) || ' horas.', 'El 90% de los camiones egresa antes de ' || printf('%.1f', p90) || ' horas.',
+  'El 50% central de la operación se mueve dentro de un rango de ' || printf('%.1f', iqr) || ' horas (' || printf('%.1f', q1) || '–' || printf('%.1f', q3) || ' h).',
+  CASE WHEN mode_median_gap < 0.5 THEN 'La distancia entre moda y mediana sugiere una distribución estable y coherente.' WHEN mode_median_gap < 1.5 THEN 'La distancia entre moda y mediana indica una ligera asimetría en la distribución.'
+  ELSE 'La distancia entre moda y mediana sugiere una distribución sesgada o mezcla de comportamientos.' END] AS l FROM stay)""",
+    ],
+    "SELECT site_id, i::BIGINT AS position, l[i + 1] AS sentence FROM (SELECT *, unnest(range(4)) AS i FROM said) UNION ALL SELECT 'sin_viajes', 0, 'No hay datos suficientes para generar conclusiones.'",
+)
+
 # --- flow ----------------------------------------------------------------------------------------------------------
 
 add("flow_points_week", [TRIPS, SITE, *WEEK, *BACKLOG], "SELECT site_id, slot, 'D' || day || ' ' || lpad(hour::VARCHAR, 2, '0') AS label, in_plant, arrivals, departures, net, hour, day FROM flow")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siloway.functions import dims, scalar
 from siloway.functions.scalar import HOUR_US
 from siloway.operators import alert_log, detail, fleet, flow, history, insights, pages, positions, routes, saturation, state, stats, visits
-from siloway.plans.queries import MONTH_US, NOW_US, QUERIES, REF_DAY, WEEK_US, _episodes, _looked_up, _reads, _summaries, _truck_trips, _week_intervals, query
+from siloway.plans.queries import MONTH_US, NOW_US, QUERIES, REF_DAY, WEEK_US, _episodes, _heatmap, _looked_up, _reads, _summaries, _truck_trips, _week_intervals, query
 from siloway.plans.queries import DIVISOR as DIVISOR
 from siloway.sources import adapters, files, storage
 
@@ -57,8 +57,13 @@ def deviations_newest_first(spark, d):
 # --- details of saturation -----------------------------------------------------------------------------------------
 
 
-def _selected(spark, d, by=("site_id", "sector")):
-    windows = saturation.detail_window(_episodes(spark, d), HOUR_US, WEEK_US, NOW_US)
+def _held(df, what):
+    """``df`` written once for the parts of a query that all need it: episodes and summaries, a few rows a sector."""
+    return storage.stored(df, storage.new_path(df.sparkSession, what))
+
+
+def _selected(spark, d, by=("site_id", "sector"), found=None):
+    windows = saturation.detail_window(_episodes(spark, d) if found is None else found, HOUR_US, WEEK_US, NOW_US)
     return detail.longest_episodes(windows, list(by))
 
 
@@ -89,9 +94,9 @@ def ranked_summaries(spark, d):
 
 @query
 def sector_table(spark, d):
-    made = None
+    made, summary = None, _held(_summaries(spark, d), "summaries")
     for key in detail.TABLE_KEYS:
-        one = detail.sorted_table(_summaries(spark, d), dims.sector_names(spark), dims.capacity(spark, DIVISOR), key, key != "sector").select("site_id", "sector", "sector_name", F.lit(key).alias("sort_key"), "position")
+        one = detail.sorted_table(summary, dims.sector_names(spark), dims.capacity(spark, DIVISOR), key, key != "sector").select("site_id", "sector", "sector_name", F.lit(key).alias("sort_key"), "position")
         made = one if made is None else made.unionByName(one)
     return made
 
@@ -110,12 +115,13 @@ def committee_sectors(spark, d):
 
 @query
 def saturation_reading(spark, d):
-    selected = _selected(spark, d, ("site_id",))
+    found = _held(_episodes(spark, d), "episodes")
+    summary = _held(saturation.summaries(found, _heatmap(spark, d), HOUR_US), "summaries")
+    selected = _selected(spark, d, ("site_id",), found)
     series = detail.detail_series(selected, _inside(spark, d), adapters.trips(spark, d), HOUR_US)
     bounds = selected.select("site_id", F.col("start_us").alias("episode_start"), F.col("end_us").alias("episode_end"))
     alerts = adapters.alerts(spark, d).filter((F.col("at_us") >= WEEK_US) & (F.col("at_us") < NOW_US))
-    found = _episodes(spark, d)
-    return detail.reading(_summaries(spark, d), found, saturation.simultaneous(found), alerts, series.join(F.broadcast(bounds), "site_id"))
+    return detail.reading(summary, found, saturation.simultaneous(found), alerts, series.join(F.broadcast(bounds), "site_id"), dims.sites(spark).select("site_id").unionByName(spark.createDataFrame([("sin_viajes",)], "site_id string")))
 
 
 @query
@@ -181,6 +187,14 @@ def stay_reading(spark, d):
     return insights.stay_insights(stats.stay_time_stats(hours, ["site_id"], "hours", "event_id"), shape, ["site_id"])
 
 
+@query
+def stay_reading_short(spark, d):
+    """Stays without indicators of shape, and a site without stays."""
+    hours = adapters.trips(spark, d).withColumn("hours", F.col("stay") / 60)
+    sites = dims.sites(spark).select("site_id").unionByName(spark.createDataFrame([("sin_viajes",)], "site_id string"))
+    return insights.stay_insights(stats.stay_time_stats(hours, ["site_id"], "hours", "event_id"), None, ["site_id"], sites)
+
+
 # --- flow ----------------------------------------------------------------------------------------------------------
 
 

@@ -209,8 +209,12 @@ def _episodes(spark, d):
     return saturation.episodes(_week_intervals(spark, d), dims.capacity(spark, DIVISOR))
 
 
+def _heatmap(spark, d):
+    return saturation.heatmap(_week_intervals(spark, d), dims.capacity(spark, DIVISOR), WEEK_US, NOW_US, HOUR_US)
+
+
 def _summaries(spark, d):
-    return saturation.summaries(_episodes(spark, d), saturation.heatmap(_week_intervals(spark, d), dims.capacity(spark, DIVISOR), WEEK_US, NOW_US, HOUR_US), HOUR_US)
+    return saturation.summaries(_episodes(spark, d), _heatmap(spark, d), HOUR_US)
 
 
 @query
