@@ -12,6 +12,7 @@ Results are those of the tokenizers library with special tokens left out of enco
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -250,13 +251,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_documents(df: DataFrame, path: str, text_col: str = "text", ids: bool = True, digests: bool = True) -> DataFrame:
+def encode_documents(df: DataFrame, path: str, text_col: str = "text", ids: bool = True, digests: bool = True, hold: bool = True) -> DataFrame:
     """``df`` with the encoding of each whole text (null: empty) added; every other column stays.
 
     Adds ``n_tokens``; with ``ids`` also ``token_ids`` (array<int>); with ``digests`` also ``ids_sha256`` (of the decimal
     ids joined by one space) and ``decoded_sha256`` (of the decoded text in UTF-8). Columns of these names in ``df`` are
     replaced. Texts are encoded whole at any length, an empty text to no tokens; repeated rows are encoded alike and an
-    empty table gives an empty result.
+    empty table gives an empty result. Without ``hold``, workers drop the vocabulary and all that they know of words when a task
+    ends, so that they are small again for the steps after this one.
     """
     kinds = {"n_tokens": pa.int64()} | ({"token_ids": pa.list_(pa.int32())} if ids else {})
     kinds |= {"ids_sha256": pa.string(), "decoded_sha256": pa.string()} if digests else {}
@@ -281,6 +283,10 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text", ids: bool
                 arrays = [listed(made[name]) if pa.types.is_list(kind) else pa.array(made[name], kind) for name, kind in kinds.items()]
                 yield pa.StructArray.from_arrays(arrays, [*kinds])
         own.forget()  # workers live on; what they remember would stay with them
+        if not hold:
+            del own
+            encoder.cache_clear()
+            gc.collect()
 
     return together(df.select(*kept, encode(text_col).alias(out)).select(*kept, f"{out}.*"), back)
 
