@@ -55,7 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no tokens; repeated rows are encoded alike; all other columns stay.
     """
     df, back = apart(docs, "text")
-    return together(encode_documents(df, default_tokenizer()).drop("text"), back)
+    return together(encode_documents(df, default_tokenizer(), hold=False).drop("text"), back)
 
 
 STAGES = [("quality", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("bpe", encode)]
