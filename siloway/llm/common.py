@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 #: Hexadecimal digits of an MD5 that become one number: 13 x 4 bits fit a double without rounding.
 UNIT_DIGITS = 13
 
-#: What a batch for Python workers may hold while ``written`` writes: they hold a few copies of a batch of texts.
+#: What a batch for Python workers may hold under ``small_batches``: they hold a few copies of a batch of texts.
 ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
@@ -55,15 +57,22 @@ def emptied(df: DataFrame, path: str) -> None:
     df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as Parquet to ``path`` and read it again."""
-    spark = df.sparkSession
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs within pass batches of ``BATCH_BYTES`` to Python workers."""
     before = spark.conf.get(ARROW_BYTES)
-    spark.conf.set(ARROW_BYTES, BATCH_BYTES)  # Python workers hold a few copies of a batch of texts
+    spark.conf.set(ARROW_BYTES, BATCH_BYTES)
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(ARROW_BYTES, before)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet to ``path`` and read it again."""
+    spark = df.sparkSession
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,24 +7,34 @@ training rows of either label, matched by hash. The threshold is the quantile of
 share of documents labelled 0 below it, moved to the middle of the gap there; scores are the logistic of the strength
 over that threshold, shifted so that the threshold falls on ``CUT``.
 
-Training takes a bounded sample: the ``SAMPLE_ROWS`` labelled rows outside the held-out fifth whose ids hash lowest, a
-few dozen numbers each. Scoring reads every whole text once, in tasks.
+Training takes every labelled row outside the held-out fifth, a few dozen numbers each. Tasks turn texts into features;
+rows are shuffled by hash into groups of about ``GROUP_ROWS``, within which they meet, and each group is packed into one
+row. A step of Newton's method is a pass over the groups in which every task sums the slope and curvature of its pairs;
+only those sums reach the driver. The threshold is found among the strengths of all training rows, ranked in Spark.
+Scoring reads every whole text once, in tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siloway.llm.common import apart, free_name, hex_of, table, together
+from siloway.llm.common import apart, free_name, hex_of, small_batches, table, together, unit_of, written
 
-#: Labelled rows that a model is fitted on at most, pairs that each of them takes part in, and the seed of both.
+#: Rows that ``labelled_sample`` takes at most (no model of this module), pairs that each training row makes, the seed of both.
 SAMPLE_ROWS, PAIRS_EACH, SEED = 20_000, 8, 5
 
+#: Training rows of a group, about, and rows of the scarcer label that a group holds at least, about: where there are too
+#: few for that, each of them is in several groups and counts for a part in each.
+GROUP_ROWS, MIN_SCARCE = 1024, 64
+
+#: Ranges of strengths that rows are ranked in.
+BINS = 4096
+
 #: Where the threshold between rejected and kept falls on the scale of scores.
 CUT = 0.3
 
@@ -97,8 +107,9 @@ def held_out(id_col: str = "doc_id"):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
     """(doc_id, text, label) of the labelled training rows with the lowest hashes, ``rows`` at most.
 
-    The chosen ids are bounded by ``rows`` and so may be broadcast; documents are read once and not shuffled. Of rows that
-    repeat an id the greatest text is taken, of labels the greatest; null ids and null labels take no part.
+    For callers that need the texts of a bounded number of rows; ``train`` takes ``labelled_features``. The chosen ids are
+    bounded by ``rows`` and so may be broadcast; documents are read once and not shuffled. Of rows that repeat an id the
+    greatest text is taken, of labels the greatest; null ids and null labels take no part.
     """
     chosen = (
         labels.filter(F.col(label).isNotNull() & ~held_out())
@@ -114,6 +125,50 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     return found.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
 
 
+def labelled_features(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label, x) of all labelled training rows: every label meets the features of its whole text.
+
+    Texts are read once and not shuffled. Of rows that repeat an id the greatest features are taken, of labels the greatest;
+    null ids and null labels take no part.
+    """
+    known = labels.filter(F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
+    docs, _ = apart(docs, "doc_id", "text")
+    docs = docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text")
+    found = _add_features(docs, "text", "x").groupBy("doc_id").agg(F.max("x").alias("x"))
+    return known.join(found, "doc_id").select("doc_id", "label", "x")
+
+
+def grouped(rows: DataFrame, n_good: int, n_bad: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Every row of ``rows`` (doc_id, label, x) in a group by hash: group, h, label, x, share and first.
+
+    Copies of a row of the scarcer label share its weight (``share``); ``first`` marks one of them.
+    """
+    groups = -(-(n_good + n_bad) // group_rows)
+    copies = min(groups, -(-MIN_SCARCE * groups // min(n_good, n_bad)))
+    times = F.when((F.col("label") > 0.5) == F.lit(n_good <= n_bad), F.lit(copies)).otherwise(F.lit(1))
+    rows = rows.withColumn("h", hex_of(SEED, "doc_id")).withColumn("times", times)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    return rows.select(
+        F.pmod(F.floor(unit_of(F.col("h")) * groups).cast("int") + F.col("copy"), F.lit(groups)).alias("group"),
+        "h", "label", "x", (1 / F.col("times")).alias("share"), (F.col("copy") == 0).alias("first"),
+    )
+
+
+def pack(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row of a group's rows, in order of hashes: its number, and the bytes of features, labels, shares and marks."""
+    rows = rows.sort_values("h")
+    names = [np.stack(rows["x"].tolist()), *(rows[c].to_numpy(float) for c in ("label", "share", "first"))]
+    return pd.DataFrame([[rows["group"].iloc[0], *(np.ascontiguousarray(v, float).tobytes() for v in names)]], columns=["group", "x", "label", "share", "first"])
+
+
+def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The groups that ``pack`` made: number, features, labels, shares, marks."""
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            x, *others = (np.frombuffer(getattr(row, c)) for c in ("x", "label", "share", "first"))
+            yield row.group, x.reshape(len(others[0]), -1), *others
+
+
 def make_pairs(labels: np.ndarray, each: int = PAIRS_EACH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Indices (better, worse): every row meets ``each`` random rows of the other label."""
     good, bad = np.flatnonzero(labels > 0.5), np.flatnonzero(labels <= 0.5)
@@ -125,37 +180,52 @@ def make_pairs(labels: np.ndarray, each: int = PAIRS_EACH, seed: int = SEED) ->
     return better, worse
 
 
-def fit_pairs(x: np.ndarray, better: np.ndarray, worse: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, steps: int = 30) -> np.ndarray:
-    """Weights that minimise the mean logistic loss of feature differences plus the ridge, by Newton's method."""
+def pair_sums(x: np.ndarray, better: np.ndarray, worse: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature at ``w`` of the summed, weighted logistic loss of feature differences."""
     d = x[better] - x[worse]
-    w = np.zeros(x.shape[1])
-    share = weight / weight.sum() if len(d) else weight
-    for _ in range(steps if len(d) else 0):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))  # that the pair is ranked wrongly
-        slope = -(d * (share * p)[:, None]).sum(0) + ridge * w
-        curve = (d * (share * p * (1 - p))[:, None]).T @ d + ridge * np.eye(len(w))
-        step = np.linalg.solve(curve, slope)
+    p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))  # that the pair is ranked wrongly
+    return -(weight * p) @ d, (d * (weight * p * (1 - p))[:, None]).T @ d
+
+
+def newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], size: int, ridge: float = RIDGE, steps: int = 30) -> np.ndarray:
+    """Weights that minimise a loss, given its slope and curvature at any weights, plus the ridge."""
+    w = np.zeros(size)
+    for _ in range(steps):
+        slope, curve = sums(w)
+        step = np.linalg.solve(curve + ridge * np.eye(size), slope + ridge * w)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def fit_pairs(x: np.ndarray, better: np.ndarray, worse: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, steps: int = 30) -> np.ndarray:
+    """Weights that minimise the mean logistic loss of feature differences plus the ridge, by Newton's method."""
+    if not len(better):
+        return np.zeros(x.shape[1])
+    share = weight / weight.sum()
+    return newton(lambda w: pair_sums(x, better, worse, share, w), x.shape[1], ridge, steps)
+
+
 class Ranker:
     """Standardised features, their squares, weights, and the threshold on strengths."""
 
     def __init__(self, x: np.ndarray, labels: np.ndarray, cut: float = CUT, ridge: float = RIDGE) -> None:
+        """Fitted on rows in memory, which meet as one group; ``train`` fits on tables."""
         x = np.asarray(x, float).reshape(-1, len(FEATURES))
-        self.middle = np.median(x, axis=0) if len(x) else np.zeros(len(FEATURES))
-        self.spread = x.std(axis=0) + 1e-6 if len(x) else np.ones(len(FEATURES))
-        self.shift = float(np.log(cut / (1 - cut)))
+        self.scale(x.mean(axis=0) if len(x) else np.zeros(len(FEATURES)), x.std(axis=0) if len(x) else np.ones(len(FEATURES)), cut)
         z = self.expand(x)
         better, worse = make_pairs(labels)
-        self.weights = fit_pairs(z, better, worse, np.ones(len(better)), ridge)
+        self.weights = fit_pairs(z, better, worse, np.ones(len(better)), ridge).round(6)
         strengths = np.sort(z @ self.weights)
         share = float((np.asarray(labels) <= 0.5).mean()) if len(x) else 0.0
         self.threshold = self.split(strengths, share) if len(better) else -np.inf
 
+    def scale(self, middle: np.ndarray, spread: np.ndarray, cut: float = CUT) -> None:
+        """Set what features are standardised by. Like weights it is rounded: sums differ in last digits by order."""
+        self.middle, self.spread = np.round(middle, 9), np.round(spread, 9) + 1e-6
+        self.shift = float(np.log(cut / (1 - cut)))
+
     def expand(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.middle) / self.spread, -6, 6)
         return np.concatenate([z, np.abs(z)], axis=1)
@@ -181,10 +251,79 @@ class Ranker:
         return 1 / (1 + np.exp(np.clip(-(strength - self.threshold + self.shift), -40, 40)))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, cut: float = CUT) -> Ranker:
-    """Fit on the bounded sample of labelled rows. Without rows of both labels the model keeps everything."""
-    sample = _add_features(labelled_sample(docs, labels, "quality", rows), "text", "x").select("x", "label", "doc_id").toPandas().sort_values("doc_id")
-    return Ranker(np.array(sample["x"].tolist(), float).reshape(-1, len(FEATURES)), sample["label"].to_numpy(float), cut)
+def fit_groups(groups: DataFrame, model: Ranker, pairs: float, ridge: float = RIDGE) -> np.ndarray:
+    """Weights fitted on all pairs within the packed ``groups``; ``pairs`` is the sum of their weights."""
+    size = 2 * len(FEATURES)
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            slope, curve, least = np.zeros(size), np.zeros((size, size)), -1
+            for group, x, labels, share, _ in unpack(batches):
+                better, worse = make_pairs(labels, seed=SEED + group)
+                good = labels > 0.5
+                weight = np.repeat(np.concatenate([share[good], share[~good]]), PAIRS_EACH)
+                if len(better):
+                    more = pair_sums(model.expand(x), better, worse, weight, w)
+                    slope, curve = slope + more[0], curve + more[1]
+                least = group if least < 0 else min(least, group)
+            yield pd.DataFrame({"least": [least], "slope": [slope.tobytes()], "curve": [curve.tobytes()]})
+
+        with small_batches(groups.sparkSession):
+            parts = sorted(groups.mapInPandas(add, "least int, slope binary, curve binary").collect())
+        slope, curve = (sum(np.frombuffer(p[c]) for p in parts) / pairs for c in ("slope", "curve"))
+        return slope, curve.reshape(size, size)
+
+    return newton(sums, size, ridge).round(6)
+
+
+def strengths_of(groups: DataFrame, model: Ranker) -> DataFrame:
+    """(s, n): the strengths of all rows of the packed ``groups`` and how many rows have each."""
+
+    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, x, _, _, first in unpack(batches):
+            yield pd.DataFrame({"s": model.expand(x[first > 0]) @ model.weights})
+
+    return groups.mapInPandas(compute, "s double").groupBy("s").agg(F.count("*").alias("n"))
+
+
+def split_point(values: DataFrame, n_bad: int, n: int) -> float:
+    """What ``Ranker.split`` gives for the strengths ``values`` (s, n) of ``n`` rows, ``n_bad`` of them labelled 0 (neither none nor all).
+
+    Values are ranked within ranges; only the ranges' counts and ends pass the driver.
+    """
+    slack = max(1, int(0.1 * n_bad))
+    low, high = max(1, n_bad - slack), min(n - 1, n_bad + slack)
+    least, most = values.agg(F.min("s"), F.max("s")).first()
+    values = values.withColumn("bin", F.floor((F.col("s") - least) / F.lit((most - least) or 1.0) * BINS).cast("int"))
+    bins = values.groupBy("bin").agg(F.sum("n").alias("n"), F.max("s").alias("last")).toPandas().sort_values("bin")
+    starts = pd.DataFrame({"bin": bins["bin"], "before": bins["n"].cumsum() - bins["n"], "last": bins["last"].shift().fillna(least)})
+    starts = values.sparkSession.createDataFrame(starts, "bin int, before long, last double")
+    order = Window.partitionBy("bin").orderBy("s")
+    ranked = values.join(F.broadcast(starts), "bin").select(
+        "s", "n", (F.col("before") + F.sum("n").over(order) - F.col("n")).alias("below"), F.coalesce(F.lag("s").over(order), "last").alias("prior")
+    )
+    inside = ranked.filter((F.col("below") + F.col("n") > low) & (F.col("below") <= high))
+    inside = inside.withColumn("prior", F.when(F.col("below") >= low, F.col("prior")).otherwise(F.col("s")))
+    s, prior = inside.orderBy(F.desc(F.col("s") - F.col("prior")), "s").select("s", "prior").first()
+    return (s + prior) / 2
+
+
+def train(docs: DataFrame, labels: DataFrame, cut: float = CUT, group_rows: int = GROUP_ROWS) -> Ranker:
+    """Fit on all labelled rows outside the held-out fifth. Without rows of both labels the model keeps everything."""
+    rows = written(labelled_features(docs, labels, "quality"), "quality-rows")
+    x = [F.col("x")[i] for i in range(len(FEATURES))]
+    n, n_good, *moments = rows.agg(
+        F.count("*"), F.count_if(F.col("label") > 0.5), *map(F.avg, x), *map(F.stddev_pop, x)
+    ).first()
+    model = Ranker(np.zeros((0, len(FEATURES))), np.zeros(0), cut)
+    if not 0 < n_good < n:
+        return model
+    model.scale(np.array(moments[: len(FEATURES)]), np.array(moments[len(FEATURES) :]), cut)
+    groups = grouped(rows, n_good, n - n_good, group_rows).groupBy("group").applyInPandas(pack, "group int, x binary, label binary, share binary, first binary")
+    groups = written(groups, "quality-groups")
+    model.weights = fit_groups(groups, model, float(n * PAIRS_EACH))
+    model.threshold = split_point(written(strengths_of(groups, model), "quality-strengths"), n - n_good, n)
+    return model
 
 
 def score_documents(df: DataFrame, model: Ranker, text_col: str = "text", score_col: str = "score") -> DataFrame:
